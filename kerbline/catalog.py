@@ -1,0 +1,22 @@
+"""Named queries over the test tables, each with the SQL it must equal."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(F.col("event_type").alias("aid")).agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Query]:
+    return {"tally_soft_labels": _tally}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"tally_soft_labels": "SELECT event_type AS aid, count(*) AS n FROM events GROUP BY event_type"}
