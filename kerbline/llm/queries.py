@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import media, quality_rules
+from kerbline.llm import media, pii, quality_rules
 from kerbline.llm.arrow import bound_batches
 from kerbline.plans.scratch import Scratch
 
@@ -39,6 +39,17 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *(of(k.name) for k in pii.BASE),
+        F.sha2(pii.listed(F.filter("spans", lambda s: s["rank"] < len(pii.BASE))), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return quality_rules.compression_bands(docs).select(
@@ -53,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,
     }
 
