@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import media, pii, quality_rules
+from kerbline.llm import bpe, media, pii, quality_rules, token_files
 from kerbline.llm.arrow import bound_batches
 from kerbline.plans.scratch import Scratch
 
@@ -39,6 +39,31 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file; its place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    path = tokenizer_file()
+    coded = _documents(spark, sf_dir).select("doc_id", bpe.encode(path)(F.col("text")).alias("ids"))
+    return coded.select(
+        "doc_id",
+        bpe.n_ids(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(path)(F.col("ids")).cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token-files")
+    chunks = token_files.write_ids(_documents(spark, sf_dir), tokenizer_file(), scratch)
+    return token_files.with_starts(token_files.read_ids(chunks), chunks).select("doc_id", "start", F.col("doc_ids").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -64,6 +89,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op6_bpe": op6_bpe,
+        "op7_token_files": op7_token_files,
         "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,
     }
