@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import bpe, media, pii, quality_rules, token_files
+from kerbline.llm import bpe, media, pii, quality_classifier, quality_rules, token_files
 from kerbline.llm.arrow import bound_batches
 from kerbline.plans.scratch import Scratch
 
@@ -39,6 +39,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier.score(docs, model).select("doc_id", "quality.*")
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """A public vocabulary file; its place is a parameter of the operators."""
     import public_tokenizers
@@ -89,6 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_bpe": op6_bpe,
         "op7_token_files": op7_token_files,
         "op9_pii": op9_pii,
