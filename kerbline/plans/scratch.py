@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +40,12 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def write_observed(self, df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+        """``write``, and in the same job the number of rows as ``rows`` and the given aggregates."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), label)
+        return out, seen.get
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table of this run that no later plan reads."""
         path = getattr(df, "scratch_path", None)
