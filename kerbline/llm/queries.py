@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import bpe, media, pii, quality_classifier, quality_rules, token_files
+from kerbline.llm import bpe, media, minhash, pii, quality_classifier, quality_rules, token_files
 from kerbline.llm.arrow import bound_batches
 from kerbline.plans.scratch import Scratch
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir), Scratch(spark, "minhash"), k=4)
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a WAV file with an undeclared type, then sniffed, carved and described from what was stored."""
     bound_batches(spark)
@@ -94,6 +98,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": op1_minhash,
         "op2_media_columns": op2_media_columns,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_bpe": op6_bpe,
