@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import bpe, media, minhash, pii, quality_classifier, quality_rules, token_files
+from kerbline.llm import bpe, media, minhash, pii, quality_classifier, quality_rules, suffix_dedup, token_files
 from kerbline.llm.arrow import bound_batches
 from kerbline.plans.scratch import Scratch
 
@@ -43,6 +43,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(_documents(spark, sf_dir), Scratch(spark, "suffix-dedup"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_media_columns": op2_media_columns,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_bpe": op6_bpe,
         "op7_token_files": op7_token_files,
