@@ -25,7 +25,7 @@ from pyspark.sql import Column, functions as F, types as T
 from kerbline.llm.arrow import texts
 
 #: Entries that a worker's memo keeps.
-MEMO = 700_000
+MEMO = 350_000
 
 # Unicode's White_Space, and the pre-tokenizing pattern of byte-level BPE vocabularies of this kind.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -80,7 +80,7 @@ class Vocabulary:
         key = a << 20 | b
         known = self._follows.get(key)
         if known is None:
-            if len(self._follows) > 4 * MEMO:
+            if len(self._follows) > 2 * MEMO:
                 self._follows.clear()
             known = self._follows[key] = self._border_holds(a, b)
         return known
