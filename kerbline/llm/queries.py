@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import bpe, media, minhash, pii, quality_classifier, quality_rules, suffix_dedup, token_files
+from kerbline.llm import bpe, line_dedup, media, minhash, pii, quality_classifier, quality_rules, suffix_dedup, token_files
 from kerbline.llm.arrow import bound_batches
 from kerbline.plans.scratch import Scratch
 
@@ -79,6 +79,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_starts(token_files.read_ids(chunks), chunks).select("doc_id", "start", F.col("doc_ids").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "line-dedup"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "spans")
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": op5_quality_classifier,
         "op6_bpe": op6_bpe,
         "op7_token_files": op7_token_files,
+        "op8_line_dedup": op8_line_dedup,
         "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,
     }
