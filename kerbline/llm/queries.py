@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import bpe, line_dedup, media, minhash, pii, quality_classifier, quality_rules, suffix_dedup, token_files
+from kerbline.llm import bpe, line_dedup, media, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, token_files
 from kerbline.llm.arrow import bound_batches
 from kerbline.plans.scratch import Scratch
 
@@ -43,6 +43,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_documents(spark, sf_dir), Scratch(spark, "mixing"))
+    return mixed.select("doc_id", "source", "lang", "mix.*")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(_documents(spark, sf_dir), Scratch(spark, "suffix-dedup"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -110,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
         "op2_media_columns": op2_media_columns,
+        "op3_mixing": op3_mixing,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_bpe": op6_bpe,
