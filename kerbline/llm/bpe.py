@@ -18,6 +18,7 @@ import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, functions as F, types as T
@@ -154,8 +155,8 @@ class ChunkEncoder:
     packed ids of pieces not seen before.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], special: dict[str, int]):
-        self.encode_new = encode_new
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], special: dict[str, int], most: int = MEMO):
+        self.encode_new, self.most = encode_new, most
         self.memo: dict[str, bytes] = {}
         self.special = {t: struct.pack("<I", i) for t, i in special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
@@ -182,7 +183,7 @@ class ChunkEncoder:
         memo.update(zip(fresh, self.encode_new(fresh), strict=True))
         get = memo.__getitem__
         out = [b"".join(map(get, pieces)) for pieces in cut]
-        if len(memo) > MEMO:  # the pieces seen first are the frequent ones; they stay
+        if len(memo) > self.most:  # the pieces seen first are the frequent ones; they stay
             for piece in fresh:
                 del memo[piece]
         return out
@@ -213,14 +214,33 @@ def library_encoder(path: str) -> ChunkEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    table = tokenizer.get_vocab(with_added_tokens=True)
+    size = np.zeros(1 + max(table.values()), np.int64)
+    for token, i in table.items():
+        size[i] = len(token)  # a letter stands for a byte
+    runs = regex.compile(rf" [{SPACES}]")
 
     def encode_new(pieces: list[str]) -> list[bytes]:
-        done = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in done]
-
-    return ChunkEncoder(encode_new, special)
-
-
+        # Pieces that begin with a space keep their ids side by side, so one call encodes thousands; the tokens' sizes tell them apart.
+        out = dict.fromkeys(pieces, b"")
+        side = [p for p in pieces if p[0] == " " and not runs.search(p)]
+        for k in range(0, len(side), JOINED):
+            part = side[k : k + JOINED]
+            ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(part, (4 * ends).tolist(), strict=True):
+                out[piece], at = raw[at:end], end
+        own = [p for p in pieces if not out[p]]
+        for piece, e in zip(own, tokenizer.encode_batch_fast(own, add_special_tokens=False), strict=True):
+            out[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return list(out.values())
+
+    return ChunkEncoder(encode_new, special, 2 * MEMO)
+
+
+#: Pieces that one call of the library encodes.
+JOINED = 4000
 #: Texts encoded at a time, which bounds what a batch adds to a full memo.
 SLICE = 500
 
