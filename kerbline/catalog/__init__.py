@@ -1,22 +1,20 @@
-"""Named queries over the test tables, each with the SQL it must equal."""
+"""Named queries over the test tables, each with the SQL it must equal where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
+from pyspark.sql import DataFrame, SparkSession
 
+from kerbline.catalog import geo, measures, models, routes, streams, surveys, texts
 
-def _tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy(F.col("event_type").alias("aid")).agg(F.count("*").alias("n"))
+Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (surveys, measures, geo, routes, models, texts, streams)
 
 
 def queries() -> dict[str, Query]:
-    return {"tally_soft_labels": _tally}
+    return {name: query for part in PARTS for name, query in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"tally_soft_labels": "SELECT event_type AS aid, count(*) AS n FROM events GROUP BY event_type"}
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
