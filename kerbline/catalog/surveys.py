@@ -132,7 +132,7 @@ _FIRST = "SELECT *, min(aid) OVER (PARTITION BY pid) AS own FROM votes"
 
 SQL = {
     "tally_soft_labels": _tally_sql(_RELABEL),
-    "tally_hard_drop": _tally_sql("best", "WHERE NOT is_uncertain", "1.0"),
+    "tally_hard_drop": _tally_sql("best", "WHERE NOT is_uncertain", "1.0::DOUBLE"),
     "tally_soft": _tally_sql("NULL::VARCHAR"),
     "tally_compat": _tally_sql(_RELABEL, number="CASE WHEN is_uncertain THEN 1 END"),
     "survey_to_votes": f"""WITH {VOTES}, s AS (SELECT pid, image_id, bool_or(value >= 20.5) AS a, bool_or(value < 55.1) AS b FROM votes WHERE pid % 6 <> 5 GROUP BY pid, image_id)

@@ -79,7 +79,11 @@ def asset_path(x: Column) -> Column:
     return F.concat(F.lit("assets/images/"), last_segment(x))
 
 
-def first_truthy(*columns: Column) -> Column:
-    """The first value that is neither null, empty nor zero, as a string."""
-    parts = [F.when(~c.cast("string").isin("", "0", "0.0", "false"), c.cast("string")) for c in columns]
-    return F.coalesce(*parts)
+def first_text(*columns: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
+
+
+def first_number(*columns: Column) -> Column:
+    """The first value that is neither null nor zero."""
+    return F.coalesce(*(F.nullif(c, F.lit(0).cast("long")) for c in columns))

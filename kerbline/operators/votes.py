@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.functions.constants import AID_ALIASES, LABEL_TYPES, lookup
-from kerbline.functions.text import first_truthy, last_segment, normalise_selection
+from kerbline.functions.text import first_number, first_text, last_segment, normalise_selection
 
 VOTE_KEYS = ["pid", "aid", "image_id"]
 
@@ -28,7 +28,7 @@ def survey_votes(docs: DataFrame, json_col: str = "doc", keep_log_types: list[st
     head = docs.select(
         "ordinal",
         F.lower(F.coalesce(text("logType"), F.lit(""))).alias("log_type"),
-        first_truthy(text("userId"), text("sessionId"), last_segment(F.try_variant_get(d, "$.name", "string"))).alias("pid"),
+        first_text(text("userId"), text("sessionId"), last_segment(F.try_variant_get(d, "$.name", "string"))).alias("pid"),
         lookup(AID_ALIASES)[F.lower(F.trim(F.coalesce(text("mobilityAid"), F.lit(""))))].alias("aid"),
         F.try_variant_get(d, "$.fields.imageSelections.mapValue.fields", "map<string,variant>").alias("groups"),
     ).where("aid is not null")
@@ -43,8 +43,8 @@ def survey_votes(docs: DataFrame, json_col: str = "doc", keep_log_types: list[st
     number = lambda key: unwrap(e, "bigint", f"$.mapValue.fields.{key}")
     listed = entries.select(
         "ordinal", "pid", "aid", "grp", F.col("x.side").alias("side"),
-        first_truthy(number("LabelID"), number("labelId"), number("imageId")).cast("long").alias("image_id"),
-        first_truthy(number("LabelTypeID"), number("labelTypeId")).cast("int").alias("type_id"),
+        first_number(number("LabelID"), number("labelId"), number("imageId")).alias("image_id"),
+        first_number(number("LabelTypeID"), number("labelTypeId")).cast("int").alias("type_id"),
     ).where("image_id is not null")
     sided = listed.groupBy("ordinal", "pid", "aid", "grp", "image_id").agg(
         F.bool_or(F.col("side") == "A").alias("in_a"), F.bool_or(F.col("side") == "B").alias("in_b"), F.min_by("type_id", "side").alias("type_id")
