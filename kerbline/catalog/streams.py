@@ -1,3 +1,69 @@
-"""x"""
-QUERIES = {}
-SQL = {}
+"""Streams over the events table, run until all available rows are read."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from kerbline.catalog.common import TALLY, VOTES, table
+from kerbline.plans.scratch import Scratch
+from kerbline.streaming import votes as ST
+
+
+def stream_of(spark, sf_dir):
+    """Events as a stream of votes."""
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/events.parquet*")
+    pick = F.when(F.col("value") < 20.5, "no").when(F.col("value") < 55.1, "unsure").otherwise("yes")
+    return e.select("event_id", F.col("user_id").alias("pid"), F.col("event_type").alias("aid"), (F.col("event_id") % 52).alias("image_id"), pick.alias("selection"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def settled(stream, mode: str = "append"):
+    """The stream's rows once everything available is read, from a table in the shared folder."""
+    spark = stream.sparkSession
+    scratch = Scratch(spark, "stream")
+    path = f"{scratch.root}/{uuid.uuid4().hex}"
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/{batch_id:06d}")
+
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(keep).trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+    return rows.withColumn("_batch", F.element_at(F.split("_metadata.file_path", "/"), -2).cast("int"))
+
+
+def stream_tally(spark, sf_dir):
+    """The last state of each cell."""
+    rows = settled(ST.running_tally(stream_of(spark, sf_dir)), "update")
+    return rows.groupBy("image_id", "aid").agg(*(F.max_by(c, "_batch").alias(c) for c in ("no", "unsure", "yes")))
+
+
+def stream_windows(spark, sf_dir):
+    rows = settled(ST.windowed_counts(stream_of(spark, sf_dir), ["aid"], "1 day", late="40 days"), "update")
+    return rows.groupBy("start", "end", "aid").agg(F.max_by("n", "_batch").alias("n")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "aid", "n")
+
+
+def stream_sliding(spark, sf_dir):
+    rows = settled(ST.windowed_counts(stream_of(spark, sf_dir), [], "2 days", "1 day", late="40 days"), "update")
+    return rows.groupBy("start", "end").agg(F.max_by("n", "_batch").alias("n")).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
+
+
+def stream_sessions(spark, sf_dir):
+    rows = settled(ST.sessions(stream_of(spark, sf_dir), "pid", "6 hours", late="0 seconds"))
+    return rows.select("pid", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
+
+
+def stream_first_votes(spark, sf_dir):
+    rows = settled(ST.first_votes(stream_of(spark, sf_dir), ["pid", "aid", "image_id"], late="60 days"))
+    return rows.select("pid", "aid", "image_id")
+
+
+QUERIES = {"stream_tally": stream_tally, "stream_windows": stream_windows, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_first_votes": stream_first_votes}
+SQL = {
+    "stream_tally": f'WITH {VOTES}, {TALLY} SELECT image_id, aid, "no", unsure, yes FROM tallies',
+    "stream_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS aid, count(*) AS n FROM events GROUP BY 1, 2",
+    "stream_sliding": "WITH d AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) SELECT strftime(s, '%Y-%m-%d') AS day, count(*) AS n FROM d GROUP BY 1",
+    "stream_first_votes": f"WITH {VOTES} SELECT DISTINCT pid, aid, image_id FROM votes",
+}
