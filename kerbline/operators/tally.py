@@ -28,7 +28,7 @@ def tally(
     scored = shared.select("*", F.when(there, D.entropy(p)).alias("entropy"), F.when(there, D.margin(p)).alias("margin"), F.when(there, D.argmax(p)).alias("_best"))
     flagged = scored.withColumn(
         "is_uncertain", F.coalesce(D.is_uncertain(F.col("entropy"), F.col("margin"), F.col("total_votes"), max_entropy, min_margin, min_votes), F.lit(True))
-    ).withColumn("argmax_label", F.concat(F.lit("p_"), F.array(*(F.lit(c) for c in CLASSES))[F.col("_best")]))
+    ).withColumn("argmax_label", F.concat(F.lit("p_"), F.get(F.array(*(F.lit(c) for c in CLASSES)), F.col("_best"))))
     if target == "hard_drop":
         flagged = flagged.where("not is_uncertain")
     best = F.substring("argmax_label", 3, 10)
