@@ -8,9 +8,10 @@ edges come to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.plans.scratch import Scratch
 
@@ -48,17 +49,20 @@ def connected_components(links: DataFrame, scratch: Scratch, a: str = "a", b: st
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
 
 
-def join_groups(members: DataFrame, verify, scratch: Scratch, rounds: int = 2) -> DataFrame:
+def join_groups(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, sketch: DataFrame | None = None, near: Callable[[str, str], Column] | None = None,
+    dense: Callable[[DataFrame], DataFrame] | None = None, dense_from: int = 48, rounds: int = 2,
+) -> DataFrame:
     """Components of the verified links among items that share a bucket, without listing all pairs of a bucket.
 
     ``members``: (bucket, id), the candidates: every link must have some bucket
     in common.  ``verify(pairs)`` keeps the true links of pairs (a, b), a < b.
+    ``sketch`` (id, sk) and ``near(sk of a, sk of b)`` rule pairs out inside the
+    joins; they must let every link pass.
 
     Each member is first checked against its buckets' first members, the one it
     shares most buckets with before the others; ids found connected are not
     compared again.  Later rounds choose other members to check against.  What
-    then still lies in one bucket but in different components is compared
-    completely, so no link that could join two components is missed.
     """
     members = members.select("bucket", "id")
     links: list[DataFrame] = []
@@ -72,34 +76,42 @@ def join_groups(members: DataFrame, verify, scratch: Scratch, rounds: int = 2) -
         return rows.join(c, key, "left").withColumn(out, F.coalesce(out, key))
 
     def open_buckets() -> tuple[DataFrame, int]:
-        """Members of buckets that hold more than one component, with their components."""
+        """Members of buckets that hold more than one component, with their components and the bucket's size."""
         rows = component_of(members, "id", "c")
-        mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-        table, seen = scratch.write_observed(rows.join(mixed, "bucket", "left_semi").select("bucket", "id", "c"), "open")
+        mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
+        found = rows.join(mixed, "bucket").select("bucket", "id", "c", "size")
+        found = found.withColumn("sk", F.lit(0)) if sketch is None else found.join(sketch.select("id", "sk"), "id")
+        table, seen = scratch.write_observed(found, "open")
         return table, seen["rows"]
 
+    def alike(a: str, b: str) -> Column:
+        return near(a, b) if near else F.lit(True)
+
+    def connect(found: DataFrame, label: str) -> None:
+        nonlocal components
+        table, seen = scratch.write_observed(found, label)
+        if seen["rows"]:
+            links.append(table)
+            components = connected_components(reduce(DataFrame.unionByName, links), scratch)
+
     def settle(pairs: DataFrame) -> None:
         """Verify pairs that were not verified before, and connect what the true links connect."""
-        nonlocal components
         for done in checked:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         table, seen = scratch.write_observed(pairs.select("a", "b"), "pairs")
-        if not seen["rows"]:
-            return
-        checked.append(table)
-        found, seen = scratch.write_observed(verify(table), "links")
         if seen["rows"]:
-            links.append(found)
-            components = connected_components(reduce(DataFrame.unionByName, links), scratch)
+            checked.append(table)
+            connect(verify(table), "links")
 
     for turn in range(rounds):
         rows, n = open_buckets()
         if not n:
             break
         order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-        first = F.min(F.struct(order.alias("o"), F.col("id").alias("lead"), F.col("c").alias("lead_c"))).alias("m")
-        leaders = rows.groupBy("bucket").agg(first).select("bucket", "m.lead", "m.lead_c")
-        stars = rows.join(leaders, "bucket").where("c <> lead_c").select("id", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        first = F.min(F.struct(order.alias("o"), F.col("id").alias("lead"), F.col("c").alias("lead_c"), F.col("sk").alias("lead_sk"))).alias("m")
+        leaders = rows.groupBy("bucket").agg(first).select("bucket", "m.lead", "m.lead_c", "m.lead_sk")
+        met = rows.join(leaders, (rows["bucket"] == leaders["bucket"]) & (F.col("c") != F.col("lead_c")) & alike("sk", "lead_sk"))
+        stars = met.select("id", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
         if turn == 0:
             stars = scratch.write(stars.groupBy("id", "a", "b").agg(F.count("*").alias("shared")), "stars")
             settle(stars.groupBy("id").agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
@@ -107,10 +119,20 @@ def join_groups(members: DataFrame, verify, scratch: Scratch, rounds: int = 2) -
         settle(stars.select("a", "b").distinct())
     else:
         rows, n = open_buckets()
+        if n and dense is not None:
+            large = rows.where(F.col("size") >= dense_from)
+            hubs = large.groupBy("bucket").agg(F.min(F.struct("id", "sk")).alias("h")).select("bucket", F.col("h.id").alias("hub"), F.col("h.sk").alias("hub_sk"))
+            close = large.join(hubs, (large["bucket"] == hubs["bucket"]) & (F.col("id") != F.col("hub")) & alike("sk", "hub_sk"))
+            clusters = connected_components(close.select(F.col("hub").alias("a"), F.col("id").alias("b")), scratch).select("id", F.col("component").alias("cluster"))
+            connect(dense(component_of(clusters, "id", "c")), "links")
+            rows = component_of(rows.drop("c").join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id")), "id", "c")
+        else:
+            rows = rows.withColumn("cluster", F.col("id"))
         if n:
-            other = rows.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
-            pairs = rows.withColumnsRenamed({"id": "a", "c": "ca"}).join(other, "bucket").where("ca <> cb and a < b")
-            settle(pairs.select("a", "b").distinct())
+            other = rows.select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "id", "c", "cluster", "sk")))
+            apart = (F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & (F.col("cluster") != F.col("cluster_b"))
+            met = rows.join(other, (F.col("bucket") == F.col("bucket_b")) & apart & alike("sk", "sk_b"))
+            settle(met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
     if components is None:
         return members.select("id", F.col("id").alias("component")).limit(0)
     return components

@@ -113,9 +113,94 @@ def full_sets(k: int) -> Callable[[Column], Column]:
     return apply
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def low_bits(sig: pa.Array) -> pa.Array:
+    """One bit of each minimum, packed into longs."""
+    values = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(len(sig), -1)
+    packed = np.packbits((values & 1).astype(np.uint8), axis=1)
+    packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
+    return pa.array([row.view(np.int64) for row in packed], pa.list_(pa.int64()))
+
+
+def most_bits_apart(hashes: int, percent: int) -> int:
+    """How many of the low bits of two documents at the threshold differ at most, but for five standard deviations.
+
+    Minima agree with the similarity's probability, and bits of unlike minima half the time.
+    """
+    p = (1 - percent / 100) / 2
+    return int(hashes * p + 5 * (hashes * p * (1 - p)) ** 0.5)
+
+
+def bits_apart(a: str, b: str, longs: int) -> Column:
+    parts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)]
+    return sum(parts[1:], parts[0])
+
+
+#: Shingles that a block of documents aims at, when large clusters are compared block by block.
+BLOCK_SHINGLES = 40_000
+
+
+def _compare_blocks(percent: int):
+    """Links inside one block or between two, as few as connect the same documents."""
+
+    def apply(table: pa.Table) -> pa.Table:
+        ids, comp = table["id"].to_numpy(), table["c"].to_numpy()
+        lists = table["hs"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, code, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        shared = times[code] > 1
+        _, code = np.unique(code[shared], return_inverse=True)
+        row = row[shared]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        order = np.argsort(code, kind="stable")
+        code, row = code[order], row[order]
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            lo, hi = np.searchsorted(code, [at, at + 4096])
+            x = np.zeros((len(ids), 4096), np.float32)
+            x[row[lo:hi], code[lo:hi] - at] = 1
+            both += x @ x.T
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        root = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        found = []
+        for i, j in zip(*np.nonzero(np.triu(linked & (comp[:, None] != comp[None, :]), 1)), strict=True):
+            a, b = find(int(comp[i])), find(int(comp[j]))
+            if a != b:
+                root[a] = b
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return apply
+
+
+def block_links(clusters: DataFrame, sets: DataFrame, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links between components inside clusters of similar documents, each cluster cut into blocks of bounded size.
+
+    All pairs of blocks are compared but those that hold one component only; a
+    comparison is a matrix product and gives few rows.
+    """
+    weighed = clusters.join(sets.select("id", F.size("hs").alias("n")), "id")
+    blocks = weighed.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    # of the most frequent component in each cluster, members need no comparison among themselves
+    common = weighed.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
+    placed = weighed.join(blocks, "cluster").join(common, "cluster").withColumn("main", F.col("c") == F.col("main"))
+    # blocks of the main component get even numbers, others odd ones
+    mine = placed.withColumn("block", 2 * F.pmod(F.xxhash64("id"), F.col("blocks")) + F.when(F.col("main"), 0).otherwise(1))
+    other = F.explode(F.sequence(F.lit(0), 2 * F.col("blocks") - 1))
+    met = mine.select("cluster", "id", "c", "block", other.alias("with")).where("block % 2 = 1 or with % 2 = 1")
+    sided = met.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "c")
+    return sided.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(_compare_blocks(percent), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-    percent: int = 80, hashes: int = 128, bands: int = 32,
+    percent: int = 80, hashes: int = 128, bands: int = 32, dense_from: int = 48, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable over links), kept (it is the smallest).
 
@@ -139,7 +224,13 @@ def near_duplicates(
         both = F.size(F.array_intersect("ha", "hb"))
         return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
-    found = join_groups(members, verify, scratch)
+    limit, longs = most_bits_apart(hashes, percent), -(-hashes // 64)
+    found = join_groups(
+        members, verify, scratch,
+        sketch=classes.where("rep is not null").select(F.col("rep").alias("id"), low_bits("sig").alias("sk")),
+        near=lambda a, b: bits_apart(a, b, longs) <= limit,
+        dense=lambda clusters: block_links(clusters, sets, percent, block_shingles), dense_from=dense_from,
+    )
     of_class = classes.select("key", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     done = sketched.select("id", "n", "key").join(of_class, "key", "left")
     component = F.coalesce("component", "id")
