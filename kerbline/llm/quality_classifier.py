@@ -3,8 +3,8 @@
 One logistic classifier sees only what the text looks like, another only the
 page's metadata (source, language, stated length).  Both start from the labelled
 rows; in each round each passes its confident pseudo-labels on unlabelled
-documents to the other.  The two log-odds are then calibrated and combined on
-labelled rows that neither was fitted on, and all documents are scored.
+documents to the other, while that confidence holds on left-out labelled rows.  The two log-odds are then calibrated and combined on
+labelled rows left out of the fits in turn, and all documents are scored.
 
 Fitting uses bounded samples, in a fixed order by hash: at most ``max_labels``
 labelled and ``max_pool`` unlabelled documents.  Scoring is one map over all
@@ -89,7 +89,7 @@ class Logistic:
         return np.clip(z @ self.weights[1:] + self.weights[0], -30, 30)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, rounds: int = 30) -> Logistic:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 0.1, rounds: int = 30) -> Logistic:
     """Newton steps on the penalised likelihood; the intercept is not penalised."""
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale < 1e-9, 1.0, scale)
@@ -126,40 +126,70 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.column_stack([a, b, self.combine.logit(np.column_stack([a, b]))])))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def _at_least(k: int, n: int, z: float = 1.96) -> float:
+    """Lower end of the Wilson interval of k out of n."""
+    if not n:
+        return 0.0
+    p = k / n
+    return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+
 def co_train(
     text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
-    rounds: int = 5, confident: float = 0.97, per_round: int = 400, pseudo_weight: float = 0.3,
+    rounds: int = 5, confident: float = 0.97, per_round: int = 400, pseudo_weight: float = 0.3, trust: float = 0.85, folds: int = 5,
 ) -> CoTrained:
-    """Fit on labelled rows (in their fixed order) and an unlabelled pool; every fifth labelled row is held out for the combination."""
+    """Fit on labelled rows (in their fixed order) and an unlabelled pool.
+
+    A view passes pseudo-labels of a class only while its sureness of that class
+    holds: on labelled rows left out of its fit, fold by fold, at least a share
+    ``trust`` of what it is ``confident`` of must be right, at 95 % certainty.
+    The combination is fitted on the left-out rows' log-odds too.
+    """
     if len(y) == 0 or y.min() == y.max():
         return CoTrained(constant=float(y.mean()) if len(y) else 1.0)
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
-    fit_on, check_on = ~held, held if held.any() else ~held
+    fold = np.zeros(len(y), int)
+    for label in (0, 1):  # each class spread over all folds
+        own = np.flatnonzero(y == label)
+        fold[own] = np.arange(len(own)) % folds
     views = [(text, pool_text), (meta, pool_meta)]
     extra = [(np.zeros(0, int), np.zeros(0)) for _ in views]  # pool rows and pseudo-labels that each view was given
-    models: list[Logistic] = []
+
+    def fit(k: int, rows: np.ndarray) -> Logistic:
+        (x, pool), (given, labels) = views[k], extra[k]
+        weight = np.r_[np.ones(len(rows)), np.full(len(given), pseudo_weight)]
+        return fit_logistic(np.r_[x[rows], pool[given]], np.r_[y[rows], labels], weight)
+
+    def left_out(k: int) -> np.ndarray:
+        """Each labelled row's log-odds by a fit without its fold."""
+        out = np.zeros(len(y))
+        for f in range(folds):
+            rest = np.flatnonzero(fold != f)
+            if (fold == f).any() and len(set(y[rest])) == 2:
+                out[fold == f] = fit(k, rest).logit(views[k][0][fold == f])
+        return out
+
+    every = np.arange(len(y))
     passed = []
     for _ in range(rounds):
-        models = []
-        for (x, pool), (rows, labels) in zip(views, extra, strict=True):
-            weight = np.r_[np.ones(fit_on.sum()), np.full(len(rows), pseudo_weight)]
-            models.append(fit_logistic(np.r_[x[fit_on], pool[rows]], np.r_[y[fit_on], labels], weight))
         given = []
         for k, (_, pool) in enumerate(views):
-            p = 1 / (1 + np.exp(-models[k].logit(pool))) if len(pool) else np.zeros(0)
-            known = extra[1 - k]
-            free = np.ones(len(p), bool)
-            free[known[0]] = False
-            sure = np.flatnonzero(free & ((p >= confident) | (p <= 1 - confident)))
-            # in the labelled rows' proportion, so that the receiving view keeps its base rate
+            p = _sigmoid(fit(k, every).logit(pool)) if len(pool) else np.zeros(0)
+            sure = (p >= confident) | (p <= 1 - confident)
+            sure[extra[1 - k][0]] = False
+            check = _sigmoid(left_out(k))
             picked = []
-            for label, share in ((1, y.mean()), (0, 1 - y.mean())):
-                mine = sure[(p[sure] >= 0.5) == bool(label)]
+            # in the labelled rows' proportion, so that the receiving view keeps its base rate
+            for label, share, claimed in ((1, y.mean(), check >= confident), (0, 1 - y.mean(), check <= 1 - confident)):
+                if _at_least(int((y[claimed] == label).sum()), int(claimed.sum())) < trust:
+                    continue
+                mine = np.flatnonzero(sure & ((p >= 0.5) == bool(label)))
                 mine = mine[np.argsort(-np.abs(p[mine] - 0.5), kind="stable")]
                 picked.append(mine[: int(round(per_round * share))])
-            rows = np.concatenate(picked)
+            rows = np.concatenate(picked) if picked else np.zeros(0, int)
             given.append((rows, (p[rows] >= 0.5).astype(float)))
         for k, (rows, labels) in enumerate(given):
             old = extra[1 - k]
@@ -167,9 +197,8 @@ def co_train(
         passed.append((len(given[0][0]), len(given[1][0])))
         if not any(passed[-1]):
             break
-    logits = np.column_stack([models[0].logit(text), models[1].logit(meta)])
-    combine = fit_logistic(logits[check_on], y[check_on])
-    return CoTrained(models[0], models[1], combine, passed=tuple(passed))
+    combine = fit_logistic(np.column_stack([left_out(0), left_out(1)]), y)
+    return CoTrained(fit(0, every), fit(1, every), combine, passed=tuple(passed))
 
 
 def _features(spark, with_model: CoTrained | None = None):
