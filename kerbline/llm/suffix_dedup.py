@@ -181,7 +181,7 @@ class RunIndex:
             rank = self._ranks(rank.astype(np.int64) * (n + 1) + after)
             span *= 2
             self.levels.append((span, rank))
-        self.order = np.argsort(rank, kind="stable")  # equal suffixes end their strings: by string
+        self.order = np.argsort(rank.astype(np.int64) * n + np.arange(n))  # equal suffixes end their strings: by string
         before = np.where(self.order > 0, text[self.order - 1], 0)
         # a run begins where the byte before differs; end marks are all different
         self.heads = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0)) + 1
@@ -189,7 +189,7 @@ class RunIndex:
 
     @staticmethod
     def _ranks(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(len(key), np.int32)
         rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
@@ -303,9 +303,10 @@ def _spread(hot: DataFrame, length: int, scratch: Scratch) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length: int, bucket_bytes: int, hot_contexts: int) -> DataFrame:
     """(id, s, e): stretches of bytes covered by strings of ``length`` that start more than once; they may touch and overlap."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = source.select("id", F.explode(runs_of(length)("text")).alias("r")).select("id", "r.*")
+    runs = scratch.write(source.select("id", F.explode(runs_of(length)("text")).alias("r")).select("id", "r.*"), "all-runs")
     often = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     kept = scratch.write(runs.join(often, "h", "left_semi"), "runs")
+    scratch.drop(runs)
     classes = scratch.write(kept.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "s", "e")).alias("r")), "classes")
     equal = kept.join(classes.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("id", "s", "e")
 
