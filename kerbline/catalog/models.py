@@ -89,7 +89,7 @@ def leave_group_out(spark, sf_dir):
 
 
 def pseudo_labels(spark, sf_dir):
-    p = predictions(spark, sf_dir).select((F.col("image_id") * 10 + F.length("aid")).alias("item_id"), "aid", F.col("p").alias("probs"), F.when(F.col("image_id") % 8 > 0, kind_of(F.col("image_id") + 3)).alias("ps_label"))
+    p = predictions(spark, sf_dir).select((F.col("image_id") * 10 + F.length("aid")).alias("item_id"), "aid", F.col("p").alias("probs"), F.when(F.col("image_id") % 8 > 0, kind_of(F.col("image_id") + 3)).alias("given_label"))
     return P.pseudo_rows(p, 0.98, True, 20).select("item_id", "aid", "pred", r6("entropy"), r6("sample_weight"))
 
 

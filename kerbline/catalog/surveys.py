@@ -82,7 +82,7 @@ def submissions(spark, sf_dir):
 
 
 def study_yes_rates(spark, sf_dir):
-    trials = spark.range(50).select(F.col("id").alias("image_id"), (F.col("id") / 100).alias("model_p_yes"), F.lit("x").alias("ps_class"), F.create_map(F.lit("click"), F.col("id") / 50).alias("per_aid_p_yes"))
+    trials = spark.range(50).select(F.col("id").alias("image_id"), (F.col("id") / 100).alias("model_p_yes"), F.lit("x").alias("given_class"), F.create_map(F.lit("click"), F.col("id") / 50).alias("per_aid_p_yes"))
     return study.yes_rates(study.image_responses(submissions(spark, sf_dir), trials)).select("image_id", "aid", "n", r6("yes_rate"), r6("model_p_yes"))
 
 

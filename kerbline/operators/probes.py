@@ -258,9 +258,9 @@ def binary_by_mean(scored: DataFrame, item: str = "item_id") -> DataFrame:
     return scored.groupBy(item).agg(F.avg(F.col("probs")[2]).alias("p_yes")).withColumn("pred", F.when(F.col("p_yes") >= 0.5, "yes").otherwise("no"))
 
 
-def consistent(pred: Column, ps_label: Column) -> Column:
+def consistent(pred: Column, given_label: Column) -> Column:
     """A pseudo-label that an existing label does not contradict; without a label "yes" contradicts."""
-    curb = F.coalesce(ps_label == "CurbRamp", F.lit(False))
+    curb = F.coalesce(given_label == "CurbRamp", F.lit(False))
     return ~((curb & (pred == 0)) | (~curb & (pred == 2)))
 
 
@@ -269,7 +269,7 @@ def pseudo_rows(scored: DataFrame, max_entropy: float = 0.5, check_labels: bool
     h = D.normalised_entropy(F.col("probs"))
     kept = scored.withColumn("entropy", h).withColumn("pred", D.argmax(F.col("probs"))).where(F.col("entropy") <= max_entropy)
     if check_labels:
-        kept = kept.where(consistent(F.col("pred"), F.col("ps_label")))
+        kept = kept.where(consistent(F.col("pred"), F.col("given_label")))
     if most:
         kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("aid").orderBy("entropy", item))).where(F.col("_n") <= most).drop("_n")
     return kept.withColumn("y", F.col("probs")).withColumn("sample_weight", weight * (1 - F.col("entropy")))
