@@ -85,7 +85,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "line-dedup"))
+    done = line_dedup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "line-dedup"), whole=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
