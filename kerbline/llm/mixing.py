@@ -16,6 +16,7 @@ target keep, together, the share they have.  An empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,9 +48,18 @@ def format_topic(text: Column, tokens: Column) -> Column:
     )
 
 
-def tempered(alpha: float):
+@dataclass(frozen=True)
+class tempered:
     """Targets in proportion to the observed share to the power ``alpha``: below 1, small categories gain."""
-    return lambda shares: {k: v**alpha for k, v in shares.items()}
+
+    alpha: float
+
+    def __call__(self, shares: Mapping[str, float]) -> dict[str, float]:
+        return {k: v**self.alpha for k, v in shares.items()}
+
+    def column(self, share: Column) -> Column:
+        """The same from a column of shares."""
+        return F.pow(share, F.lit(float(self.alpha)))
 
 
 def full_target(shares: Mapping[str, float], wanted) -> dict[str, float]:
@@ -80,18 +90,27 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return factors, miss
 
 
-def rake_distributed(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweeps: int) -> DataFrame:
+def rake_distributed(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweeps: int, tolerance: float = 0.0) -> DataFrame:
     """The same fit by aggregations, for more cells than one machine should hold: cells with ``weight``.
 
-    ``targets[m]`` has (m, goal), goal in tokens.
+    ``targets[m]`` has (m, goal), goal in tokens.  It ends by the same tolerance
+    as ``rake``: the largest relative miss of a margin after a sweep.
     """
     now = cells.withColumn("weight", F.lit(1.0))
+
+    def masses(margin: str, goal: DataFrame) -> DataFrame:
+        mass = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
+        return mass.join(goal, mass[margin].eqNullSafe(goal[margin])).select(mass[margin].alias("_m"), "mass", "goal")
+
     for _ in range(sweeps):
         for margin, goal in targets.items():
-            mass = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
-            factor = mass.join(goal, mass[margin].eqNullSafe(goal[margin])).select(mass[margin].alias("_m"), F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(1.0).alias("factor"))
+            factor = masses(margin, goal).select("_m", F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(1.0).alias("factor"))
             now = now.join(factor, now[margin].eqNullSafe(factor["_m"])).select(*cells.columns, (F.col("weight") * F.col("factor")).alias("weight"))
         now = scratch.write(now, "raked")
+        if tolerance > 0:
+            missed = (masses(m, g).where("goal > 0").agg(F.max(F.abs(F.col("mass") - F.col("goal")) / F.col("goal"))).first()[0] for m, g in targets.items())
+            if max((x for x in missed if x is not None), default=0.0) < tolerance:
+                break
     return now
 
 
@@ -163,14 +182,17 @@ def mix(
         goals = {}
         for m, share in shares.items():
             goal = wanted[m]
-            if callable(goal):
-                raise ValueError(f"targets for {m} must be a mapping when there are over {local_cells} cells")
-            given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in goal.items()], f"{m} string, want double")
-            joined = share.join(given, m, "left").withColumn("want", F.when(F.col("t") > 0, F.col("want")))
+            if hasattr(goal, "column"):
+                joined = share.withColumn("want", F.when(F.col("t") > 0, goal.column(F.col("t") / F.lit(float(total or 1)))))
+            else:
+                if callable(goal):
+                    goal = goal({r[m]: r.t / (total or 1) for r in share.collect()})  # any function needs the margin's shares at once
+                given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in goal.items()], f"{m} string, want double").withColumnRenamed(m, "_m")
+                joined = share.join(given, share[m].eqNullSafe(given["_m"]), "left").select(m, "t", F.when(F.col("t") > 0, F.col("want")).alias("want"))
             sums = joined.agg(F.sum(F.when(F.col("want").isNull(), F.col("t")).otherwise(0)).alias("free"), F.sum("want").alias("named")).first()
             ratio = (total - (sums.free or 0)) / sums.named if sums.named else 0.0
             goals[m] = joined.select(m, F.coalesce(F.col("want") * ratio, F.col("t").cast("double")).alias("goal"))
-        raked = rake_distributed(cells, goals, scratch, sweeps)
+        raked = rake_distributed(cells, goals, scratch, sweeps, tolerance)
         scale = _scale_distributed(raked, keep * total)
         table = raked.select(*(F.col(m).alias(f"_{m[0]}") for m in MARGINS), "weight", F.least(F.lit(1.0), F.col("weight") * scale).alias("p"))
     same = [measured_key.eqNullSafe(F.col(f"_{m[0]}")) for m, measured_key in keys.items()]
