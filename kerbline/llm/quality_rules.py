@@ -3,7 +3,8 @@
 A text that repeats itself compresses far better than prose of its length, and
 random bytes hardly compress at all.  The rule compresses each whole document
 and each of its fixed chunks with zstandard and rejects it when a ratio leaves
-the band for its length.  Plain counts (symbols, repeated lines, words inside
+the band for its length.  A tail shorter than a chunk is judged as the last full
+chunk that ends with the text.  Plain counts (symbols, repeated lines, words inside
 repeated five-word windows) come with it.
 
 Null and empty texts have no words, so the base rule fails them; a repeated row
@@ -97,6 +98,8 @@ def judge(bands: Bands = DEFAULT_BANDS):
             size = bands.chunk_bytes
             whole = ratio(data)
             parts = [ratio(data[i : i + size]) for i in range(0, max(1, len(data) - size + 1), size)]
+            if len(data) > size and len(data) % size:
+                parts.append(ratio(data[-size:]))  # the tail, as a chunk of full length
             low, high = min(parts), max(parts)
             band = bisect_right(bands.from_bytes, len(data)) - 1
             if reason is None and band >= 0:
