@@ -2,8 +2,9 @@
 
 Two designs for two shapes of the problem.  Many origin-destination pairs over a
 city graph of bounded size: the graph goes to every executor (its edge count is
-checked) and pairs are routed in parallel.  One origin over a graph of any size:
-rounds of relaxation by joins and minima, written to shared storage each round.
+checked) and pairs are routed in parallel.  A larger graph, for pairs or for one
+origin: rounds of relaxation by joins and minima, written to shared storage each
+round.
 
 An edge table has (u, v, k, length, cost[, p_no]); it is undirected.  Of parallel
 edges the one with the least cost is travelled (least length for the bottleneck
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -106,16 +108,21 @@ class _Graph:
         return steps[::-1]
 
 
-def route_pairs(pairs: DataFrame, edges: DataFrame, keys: list[str] = (), minimax: bool = False, max_edges: int = MAX_LOCAL_EDGES) -> DataFrame:
+def route_pairs(
+    pairs: DataFrame, edges: DataFrame, keys: list[str] = (), minimax: bool = False, max_edges: int = MAX_LOCAL_EDGES, scratch: Scratch | None = None
+) -> DataFrame:
     """Each (pair_idx, o, d) with ``steps`` (null without a route), for every value of ``keys`` in ``edges``.
 
     The graph is collected and sent to executors only when it has at most
-    ``max_edges`` edges; for larger ones see ``distances_from``.
+    ``max_edges`` edges.  A larger one is routed by joins where ``scratch`` is
+    given, and is an error where it isn't.
     """
     one = cheapest_parallel_by(edges, list(keys), "length" if minimax else "cost")
+    if scratch is not None and one.limit(max_edges + 1).count() > max_edges:
+        return route_pairs_joined(pairs, one, list(keys), minimax, scratch)
     rows = one.select(*keys, "u", "v", "k", "cost", "length").limit(max_edges + 1).toPandas()
     if len(rows) > max_edges:
-        raise ValueError(f"over {max_edges} edges: use distances_from")
+        raise ValueError(f"over {max_edges} edges: give a scratch folder")
     spark = edges.sparkSession
     parts = {k if isinstance(k, tuple) else (k,): g for k, g in rows.groupby(list(keys))} if keys else {(): rows}
     shared = spark.sparkContext.broadcast(parts)
@@ -139,6 +146,75 @@ def route_pairs(pairs: DataFrame, edges: DataFrame, keys: list[str] = (), minima
     return spread.mapInPandas(solve, schema)
 
 
+def _relaxed(start: DataFrame, arcs: DataFrame, same: list[str], step: Column, scratch: Scratch, max_rounds: int = 100_000) -> DataFrame:
+    """Least labels ``c`` of (same, node) from ``start``, with the arc (pred, k) of the last improvement, over arcs (a, b, w, k).
+
+    ``same``: columns that a label and an arc must share; the other label columns pass on.
+    """
+    names = [c for c in start.columns if c != "c"]
+    shape = start.withColumns({"pred": F.lit(None).cast("long"), "k": F.lit(None).cast("int")})
+    known = front = scratch.write(shape, "known")
+    for _ in range(max_rounds):
+        here = front.drop("pred", "k").withColumnRenamed("node", "a")
+        moved = here.join(arcs, [*same, "a"]).select(*(F.col("b").alias("node") if c == "node" else F.col(c) for c in names), step.alias("c"), F.col("a").alias("pred"), "k")
+        offered = moved.groupBy(*names).agg(F.min(F.struct("c", "pred", "k")).alias("n")).select(*names, "n.*")
+        better = offered.join(known.select(*names, F.col("c").alias("old")), names, "left").where("old is null or c < old").drop("old")
+        front, seen = scratch.write_observed(better, "front")
+        if not seen["rows"]:
+            return known
+        before, known = known, scratch.write(known.join(front.select(*names), names, "left_anti").unionByName(front), "known")
+        scratch.drop(before)
+    raise RuntimeError("no fixed point within the allowed rounds")
+
+
+def route_pairs_joined(pairs: DataFrame, one: DataFrame, keys: list[str], minimax: bool, scratch: Scratch) -> DataFrame:
+    """``route_pairs`` on a graph of any size: all origins are relaxed together by joins and minima, and steps are read back by joins.
+
+    ``one`` has one edge per pair of nodes (and keys).  Minimax routes are
+    shortest among the arcs by which the least maximum is reached.  Of equal
+    predecessors the one settled first counts, as in the local design.
+    """
+    columns = pairs.columns
+    arcs = scratch.write(both_ways(one).select(*keys, "a", "b", F.col("cost").alias("w"), "length", "k"), "arcs")
+    every = pairs.join(arcs.select(*keys).distinct(), how="cross") if keys else pairs
+    asked = scratch.write(every.withColumn("_r", F.monotonically_increasing_id()), "asked")
+    names = [*keys, "o", "node"]
+    start = asked.select(*keys, F.col("o").cast("long").alias("o"), F.col("o").cast("long").alias("node")).distinct()
+    start = start.join(arcs.select(*keys, F.col("a").alias("node")).distinct(), [*keys, "node"], "left_semi").select(*names, F.lit(0.0).alias("c"))
+    label = _relaxed(start, arcs.drop("length"), keys, F.greatest("c", "w") if minimax else F.col("c") + F.col("w"), scratch)
+    ends = {c: label.select(*keys, "o", F.col("node").alias(c), F.col("c").alias(f"c_{c}")) for c in "ab"}
+    reach = F.greatest("c_a", "w") if minimax else F.col("c_a") + F.col("w")
+    tight = arcs.join(ends["a"], [*keys, "a"]).join(ends["b"], [*keys, "o", "b"]).where((reach == F.col("c_b")) & (F.col("b") != F.col("o")))
+    if minimax:
+        tight = scratch.write(tight.select(*keys, "o", "a", "b", F.col("length").alias("w"), "k", F.col("c_a").alias("first")), "tight")
+        label = _relaxed(start, tight.drop("first"), [*keys, "o"], F.col("c") + F.col("w"), scratch)
+        ends = {c: label.select(*keys, "o", F.col("node").alias(c), F.col("c").alias(f"c_{c}")) for c in "ab"}
+        tight = tight.join(ends["a"], [*keys, "o", "a"]).join(ends["b"], [*keys, "o", "b"]).where(F.col("c_a") + F.col("w") == F.col("c_b"))
+    else:
+        tight = tight.withColumn("first", F.lit(0.0))
+    # arcs that add nothing could lead round in a circle; for nodes that have only these the last improvement's arc is taken
+    best = tight.where("c_a < c_b").groupBy(*keys, "o", F.col("b").alias("node")).agg(F.min(F.struct("first", "c_a", "a", "k")).alias("m"))
+    back = label.join(best, names, "left").select(*names, F.coalesce("m.a", "pred").alias("pred"), F.when(F.col("m").isNotNull(), F.col("m.k")).otherwise(F.col("k")).alias("k"))
+    back = scratch.write(back, "back")
+    found = asked.select(*keys, "_r", F.col("o").cast("long").alias("o"), F.col("d").cast("long").alias("node")).join(back.select(*names), names, "left_semi")
+    found = now = scratch.write(found, "found")
+    steps = []
+    while True:
+        step = now.join(back, names).where("pred is not null").select(*keys, "o", "_r", F.col("pred").alias("node"), F.col("node").alias("v"), "k", F.lit(-len(steps)).alias("pos"))
+        table, seen = scratch.write_observed(step, "steps")
+        if not seen["rows"]:
+            break
+        steps.append(table)
+        now = table.select(*keys, "o", "_r", "node")
+    out = found.select("_r")
+    if steps:
+        rows = reduce(DataFrame.unionByName, steps).groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("node").alias("u"), "v", "k"))).alias("s"))  # one route
+        out = out.join(rows, "_r", "left").select("_r", F.coalesce(F.transform("s", lambda x: F.struct(x["u"].alias("u"), x["v"].alias("v"), x["k"].cast("int").alias("k"))), F.array().cast(STEP)).alias("steps"))
+    else:
+        out = out.withColumn("steps", F.array().cast(STEP))
+    return asked.join(out, "_r", "left").select(*columns, *(k for k in keys if k not in columns), "steps")
+
+
 def cheapest_parallel_by(edges: DataFrame, keys: list[str], by: str) -> DataFrame:
     rest = [c for c in ("cost", "length") if c != by]
     lo, hi = F.least("u", "v"), F.greatest("u", "v")
@@ -217,7 +293,7 @@ def stitch(waypoints: DataFrame, edges: DataFrame, route_id: str = "route_id") -
     lists = waypoints.select(route_id, F.array_distinct("nodes").alias("nodes")).where(F.size("nodes") >= 2)
     legs = lists.select(route_id, F.posexplode(F.zip_with(F.slice("nodes", F.lit(1), F.size("nodes") - 1), F.slice("nodes", F.lit(2), F.size("nodes") - 1), lambda a, b: F.struct(a.alias("o"), b.alias("d")))).alias("leg", "x"))
     pairs = legs.select(route_id, "leg", F.col("x.o").alias("o"), F.col("x.d").alias("d"), F.xxhash64(route_id, "leg").alias("pair_idx"))
-    routed = route_pairs(pairs, edges)
+    routed = route_pairs(pairs, edges, scratch=Scratch(edges.sparkSession, "stitch"))
     whole = routed.groupBy(route_id).agg(
         F.bool_and(F.col("steps").isNotNull()).alias("ok"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("leg", "steps"))), lambda x: x["steps"])).alias("steps")
     )
