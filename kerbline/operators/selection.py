@@ -65,16 +65,24 @@ def acquisition(predictions: DataFrame, item: str = "item_id") -> DataFrame:
     return means.select(item, h.alias("entropy"), d.alias("disagreement"), (h * d).alias("hybrid"))
 
 
-def greedy_k_centre(pool: DataFrame, labelled: DataFrame, n: int, scratch: Scratch, key: str = "key", vec: str = "vec") -> DataFrame:
+def greedy_k_centre(pool: DataFrame, labelled: DataFrame, n: int, scratch: Scratch, key: str = "key", vec: str = "vec", block: int = 10_000) -> DataFrame:
     """``n`` pool items, each the farthest from all labelled and chosen ones: (rank, key, distance), ties by key.
 
     A distance column follows the choices; a round is one projection and one
-    maximum, and only the chosen vector comes to the driver.
+    maximum, and only the chosen vector comes to the driver.  All labelled vectors
+    count; they are sent round in numbered blocks of about ``block``.
     """
     spark = pool.sparkSession
-    seeds = labelled.select(F.col(vec).alias("_v"))
-    near = pool.join(F.broadcast(seeds.limit(10_000)), how="cross").groupBy(key, vec).agg(F.min(euclidean(F.col(vec), F.col("_v"))).alias("d"))
-    state = scratch.write(near.select(F.col(key), F.col(vec), "d"), "k-centre")
+    seeds, seen = scratch.write_observed(labelled.select(F.col(vec).alias("_v")), "seeds")
+    n_blocks = max(1, -(-seen["rows"] // block))
+    state = pool.select(F.col(key), F.col(vec), F.lit(None).cast("double").alias("d"))
+    for i in range(n_blocks):
+        part = seeds.where(F.pmod(F.xxhash64("_v"), F.lit(n_blocks)) == i).distinct()  # one block of bounded size
+        met = state.join(F.broadcast(part), F.lit(True), "left")
+        near = met.groupBy(key, vec).agg(F.least(F.min("d"), F.min(euclidean(F.col(vec), F.col("_v")))).alias("d"))
+        state = scratch.write(near, "k-centre")
+    if not seen["rows"]:
+        state = state.where("d is not null")
     chosen = []
     for rank in range(1, n + 1):
         top = state.orderBy(F.desc("d"), key).limit(1).collect()  # one row
