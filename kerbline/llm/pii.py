@@ -25,7 +25,7 @@ class Kind:
 
     ``needs``: a plain string without which no text has a match, or "".
     ``valid``: matched string -> boolean column.  ``context``: words that, within
-    ``PIICONTEXT`` characters before the span, raise the score by 0.3.
+    ``PIICONTEXT`` characters before or after the span, raise the score by 0.3.
     ``least``: spans that score less are dropped (0 keeps all that are valid).
     """
 
@@ -89,8 +89,27 @@ BASE = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", lambda m: F.length(_digits(m)).between(10, 15), 0.5, r"(?i)\b(?:phone|tel|call|mobile|fax)\b"),
 )
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Per country as many characters as it has, in groups of four; of other countries any length."""
+    known = []
+    for n, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(n - 4, 4)
+        known.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    names = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    other = rf"(?!{names})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}+(?: ?[A-Z0-9]{{1,3}})?+"
+    return rf"\b(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(known)}|{other})\b"
+
+
 MORE = (
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+\b", "", mod97_ok, 0.7, r"(?i)\b(?:iban|account|bank)\b"),
+    Kind("iban", _iban(), "", mod97_ok, 0.7, r"(?i)\b(?:iban|account|bank)\b"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", lambda m: ~m.rlike("^(?:000|666|9)"), 0.3, r"(?i)\b(?:ssn|social security)\b", 0.6),
 )
 
@@ -122,7 +141,8 @@ def _located(text: Column, kind: Kind, rank: int) -> Column:
 
     def score(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - PIICONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(PIICONTEXT)))
-        return F.lit(kind.score) + F.when(before.rlike(kind.context), 0.3).otherwise(0.0)
+        after = F.substring(text, s["end"] + 1, F.lit(PIICONTEXT))
+        return F.lit(kind.score) + F.when(before.rlike(kind.context) | after.rlike(kind.context), 0.3).otherwise(0.0)
 
     spans = F.transform(
         F.filter(placed, lambda s: kind.valid(s["m"])),
