@@ -7,20 +7,15 @@ loss of any executor, is columnar, and is computed once.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
+    """The folder named by ``spark.checkpoint.dir``, or one in the warehouse where it is unset; executors share both."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    local = "file://" + tempfile.mkdtemp(prefix="kerbline-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
 class Scratch:
@@ -30,6 +25,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._written = 0
+        self._paths: list[str] = []
 
     def write(self, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return it as a scan of what was written."""
@@ -38,6 +34,7 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self._paths.append(path)
         return out
 
     def write_observed(self, df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
@@ -46,10 +43,16 @@ class Scratch:
         out = self.write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), label)
         return out, seen.get
 
-    def drop(self, df: DataFrame | None) -> None:
-        """Delete a table of this run that no later plan reads."""
-        path = getattr(df, "scratch_path", None)
-        if path and path.startswith(self.root):
-            jvm = self.spark._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables of this run that no later plan reads; what is not one of them is passed over."""
+        self._delete([p for p in self._paths if p in {getattr(df, "scratch_path", None) for df in tables}])
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables of this run but these, which hold what the operator returns."""
+        self._delete([p for p in self._paths if p not in {getattr(df, "scratch_path", None) for df in tables}])
+
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
+            self._paths.remove(path)
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
