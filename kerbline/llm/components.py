@@ -62,7 +62,13 @@ def join_groups(
 
     Each member is first checked against its buckets' first members, the one it
     shares most buckets with before the others; ids found connected are not
-    compared again.  Later rounds choose other members to check against.  What
+    compared again.  Later rounds choose other members to check against.  What is
+    still open is compared completely, but for pairs already in one component:
+    by ``dense`` for clusters around the first member of buckets with at least
+    ``dense_from`` members, pair by pair for the rest.
+
+    Null ids and null buckets are left out; repeated rows do no harm; an empty
+    table gives an empty one.
     """
     members = members.select("bucket", "id")
     links: list[DataFrame] = []
@@ -92,7 +98,8 @@ def join_groups(
         table, seen = scratch.write_observed(found, label)
         if seen["rows"]:
             links.append(table)
-            components = connected_components(reduce(DataFrame.unionByName, links), scratch)
+            scratch.drop(components)
+            components = scratch.write(connected_components(reduce(DataFrame.unionByName, links), scratch), "components")
 
     def settle(pairs: DataFrame) -> None:
         """Verify pairs that were not verified before, and connect what the true links connect."""
@@ -117,6 +124,7 @@ def join_groups(
             settle(stars.groupBy("id").agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
             stars = component_of(component_of(stars, "a", "ca"), "b", "cb").where("ca <> cb")
         settle(stars.select("a", "b").distinct())
+        scratch.drop(rows)
     else:
         rows, n = open_buckets()
         if n and dense is not None:

@@ -232,6 +232,7 @@ def near_duplicates(
         dense=lambda clusters: block_links(clusters, sets, percent, block_shingles), dense_from=dense_from,
     )
     of_class = classes.select("key", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    done = sketched.select("id", "n", "key").join(of_class, "key", "left")
-    component = F.coalesce("component", "id")
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    joined = sketched.select("id", "n", "key").join(of_class, "key", "left")
+    done = scratch.write(joined.select("id", "n", F.coalesce("component", "id").alias("component")), "done")
+    scratch.keep_only(done)
+    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
