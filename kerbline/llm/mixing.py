@@ -8,9 +8,12 @@ solved so that the expected tokens meet the budget.  Whether a document is taken
 depends on its id and the seed only.
 
 Null categories are a category of their own.  Null and empty texts have no
-tokens; they get the weight of their categories.  Targets for categories that no
-document has are left out and the rest scaled to one; categories without a
-target keep, together, the share they have.  An empty table gives an empty one.
+tokens; they get the weight of their categories.  Very long texts count whole.
+Targets for categories that no document has are left out and the rest scaled to
+one; categories without a target keep, together, the share they have.  Repeated
+rows count each, and rows with one id are all sampled or none; ties can't arise,
+as each row is judged by itself.  An empty table gives an empty one.  Extra
+columns pass unchanged whatever their names; one named mix is replaced.
 """
 
 from __future__ import annotations
@@ -152,11 +155,15 @@ def mix(
     all tokens to take.  A column named ``mix`` is replaced.
     """
     wanted = dict(DEFAULT_TARGETS) | dict(targets or {})
-    n = token_count(F.col(text_col).cast("string"))
-    measured = docs.drop("mix").withColumn("_tokens", n)
-    measured = measured.withColumn("_topic", format_topic(F.col(text_col).cast("string"), F.col("_tokens")) if topic is None else topic)
-    keys = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": F.col("_topic").cast("string")}
-    cells, seen = scratch.write_observed(measured.groupBy(*(c.alias(k) for k, c in keys.items())).agg(F.sum("_tokens").alias("tokens")), "cells")
+    # rows travel as one struct, so that their names can't clash with those used here; texts are measured once
+    given = docs.drop("mix")
+    text = F.col(text_col).cast("string")
+    kinds = [F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *([] if topic is None else [topic.cast("string").alias("topic")])]
+    counted = given.select(F.struct(*(F.col(f"`{c}`") for c in given.columns)).alias("row"), text.alias("text"), *kinds, token_count(text).alias("tokens"))
+    if topic is None:
+        counted = counted.withColumn("topic", format_topic(F.col("text"), F.col("tokens")))
+    measured = scratch.write(counted.drop("text"), "measured")
+    cells, seen = scratch.write_observed(measured.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     shares = {m: cells.groupBy(m).agg(F.sum("tokens").alias("t")) for m in MARGINS}
     if seen["rows"] <= local_cells:
         rows = cells.collect()  # at most local_cells rows of counts
@@ -195,12 +202,10 @@ def mix(
         raked = rake_distributed(cells, goals, scratch, sweeps, tolerance)
         scale = _scale_distributed(raked, keep * total)
         table = raked.select(*(F.col(m).alias(f"_{m[0]}") for m in MARGINS), "weight", F.least(F.lit(1.0), F.col("weight") * scale).alias("p"))
-    same = [measured_key.eqNullSafe(F.col(f"_{m[0]}")) for m, measured_key in keys.items()]
+    same = [F.col(m).eqNullSafe(F.col(f"_{m[0]}")) for m in MARGINS]
     joined = measured.join(table, same[0] & same[1] & same[2], "left")
-    inside = F.struct(
-        F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "p", (uniform(F.col(id_col), seed) < F.col("p")).alias("sampled")
-    )
-    return joined.select(*docs.drop("mix").columns, inside.alias("mix"))
+    inside = F.struct("topic", F.col("tokens").alias("n_tokens"), "weight", "p", (uniform(F.col("row")[id_col], seed) < F.col("p")).alias("sampled"))
+    return joined.select("row.*", inside.alias("mix"))
 
 
 def _scale_distributed(raked: DataFrame, budget: float, steps: int = 60) -> float:

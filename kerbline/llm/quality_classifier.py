@@ -1,16 +1,26 @@
 """Quality classifier by co-training of two views.
 
-One logistic classifier sees only what the text looks like, another only the
-page's metadata (source, language, stated length).  Both start from the labelled
-rows; in each round each passes its confident pseudo-labels on unlabelled
-documents to the other, while that confidence holds on left-out labelled rows.  The two log-odds are then calibrated and combined on
-labelled rows left out of the fits in turn, and all documents are scored.
-
-Fitting uses bounded samples, in a fixed order by hash: at most ``max_labels``
-labelled and ``max_pool`` unlabelled documents.  Scoring is one map over all
-documents.  Null labels are left out; with labels of one class only, or none,
-there is nothing to learn and every document is kept with that class's share
-(1.0 without labels).  Null or empty texts have all-zero text features.
+One logistic classifier sees only the text: what it looks like, and its words by
+hashed buckets.  Another sees only the page's metadata: source, language and
+stated length, and how they cross.  Both start from the labelled rows.  In each
+round both score every unlabelled document; each passes the share that it is
+surest of to the other as pseudo-labels, a larger share from round to round,
+while labelled rows left out of its fit bear such labels out.  The two log-odds
+are then calibrated and combined on labelled rows left out of the fits in turn,
+and all documents are scored.
+
+Rounds read stored features of all unlabelled documents; thresholds come from
+counts by score.  What a fit holds is a bounded sample of labelled rows, in a
+fixed order by hash: at most ``max_labels`` labelled ones and ``max_pseudo``
+pseudo-labelled ones of those that a view passes.
+
+Null labels are left out; a document labelled twice counts twice.  With labels
+of one class only, or none, there is nothing to learn and every document is kept
+with that class's share (1.0 without labels).  Null or empty texts have all-zero
+text features; very long ones are read whole.  Repeated rows are scored alike.
+An empty table gives an empty one.  Extra columns pass unchanged whatever their
+names; one named as the result is replaced.  Equal scores are passed on in the
+order of the id's hash.
 """
 
 from __future__ import annotations
@@ -25,14 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from kerbline.llm.arrow import bound_batches, texts
+from kerbline.plans.scratch import Scratch
 
 UPPER = bytes(range(65, 91))
 DIGIT = bytes(range(48, 58))
 LETTER = UPPER + bytes(range(97, 123))
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOL = b"#*$%&|<>{}[]=\\^~_@"
-N_TEXT = 17
-N_META = 2 + 32 + 8
+WORDS = 64  # buckets of hashed words
+N_LOOK = 17
+N_TEXT = N_LOOK + WORDS
+N_META = 2 + 32 + 8 + 64
+#: Bins of equal width that scores are counted in.
+BINS = 2000
 
 
 def text_features(text: str) -> list[float]:
@@ -46,6 +61,9 @@ def text_features(text: str) -> list[float]:
     letters, upper = count(LETTER), count(UPPER)
     lines = [x for x in data.split(b"\n") if x.strip()]
     black = size - count(SPACE)
+    buckets = [0.0] * WORDS
+    for w, k in seen.items():
+        buckets[zlib.crc32(w) % WORDS] += k / n
     return [
         np.log1p(n),
         black / n,
@@ -64,6 +82,7 @@ def text_features(text: str) -> list[float]:
         np.log1p(n / len(lines)),
         (size - len(text)) / size,
         max(map(len, words)) / (20 + max(map(len, words))),
+        *(b**0.5 for b in buckets),
     ]
 
 
@@ -73,6 +92,8 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None) ->
     out[1] = float(n_chars is None)
     out[2 + zlib.crc32((source or "").encode()) % 32] = 1.0
     out[34 + zlib.crc32((lang or "").encode()) % 8] = 1.0
+    crossed = f"{source or ''}\t{lang or ''}\t{int(max(0, n_chars or 0)).bit_length() // 2}"
+    out[42 + zlib.crc32(crossed.encode()) % 64] = 1.0
     return out
 
 
@@ -138,16 +159,41 @@ def _at_least(k: int, n: int, z: float = 1.96) -> float:
     return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
 
 
+class ArrayPool:
+    """Unlabelled rows in memory; ``counts`` and ``take`` are all that co-training asks of a pool."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.views = (text, meta)
+
+    def counts(self, models: list[Logistic]) -> list[np.ndarray]:
+        """Rows by bin of each view's score."""
+        return [np.bincount(bin_of(_sigmoid(m.logit(x))), minlength=BINS) for m, x in zip(models, self.views, strict=True)]
+
+    def take(self, models: list[Logistic], asked: list[list[tuple[int, int, int]]]) -> list[list[np.ndarray]]:
+        """Per view and (lowest bin, highest bin, rows): the other view's features of that many rows at most, in the pool's order."""
+        out = []
+        for k, (model, x) in enumerate(zip(models, self.views, strict=True)):
+            at = bin_of(_sigmoid(model.logit(x)))
+            out.append([self.views[1 - k][(at >= lo) & (at <= hi)][:n] for lo, hi, n in asked[k]])
+        return out
+
+
+def bin_of(p: np.ndarray) -> np.ndarray:
+    return np.minimum((p * BINS).astype(int), BINS - 1)
+
+
 def co_train(
-    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
-    rounds: int = 5, confident: float = 0.97, per_round: int = 400, pseudo_weight: float = 0.3, trust: float = 0.85, folds: int = 5,
+    text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool, rounds: int = 4, share: float = 0.1,
+    max_pseudo: int = 2000, pseudo_weight: float = 0.2, trust: float = 0.8, folds: int = 5,
 ) -> CoTrained:
-    """Fit on labelled rows (in their fixed order) and an unlabelled pool.
-
-    A view passes pseudo-labels of a class only while its sureness of that class
-    holds: on labelled rows left out of its fit, fold by fold, at least a share
-    ``trust`` of what it is ``confident`` of must be right, at 95 % certainty.
-    The combination is fitted on the left-out rows' log-odds too.
+    """Fit on labelled rows (in their fixed order) and a pool of unlabelled ones.
+
+    In round r a view passes the r * ``share`` of the pool that it is surest of,
+    each class in the labelled rows' proportion.  It passes a class only while,
+    of labelled rows left out of its fit, fold by fold, at least a share
+    ``trust`` of those it is as sure of have that class, at 95 % certainty; all
+    of a bin of scores count or none.  The combination is fitted on the left-out
+    rows' log-odds too.
     """
     if len(y) == 0 or y.min() == y.max():
         return CoTrained(constant=float(y.mean()) if len(y) else 1.0)
@@ -155,13 +201,13 @@ def co_train(
     for label in (0, 1):  # each class spread over all folds
         own = np.flatnonzero(y == label)
         fold[own] = np.arange(len(own)) % folds
-    views = [(text, pool_text), (meta, pool_meta)]
-    extra = [(np.zeros(0, int), np.zeros(0)) for _ in views]  # pool rows and pseudo-labels that each view was given
+    views = (text, meta)
+    extra = [(np.zeros((0, x.shape[1])), np.zeros(0)) for x in views]  # features and pseudo-labels that each view was given
 
     def fit(k: int, rows: np.ndarray) -> Logistic:
-        (x, pool), (given, labels) = views[k], extra[k]
+        given, labels = extra[k]
         weight = np.r_[np.ones(len(rows)), np.full(len(given), pseudo_weight)]
-        return fit_logistic(np.r_[x[rows], pool[given]], np.r_[y[rows], labels], weight)
+        return fit_logistic(np.r_[views[k][rows], given], np.r_[y[rows], labels], weight)
 
     def left_out(k: int) -> np.ndarray:
         """Each labelled row's log-odds by a fit without its fold."""
@@ -169,52 +215,99 @@ def co_train(
         for f in range(folds):
             rest = np.flatnonzero(fold != f)
             if (fold == f).any() and len(set(y[rest])) == 2:
-                out[fold == f] = fit(k, rest).logit(views[k][0][fold == f])
+                out[fold == f] = fit(k, rest).logit(views[k][fold == f])
         return out
 
     every = np.arange(len(y))
     passed = []
-    for _ in range(rounds):
-        given = []
-        for k, (_, pool) in enumerate(views):
-            p = _sigmoid(fit(k, every).logit(pool)) if len(pool) else np.zeros(0)
-            sure = (p >= confident) | (p <= 1 - confident)
-            sure[extra[1 - k][0]] = False
-            check = _sigmoid(left_out(k))
-            picked = []
-            # in the labelled rows' proportion, so that the receiving view keeps its base rate
-            for label, share, claimed in ((1, y.mean(), check >= confident), (0, 1 - y.mean(), check <= 1 - confident)):
-                if _at_least(int((y[claimed] == label).sum()), int(claimed.sum())) < trust:
-                    continue
-                mine = np.flatnonzero(sure & ((p >= 0.5) == bool(label)))
-                mine = mine[np.argsort(-np.abs(p[mine] - 0.5), kind="stable")]
-                picked.append(mine[: int(round(per_round * share))])
-            rows = np.concatenate(picked) if picked else np.zeros(0, int)
-            given.append((rows, (p[rows] >= 0.5).astype(float)))
-        for k, (rows, labels) in enumerate(given):
-            old = extra[1 - k]
-            extra[1 - k] = (np.r_[old[0], rows], np.r_[old[1], labels])
-        passed.append((len(given[0][0]), len(given[1][0])))
+    for turn in range(1, rounds + 1):
+        models = [fit(k, every) for k in range(2)]
+        asked, labels = [], []
+        for k, counts in enumerate(pool.counts(models)):
+            check = bin_of(_sigmoid(left_out(k)))
+            want = min(1.0, turn * share) * counts.sum()
+            spans = []
+            for label, part in ((1, y.mean()), (0, 1 - y.mean())):
+                # bins from the surest on, while they hold what is wanted and on their class's side
+                order = np.arange(BINS - 1, BINS // 2 - 1, -1) if label else np.arange(BINS // 2)
+                reach = np.cumsum(counts[order])
+                edge = order[min(np.searchsorted(reach, max(1.0, want * part)), len(order) - 1)]
+                lo, hi = (edge, BINS - 1) if label else (0, edge)
+                claimed = (check >= lo) & (check <= hi)
+                if reach[-1] and _at_least(int((y[claimed] == label).sum()), int(claimed.sum())) >= trust:
+                    spans.append((int(lo), int(hi), int(round(max_pseudo * part)), label))
+            asked.append([x[:3] for x in spans])
+            labels.append([x[3] for x in spans])
+        for k, found in enumerate(pool.take(models, asked)):
+            extra[1 - k] = (np.concatenate([np.zeros((0, views[1 - k].shape[1])), *found]), np.concatenate([np.zeros(0), *(np.full(len(x), float(c)) for x, c in zip(found, labels[k], strict=True))]))
+        passed.append((len(extra[1][1]), len(extra[0][1])))
         if not any(passed[-1]):
             break
     combine = fit_logistic(np.column_stack([left_out(0), left_out(1)]), y)
     return CoTrained(fit(0, every), fit(1, every), combine, passed=tuple(passed))
 
 
-def _features(spark, with_model: CoTrained | None = None):
-    """struct column function over (text, source, lang, n_chars): features, or scores when a model is given."""
-    kind = "p_text double, p_meta double, score double" if with_model else "x array<double>, m array<double>"
+def _batch(x: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' features from stored text features and metadata columns."""
+    meta = [meta_features(*r) for r in zip(source.to_pylist(), lang.to_pylist(), n_chars.to_pylist(), strict=True)]
+    return np.array(x.to_pylist(), float).reshape(-1, N_TEXT), np.array(meta, float).reshape(-1, N_META)
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def looks(text: pa.Array) -> pa.Array:
+    """text -> the text view's features."""
+    return pa.array([text_features(t) for t in texts(text)], pa.list_(pa.float32()))
+
+
+def _bins(models: list[Logistic]):
+    """Stored features -> the bin of each view's score."""
 
-    @F.arrow_udf(T._parse_datatype_string(kind))
+    @F.arrow_udf(T._parse_datatype_string("text int, meta int"))
+    def apply(x: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> pa.Array:
+        found = [bin_of(_sigmoid(m.logit(v))) for m, v in zip(models, _batch(x, source, lang, n_chars), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(f.astype(np.int32)) for f in found], names=["text", "meta"])
+
+    return apply
+
+
+class TablePool:
+    """Unlabelled documents with stored text features: (id, x, source, lang, n_chars)."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def _scored(self, models: list[Logistic]) -> DataFrame:
+        return self.table.withColumn("bin", _bins(models)("x", "source", "lang", "n_chars"))
+
+    def counts(self, models: list[Logistic]) -> list[np.ndarray]:
+        each = self._scored(models).select(F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("bin.text").alias("b")), F.struct(F.lit(1).alias("k"), F.col("bin.meta").alias("b")))).alias("s"))
+        out = [np.zeros(BINS, int) for _ in range(2)]
+        for r in each.groupBy("s.k", "s.b").count().collect():  # at most two rows for each bin
+            out[r.k][r.b] = r["count"]
+        return out
+
+    def take(self, models: list[Logistic], asked: list[list[tuple[int, int, int]]]) -> list[list[np.ndarray]]:
+        scored = self._scored(models)
+        out = []
+        for k, view in enumerate(("text", "meta")):
+            out.append([])
+            for lo, hi, n in asked[k]:
+                rows = scored.where(F.col(f"bin.{view}").between(lo, hi)).orderBy(F.xxhash64("id"), "id").limit(n).drop("bin").toArrow()  # at most max_pseudo rows
+                both = _batch(*(rows[c].combine_chunks() for c in ("x", "source", "lang", "n_chars")))
+                out[k].append(both[1 - k])
+        return out
+
+
+def _scores(model: CoTrained):
+    """(text, source, lang, n_chars) -> scores."""
+
+    @F.arrow_udf(T._parse_datatype_string("p_text double, p_meta double, score double"))
     def apply(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, source, lang, n_chars in batches:
-            x = [text_features(t) for t in texts(text)]
-            m = [meta_features(*r) for r in zip(source.to_pylist(), lang.to_pylist(), n_chars.to_pylist(), strict=True)]
-            if with_model is None:
-                yield pa.StructArray.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(m, pa.list_(pa.float64()))], names=["x", "m"])
-            else:
-                p = with_model.score(np.array(x, float).reshape(-1, N_TEXT), np.array(m, float).reshape(-1, N_META))
-                yield pa.StructArray.from_arrays([pa.array(p[:, k], pa.float64()) for k in range(3)], names=["p_text", "p_meta", "score"])
+            # rounded as stored features are
+            x = pa.array([text_features(t) for t in texts(text)], pa.list_(pa.float32()))
+            p = model.score(*_batch(x, source, lang, n_chars))
+            yield pa.StructArray.from_arrays([pa.array(p[:, k], pa.float64()) for k in range(3)], names=["p_text", "p_meta", "score"])
 
     return apply
 
@@ -223,30 +316,29 @@ def _inputs() -> list:
     return [F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labels: int = 6000, max_pool: int = 6000, **options) -> CoTrained:
-    """Co-train on bounded samples; the order by hash makes them the same in every run."""
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, label_col: str = "quality", max_labels: int = 6000, **options) -> CoTrained:
+    """Co-train on at most ``max_labels`` labelled documents and all others; the order by hash makes the sample the same in every run."""
     bound_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y in (0.0, 1.0)")
-    order = [F.xxhash64("id"), F.col("id"), F.col("y")]
-    ids = docs.select(F.col("doc_id").alias("id"))
-    taught = known.join(ids.distinct(), "id", "left_semi").orderBy(*order).limit(max_labels)
-    pool = ids.join(known, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(max_pool).select("id", F.lit(None).cast("double").alias("y"))
-    chosen = taught.unionByName(pool)
-    # at most max_labels + max_pool rows of two numbers
-    rows = (
-        docs.withColumnRenamed("doc_id", "id")
-        .join(F.broadcast(chosen), "id")
-        .select("id", "y", _features(docs.sparkSession)(*_inputs()).alias("f"))
-        .orderBy(*order)
-        .collect()
-    )
-    pick = lambda labelled, key, n: np.array([r.f[key] for r in rows if (r.y is not None) == labelled], float).reshape(-1, n)
-    y = np.array([r.y for r in rows if r.y is not None])
-    return co_train(pick(True, "x", N_TEXT), pick(True, "m", N_META), y, pick(False, "x", N_TEXT), pick(False, "m", N_META), **options)
+    names = ("text", "source", "lang", "n_chars")
+    pure = docs.select(F.col("doc_id").alias("id"), *(c.alias(n) for c, n in zip(_inputs(), names, strict=True)))
+    order = [F.xxhash64("id"), "id", "y"]
+    taught = known.join(pure.select("id").distinct(), "id", "left_semi").orderBy(*order).limit(max_labels)
+    # at most max_labels rows of two numbers
+    rows = pure.join(F.broadcast(taught), "id").select("id", "y", looks("text").alias("x"), "source", "lang", "n_chars").orderBy(*order, "source", "lang", "n_chars").toArrow()
+    y = rows["y"].to_numpy().astype(float)
+    text, meta = _batch(*(rows[c].combine_chunks() for c in ("x", "source", "lang", "n_chars")))
+    if len(y) == 0 or y.min() == y.max():
+        return co_train(text, meta, y, None)
+    unknown = pure.join(known.select("id").distinct(), "id", "left_anti")
+    stored = scratch.write(unknown.select("id", looks("text").alias("x"), "source", "lang", "n_chars"), "features")
+    model = co_train(text, meta, y, TablePool(stored), **options)
+    scratch.drop(stored)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained, out: str = "quality", threshold: float = 0.5) -> DataFrame:
     """Every row with a struct ``out``: p_text, p_meta, score, and kept (score at least ``threshold``).  A column of that name is replaced."""
     bound_batches(docs.sparkSession)
-    scored = docs.withColumn(out, _features(docs.sparkSession, model)(*_inputs()))
+    scored = docs.withColumn(out, _scores(model)(*_inputs()))
     return scored.withColumn(out, F.col(out).withField("kept", F.col(f"{out}.score") >= threshold))

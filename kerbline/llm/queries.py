@@ -55,7 +55,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), Scratch(spark, "quality"))
     return quality_classifier.score(docs, model).select("doc_id", "quality.*")
 
 
