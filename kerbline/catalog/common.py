@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kerbline.functions.constants import AID_KEYS, PASSABILITY, PRIORS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,19 +80,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
     raw = li.crossJoin(F.broadcast(n)).select(  # one row
         F.col("l_suppkey").alias("u"), (F.col("l_partkey") % F.col("n") + 1).alias("v"), (F.col("l_linenumber") % 2).cast("int").alias("k"), F.col("l_quantity").alias("length"), F.col("l_discount").alias("d"), F.col("l_orderkey").alias("o")
-    ).where("o % 20 = 0")
+    )
     return raw.groupBy("u", "v", "k").agg(F.min("length").alias("length"), (1 - 8 * F.min("d")).alias("p_yes"), F.array(F.min("o") % 3000, F.max("o") % 3000).alias("way_ids"))
 
 
 EDGES = """edges AS (SELECT l_suppkey AS u, l_partkey % (SELECT count(*) FROM supplier) + 1 AS v, (l_linenumber % 2)::INT AS k, min(l_quantity) AS length,
-  1 - 8 * min(l_discount) AS p_yes, [min(l_orderkey) % 3000, max(l_orderkey) % 3000] AS way_ids FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2, 3)"""
+  1 - 8 * min(l_discount) AS p_yes, [min(l_orderkey) % 3000, max(l_orderkey) % 3000] AS way_ids FROM lineitem GROUP BY 1, 2, 3)"""
 
 HAV = "(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin((radians({b}.lat) - radians({a}.lat)) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin((radians({b}.lon) - radians({a}.lon)) / 2), 2)))))"
-PRIORS_SQL = "priors AS (SELECT * FROM (VALUES ('walking_cane', 0.75), ('walker', 0.68), ('mobility_scooter', 0.60), ('manual_wheelchair', 0.50), ('motorized_wheelchair', 0.55)) t(aid, prior))"
 
 
-def passability_sql() -> str:
-    from kerbline.functions.constants import AID_KEYS, PASSABILITY
+PRIORS_SQL = f"priors AS (SELECT * FROM (VALUES {', '.join(f"('{aid}', {p})" for aid, p in PRIORS.items())}) t(aid, prior))"
 
+
+def passability_sql() -> str:
     rows = ", ".join(f"('{kind}', '{aid}', {p})" for kind, ps in PASSABILITY.items() for aid, p in zip(AID_KEYS, ps, strict=True))
     return f"known AS (SELECT * FROM (VALUES {rows}) t(label_type, aid, p))"

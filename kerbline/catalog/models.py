@@ -22,13 +22,11 @@ def normalised(spark, sf_dir):
 
 def support_distance(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return stats.nearest_reference(v.where("label <> 0 or key % 2 = 0"), v.where("label = 0")).select("key", r6("dist"))
+    return stats.nearest_reference(v, v.where("label = 0")).select("key", r6("dist"))
 
 
 def dimension_scale(spark, sf_dir):
-    d = vectors(spark, sf_dir).select(F.posexplode("vec").alias("dim", "x"))
-    s = F.stddev_pop(F.col("x").cast("double"))
-    return d.groupBy("dim").agg(r6(F.when(s < 1e-12, 1.0).otherwise(s), "divisor"))
+    return stats.dimension_scale(vectors(spark, sf_dir)).select("dim", r6("divisor"))
 
 
 def softmax(spark, sf_dir):
@@ -83,8 +81,7 @@ def folds(spark, sf_dir):
 
 
 def leave_group_out(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").where("c_custkey % 10 = 0 or c_mktsegment <> 'BUILDING'")
-    out = P.leave_group_out(rows.where("c_custkey <= 400"), "c_mktsegment")
+    out = P.leave_group_out(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment")
     return out.groupBy("held_out").agg(F.count_if("is_test").alias("test"), F.count_if(~F.col("is_test")).alias("train"))
 
 
@@ -95,7 +92,7 @@ def pseudo_labels(spark, sf_dir):
 
 def training_rows(spark, sf_dir):
     """Vectors joined to cells of votes, image by image."""
-    v = vectors(spark, sf_dir).where("key < 52").select(F.col("key").alias("image_id"), F.transform(F.slice("vec", 1, 16), lambda x: x.cast("double")).alias("vec"))
+    v = vectors(spark, sf_dir).select(F.col("key").alias("image_id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     from kerbline.operators.tally import tally
 
     t = tally(votes(spark, sf_dir)).join(v, "image_id")
@@ -116,14 +113,24 @@ def cross_validated(spark, sf_dir):
 
 def inference(spark, sf_dir):
     w = P.fit_final(training_rows(spark, sf_dir))
-    items = vectors(spark, sf_dir).select(F.col("key").alias("item_id"), F.slice("vec", 1, 16).alias("vec"))
+    items = vectors(spark, sf_dir).select(F.col("key").alias("item_id"), "vec")
     return P.summarise_predictions(P.apply_probes(items, w)).drop("vec", "probs")
 
 
+def self_training(spark, sf_dir):
+    """Held-out Brier scores and accuracy with and without pseudo-labels of the unvoted vectors."""
+    from kerbline.operators import metrics as M
+
+    rows = training_rows(spark, sf_dir)
+    pool = vectors(spark, sf_dir).join(rows.select(F.col("item_id").alias("key")).distinct(), "key", "left_anti").select(F.col("key").alias("item_id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), kind_of(F.col("key")).alias("given_label"))
+    done = P.self_trained(rows, pool, Scratch(spark, "self-training"), max_entropy=0.9, most=50)
+    return done.groupBy("model", "aid").agg(F.count("*").alias("n"), M.brier_soft("probs", "y").alias("brier"), F.avg((D.argmax(F.col("probs")) == F.col("label")).cast("double")).alias("accuracy"))
+
+
 QUERIES = {
     "vector_norms": normalised, "support_distance": support_distance, "dimension_scale": dimension_scale, "softmax_temperature": softmax, "centroid_probe": centroid_probe, "acquisition": acquisition, "top_ranked": top_ranked,
     "top_fraction": top_fraction, "balanced_top": balanced_top, "sample_n": sampled, "sample_fraction": sampled_fraction, "k_centre": k_centre, "folds": folds, "leave_group_out": leave_group_out, "pseudo_labels": pseudo_labels,
-    "cross_validated": cross_validated, "probe_inference": inference,
+    "cross_validated": cross_validated, "probe_inference": inference, "self_training": self_training,
 }
 
 _VEC = "v AS (SELECT vec_id AS key, embedding::DOUBLE[] AS vec, label FROM embeddings)"
@@ -133,7 +140,7 @@ _H = "-(greatest(p0, 1e-12) * ln(greatest(p0, 1e-12)) + greatest(p1, 1e-12) * ln
 SQL = {
     "vector_norms": f"WITH {_VEC}, n AS (SELECT key, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS n FROM v) SELECT key, round(n, 6) AS norm, round(vec[1] / n, 6) AS first, 1.0::DOUBLE AS unit FROM n",
     "support_distance": f"""WITH {_VEC}, n AS (SELECT key, label, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS u FROM v)
-SELECT a.key, round(min(1 - list_dot_product(a.u, b.u)), 6) AS dist FROM n a JOIN n b ON b.label = 0 AND a.key <> b.key WHERE a.label <> 0 OR a.key % 2 = 0 GROUP BY 1""",
+SELECT a.key, round(min(1 - list_dot_product(a.u, b.u)), 6) AS dist FROM n a JOIN n b ON b.label = 0 AND a.key <> b.key GROUP BY 1""",
     "dimension_scale": f"WITH {_VEC}, d AS (SELECT unnest(range(len(vec)))::INT AS dim, unnest(vec) AS x FROM v) SELECT dim, round(stddev_pop(x), 6) AS divisor FROM d GROUP BY 1",
     "softmax_temperature": f"""WITH {_VEC}, e AS (SELECT key, exp((vec[1] - m) / 2) a, exp((vec[2] - m) / 2) b, exp((vec[3] - m) / 2) c FROM (SELECT *, greatest(vec[1], vec[2], vec[3]) AS m FROM v))
 SELECT key, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2, (CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END)::INT AS best FROM e""",
@@ -148,8 +155,8 @@ SELECT image_id AS item_id, round(h, 6) AS entropy, round(d, 6) AS disagreement,
     "sample_fraction": f"SELECT o_orderkey FROM orders WHERE {_MIX.format(k='o_orderkey', s=7)} < 429496729",
     "folds": f"""WITH i AS (SELECT c_custkey AS item_id, c_custkey % 3 AS label, {_MIX.format(k='c_custkey', s=42)} AS h FROM customer)
 SELECT item_id, label, ((row_number() OVER (ORDER BY label, h, item_id) - 1) % 5)::INT AS fold, (ntile(5) OVER (ORDER BY h, item_id) - 1)::INT AS plain FROM i""",
-    "leave_group_out": """WITH r AS (SELECT * FROM customer WHERE (c_custkey % 10 = 0 OR c_mktsegment <> 'BUILDING') AND c_custkey <= 400), g AS (SELECT c_mktsegment AS held_out FROM r GROUP BY 1 HAVING count(*) >= 2)
-SELECT held_out, count(*) FILTER (c_mktsegment = held_out) AS test, count(*) FILTER (c_mktsegment <> held_out) AS train FROM r, g GROUP BY 1""",
+    "leave_group_out": """WITH g AS (SELECT c_mktsegment AS held_out FROM customer GROUP BY 1 HAVING count(*) >= 2)
+SELECT held_out, count(*) FILTER (c_mktsegment = held_out) AS test, count(*) FILTER (c_mktsegment <> held_out) AS train FROM customer, g GROUP BY 1""",
     "pseudo_labels": f"""WITH {PRED}, h AS (SELECT image_id * 10 + length(aid) AS item_id, aid, pred, CASE WHEN image_id % 8 > 0 THEN {KIND.format(k='image_id + 3')} END AS l, {_H} AS h FROM pred),
 f AS (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY h, item_id) AS i FROM h WHERE h <= 0.98 AND NOT ((coalesce(l, '') = 'CurbRamp' AND pred = 0) OR (coalesce(l, '') <> 'CurbRamp' AND pred = 2)))
 SELECT item_id, aid, pred::INT AS pred, round(h, 6) AS entropy, round(0.3 * (1 - h), 6) AS sample_weight FROM f WHERE i <= 20""",

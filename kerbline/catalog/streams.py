@@ -51,8 +51,10 @@ def stream_sliding(spark, sf_dir):
 
 
 def stream_sessions(spark, sf_dir):
-    rows = settled(ST.sessions(stream_of(spark, sf_dir), "pid", "6 hours", late="0 seconds"))
-    return rows.select("pid", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
+    """All sessions, those still open at the end too: each batch gives every session, and the last one counts."""
+    rows = settled(ST.sessions(stream_of(spark, sf_dir), "pid", "6 hours", late="40 days"), "complete")
+    last = rows.agg(F.max("_batch").alias("_last"))  # one row
+    return rows.crossJoin(F.broadcast(last)).where("_batch = _last").select("pid", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
 
 
 def stream_first_votes(spark, sf_dir):
@@ -65,5 +67,8 @@ SQL = {
     "stream_tally": f'WITH {VOTES}, {TALLY} SELECT image_id, aid, "no", unsure, yes FROM tallies',
     "stream_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS aid, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_sliding": "WITH d AS (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS s FROM events) SELECT strftime(s, '%Y-%m-%d') AS day, count(*) AS n FROM d GROUP BY 1",
+    "stream_sessions": """WITH e AS (SELECT user_id AS pid, ts, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR, true) AS fresh FROM events),
+s AS (SELECT pid, ts, sum(fresh::INT) OVER (PARTITION BY pid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM e)
+SELECT pid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM s GROUP BY pid, i""",
     "stream_first_votes": f"WITH {VOTES} SELECT DISTINCT pid, aid, image_id FROM votes",
 }

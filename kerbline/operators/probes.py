@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from kerbline.functions import distributions as D
 from kerbline.functions.vectors import linear
 from kerbline.operators.selection import mixed_int
+from kerbline.plans.ranks import RANGES, placed
+from kerbline.plans.scratch import Scratch
 
 LR, EPOCHS, WEIGHT_DECAY, SEED = 1e-3, 50, 1e-4, 42
 
@@ -156,15 +158,29 @@ def tune_temperature(logits: np.ndarray, label: np.ndarray, low: float = 0.05, h
 # ---- folds -----------------------------------------------------------------------------------------------------------
 
 
+def _span(h: Column) -> Column:
+    """Ranges of equal width of ``mixed_int``, whose values are spread evenly over 31 bits."""
+    return F.floor(h * RANGES / 2147483647).cast("int")
+
+
 def stratified_folds(items: DataFrame, k: int, label: str = "label", key: str = "item_id", seed: int = SEED) -> DataFrame:
     """Items dealt to k folds so that each class is spread evenly; with fewer items than folds each is its own fold."""
-    order = Window.orderBy(label, mixed_int(F.col(key), seed), key)
-    return items.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    low = items.groupBy(label).agg(F.count("*").alias("_n"))  # a row for each class
+    first = low.select(label, F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    h = mixed_int(F.col(key), seed)
+    dealt = placed(items.join(first, items[label].eqNullSafe(first[label])).drop(first[label]), [label], _span(h), [h, key], "_place")
+    return dealt.withColumn("fold", ((F.col("_first") + F.col("_place")) % k).cast("int")).select(*items.columns, "fold")
 
 
 def plain_folds(items: DataFrame, k: int, key: str = "item_id", seed: int = SEED) -> DataFrame:
     """The same folds for every variant: k equal runs of a fixed order."""
-    return items.withColumn("fold", (F.ntile(k).over(Window.orderBy(mixed_int(F.col(key), seed), key)) - 1).cast("int"))
+    h = mixed_int(F.col(key), seed)
+    n = items.agg(F.count("*").alias("_n"))  # one row
+    dealt = placed(items, [], _span(h), [h, key], "_place").crossJoin(F.broadcast(n))
+    # the first n mod k runs have one item more
+    long, size = F.col("_n") % k, F.floor(F.col("_n") / k)
+    run = F.when(F.col("_place") < long * (size + 1), F.floor(F.col("_place") / (size + 1))).otherwise(long + F.floor((F.col("_place") - long * (size + 1)) / F.greatest(size, F.lit(1))))
+    return dealt.withColumn("fold", run.cast("int")).select(*items.columns, "fold")
 
 
 def leave_group_out(rows: DataFrame, group: str, least: int = 2) -> DataFrame:
@@ -264,6 +280,25 @@ def consistent(pred: Column, given_label: Column) -> Column:
     return ~((curb & (pred == 0)) | (~curb & (pred == 2)))
 
 
+def self_trained(rows: DataFrame, pool: DataFrame, scratch: Scratch, held: int = 0, options: dict | None = None, **rules) -> DataFrame:
+    """Held-out predictions of a probe on real votes and of one fitted again with pseudo-labels of a pool: model, aid, item_id, y, label, probs.
+
+    ``rows`` as for ``cross_validate``; fold ``held`` is left out of both fits.
+    ``pool``: item_id, vec, and given_label where labels are checked.  ``rules``
+    go to ``pseudo_rows``.  Without surviving pseudo-labels both fits are one.
+    """
+    train, test = rows.where(F.col("fold") != held), rows.where(F.col("fold") == held)
+    real = train.select("item_id", "aid", "vec", "y", "sample_weight")
+    first = scratch.write(fit_final(real, **(options or {})), "first")
+    kept = pseudo_rows(apply_probes(pool, first), **rules).select("item_id", "aid", "vec", "y", "sample_weight")
+    again = scratch.write(fit_final(real.unionByName(kept), **(options or {})), "again")
+    out = None
+    for name, weights in (("votes", first), ("votes and pseudo-labels", again)):
+        own = test.join(apply_probes(test.select("item_id", "vec").distinct(), weights).drop("vec"), ["item_id", "aid"]).select(F.lit(name).alias("model"), "aid", "item_id", "y", "label", "probs")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def pseudo_rows(scored: DataFrame, max_entropy: float = 0.5, check_labels: bool = True, most: int = 0, weight: float = 0.3, item: str = "item_id") -> DataFrame:
     """Confident pool predictions as training rows: y, sample_weight = weight * (1 - entropy); the most confident ``most`` per aid, 0 for all."""
     h = D.normalised_entropy(F.col("probs"))

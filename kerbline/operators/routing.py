@@ -19,9 +19,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.functions import distributions as D
+from kerbline.plans.ranks import bounds_of, percentiles, placed, range_of
 from kerbline.plans.scratch import Scratch
 
 #: Edges that a graph sent to every executor may have (about 200 MB there).
@@ -64,6 +65,7 @@ class _Graph:
     def __init__(self, nodes: np.ndarray, start: np.ndarray, to: np.ndarray, cost: np.ndarray, length: np.ndarray, k: np.ndarray):
         self.nodes, self.start, self.to, self.cost, self.length, self.k = nodes, start, to, cost, length, k
         self.place = {int(n): i for i, n in enumerate(nodes)}
+        self.search: tuple | None = None
 
     @classmethod
     def of(cls, rows: pd.DataFrame) -> _Graph:
@@ -76,18 +78,19 @@ class _Graph:
         return cls(nodes, start, b[order], twice("cost")[order].astype(float), twice("length")[order].astype(float), twice("k")[order])
 
     def route(self, o: int, d: int, minimax: bool) -> list[dict] | None:
-        """Steps of the best route; empty for o = d; None without a route.  Equal costs go to the lower node."""
+        """Steps of the best route; empty for o = d; None without a route.  Equal costs go to the lower node.
+
+        The last origin's search is kept and goes on from where it stopped, so
+        pairs of one origin cost one search together.
+        """
         if o not in self.place or d not in self.place:
             return None
         source, goal = self.place[o], self.place[d]
-        best: dict[int, tuple] = {source: (0.0, 0.0)}
-        came: dict[int, tuple[int, int]] = {}
-        queue = [(0.0, 0.0, source)]
-        settled = set()
-        while queue:
+        if self.search is None or self.search[0] != (source, minimax):
+            self.search = (source, minimax), {source: (0.0, 0.0)}, {}, [(0.0, 0.0, source)], set()
+        _, best, came, queue, settled = self.search
+        while queue and goal not in settled:
             c, n, x = heapq.heappop(queue)
-            if x == goal:
-                break
             if x in settled:
                 continue
             settled.add(x)
@@ -98,7 +101,7 @@ class _Graph:
                     best[y] = new
                     came[y] = (x, i)
                     heapq.heappush(queue, (*new, y))
-        if goal != source and goal not in came:
+        if goal not in settled:
             return None
         steps, x = [], goal
         while x != source:
@@ -142,7 +145,8 @@ def route_pairs(
             yield batch.assign(steps=steps)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields) + f", steps {STEP}"
-    spread = asked.repartition(spark.sparkContext.defaultParallelism, "pair_idx")  # few rows, much work each
+    # few rows, much work each; origins together within a task
+    spread = asked.repartition(spark.sparkContext.defaultParallelism, "pair_idx").sortWithinPartitions("o", "pair_idx")
     return spread.mapInPandas(solve, schema)
 
 
@@ -240,7 +244,8 @@ def distances_from(edges: DataFrame, source: int, scratch: Scratch, minimax: boo
         front, seen = scratch.write_observed(better, "front")
         if not seen["rows"]:
             return known
-        known = scratch.write(known.join(front.select("node"), "node", "left_anti").unionByName(front), "known")
+        before, known = known, scratch.write(known.join(front.select("node"), "node", "left_anti").unionByName(front), "known")
+        scratch.drop(before)
     raise RuntimeError("no fixed point within the allowed rounds")
 
 
@@ -262,6 +267,42 @@ def route_stats(routes: DataFrame, edges: DataFrame, keys: list[str], prior: Col
     return every.join(agg, keys, "left").select(*keys, F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("p_yes", p).alias("p_yes"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
 
 
+def cross_evaluate(pairs: DataFrame, edges: DataFrame, scratch: Scratch, a: str = "p_a", b: str = "p_b", beta: float = 8.0) -> DataFrame:
+    """Routes by length and by the linear cost under two scores, each reported under both; a row for each routed pair.
+
+    ``edges``: u, v, k, length and both scores.  Lengths, detours of the scored
+    routes in %, every route's mean score under ``a``, the scored routes' under
+    ``b``, the gap of the first score between them, and whether they are one route.
+    """
+    weighed = lambda rule, cost: edges.select(F.lit(rule).alias("rule"), "u", "v", "k", "length", cost.alias("cost"))
+    rules = [weighed("std", F.col("length")), *(weighed(r, objective_cost("linear", F.col(p), beta=beta)) for r, p in (("a", a), ("b", b)))]
+    routes = scratch.write(route_pairs(pairs, reduce(DataFrame.unionByName, rules), ["rule"], scratch=scratch).where("steps is not null"), "routes")
+    stats = None
+    for name, p in (("a", a), ("b", b)):
+        one = route_stats(routes, edges.select("u", "v", "k", "length", F.col(p).alias("p_yes")), ["pair_idx", "rule"])
+        one = one.select("pair_idx", "rule", *(["length"] if name == "a" else []), F.col("p_yes").alias(f"by_{name}"))
+        stats = one if stats is None else stats.join(one, ["pair_idx", "rule"])
+    every = stats.join(routes.select("pair_idx", "rule", "steps"), ["pair_idx", "rule"])
+    of = lambda rule, c: F.max(F.when(F.col("rule") == rule, F.col(c)))
+    path = lambda rule: F.max_by(F.transform("steps", lambda s: s["v"]), F.when(F.col("rule") == rule, 1))  # noqa: E731  the one row of the rule
+    wide = every.groupBy("pair_idx").agg(
+        *(of(r, "length").alias(f"{r}_length") for r in ("std", "a", "b")), *(of(r, "by_a").alias(f"{r}_by_a") for r in ("std", "a", "b")), *(of(r, "by_b").alias(f"{r}_by_b") for r in ("a", "b")), (path("a") == path("b")).alias("same_route"),
+    )
+    longer = lambda r: 100 * (F.col(f"{r}_length") - F.col("std_length")) / F.nullif(F.col("std_length"), F.lit(0.0))
+    return wide.withColumns({"a_detour_pct": longer("a"), "b_detour_pct": longer("b"), "gap": F.col("a_by_a") - F.col("b_by_a")})
+
+
+def routed_sweep(pairs: DataFrame, edges: DataFrame, betas: list[float], scratch: Scratch, score: str = "p_yes") -> DataFrame:
+    """Per pair and barrier cost: the scored route's detour in % of the shortest one (0 where that has no length) and its gain of mean score."""
+    weighed = [edges.select(F.lit(float(x)).alias("beta"), "u", "v", "k", "length", objective_cost("linear", F.col(score), beta=float(x)).alias("cost"), F.col(score).alias("p_yes")) for x in [0.0, *betas]]
+    every = reduce(DataFrame.unionByName, weighed)
+    routes = scratch.write(route_pairs(pairs, every, ["beta"], scratch=scratch).where("steps is not null"), "routes")
+    stats = scratch.write(route_stats(routes, every, ["beta", "pair_idx"], edge_keys=["beta"]), "stats")
+    base = stats.where("beta = 0").select("pair_idx", F.col("length").alias("std_length"), F.col("p_yes").alias("std_p"))
+    detour = F.when(F.col("std_length") > 0, 100 * (F.col("length") - F.col("std_length")) / F.col("std_length")).otherwise(0.0)
+    return stats.where("beta > 0").join(base, "pair_idx").select("beta", "pair_idx", detour.alias("delta_dist_pct"), (F.col("p_yes") - F.col("std_p")).alias("delta_access"))
+
+
 def edge_set(steps: Column) -> Column:
     """Undirected edges of a route, each once."""
     return F.array_distinct(F.transform(steps, lambda s: F.struct(F.least(s["u"], s["v"]).alias("a"), F.greatest(s["u"], s["v"]).alias("b"))))
@@ -278,10 +319,11 @@ def monte_carlo_summary(compared: DataFrame, keys: list[str], improved_over: flo
     gain = F.col("acc_p") - F.col("std_p")
     detour = 100 * (F.col("acc_length") - F.col("std_length")) / F.greatest(F.col("std_length"), F.lit(1.0))
     r = lambda c, name: F.round(c, digits).alias(name)
-    return compared.groupBy(*keys).agg(
-        F.count("*").alias("n"), r(100 * F.avg((gain > improved_over).cast("double")), "pct_improved"), r(F.avg(gain), "mean_gain"),
-        r(F.percentile(gain, 0.5), "median_gain"), r(F.percentile(gain, 0.25), "p25_gain"), r(F.percentile(gain, 0.75), "p75_gain"), r(F.avg(detour), "mean_detour_pct"),
-    )
+    means = compared.groupBy(*keys).agg(
+        F.count("*").alias("n"), r(100 * F.avg((gain > improved_over).cast("double")), "pct_improved"), r(F.avg(gain), "mean_gain"), r(F.avg(detour), "mean_detour_pct")
+    )
+    spread = percentiles(compared.select(*keys, gain.alias("_gain")), keys, "_gain", {"median_gain": 0.5, "p25_gain": 0.25, "p75_gain": 0.75})
+    return means.join(spread.select(*keys, *(r(F.col(c), c) for c in ("median_gain", "p25_gain", "p75_gain"))), keys, "left")
 
 
 def no_path_counts(routes: DataFrame, *keys: str) -> DataFrame:
@@ -305,7 +347,7 @@ def sample_pairs(nodes: DataFrame, n: int, min_dist_m: float, seed: int = 42, at
     from kerbline.functions.geo import haversine_m
 
     spark = nodes.sparkSession
-    ranked = nodes.select(F.row_number().over(Window.orderBy("node")).alias("i"), "node", "lat", "lon")
+    ranked = placed(nodes.select("node", "lat", "lon"), [], range_of(F.col("node"), bounds_of(nodes, "node")), ["node"], "i").withColumn("i", F.col("i") + 1)
     total = nodes.count()
     pick = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), F.lit(max(total, 1))) + 1
     drawn = spark.range(attempts * n).select("id", pick(1).alias("i1"), pick(2).alias("i2"))

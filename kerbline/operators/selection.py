@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.functions import distributions as D
 from kerbline.functions.vectors import euclidean
+from kerbline.plans.ranks import bounds_of, placed, range_of
 from kerbline.plans.scratch import Scratch
 
 
@@ -43,8 +44,10 @@ def ranked_top(rows: DataFrame, n: int, score: str, key: str) -> DataFrame:
 
 
 def top_fraction(rows: DataFrame, fraction: float, least: int, score: str, key: str) -> DataFrame:
-    """The highest scores: max(least, floor(fraction * rows)) of them."""
-    return rows.orderBy(F.desc(score), key).limit(max(least, int(rows.count() * fraction)))
+    """The highest scores: max(least, floor(fraction * rows)) of them, ties by key; null scores last."""
+    size = max(least, int(rows.count() * fraction))
+    cut = F.coalesce(-range_of(F.col(score), bounds_of(rows, score)), F.lit(1))
+    return placed(rows, [], cut, [F.desc_nulls_last(score), key], "_place").where(F.col("_place") < size).select(*rows.columns)
 
 
 def every_kth(values: Column, step: Column | int) -> Column:

@@ -9,10 +9,12 @@ what stays.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.functions.geo import haversine_m
+from kerbline.plans.scratch import Scratch
 
 M_PER_DEG = 110_500.0  # a little under a degree of latitude anywhere, so that cells reach far enough
 
@@ -51,26 +53,33 @@ def k_within(points: DataFrame, places: DataFrame, radius_m: float, k: int, poin
     return within(points, places, radius_m, **options).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def k_nearest(points: DataFrame, places: DataFrame, k: int, point_id: str, place_order: str, start_m: float = 250.0, rounds: int = 8) -> DataFrame:
+#: Metres that lie beyond any two points of the earth.
+WORLD_M = 2.1e7
+
+
+def k_nearest(points: DataFrame, places: DataFrame, k: int, point_id: str, place_order: str, start_m: float = 250.0, scratch: Scratch | None = None) -> DataFrame:
     """The ``k`` nearest places of every point, however far, with ``rank`` from 1.
 
-    Radii double: points with k places in reach are done, the others look
-    further.  What is left after the last round is compared with all places.
+    Radii grow fourfold: points with k places in reach are done and written,
+    the others look further.  The last radius reaches everywhere, so fewer than
+    ``k`` places come back only where there are no more.
     """
-    done: DataFrame | None = None
+    scratch = scratch or Scratch(points.sparkSession, "k-nearest")
+    if len(places.limit(k).take(k)) < k:  # fewer than k places are all wanted
+        every = points.crossJoin(F.broadcast(places)).withColumn("dist", haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
+        return every.withColumn("rank", F.row_number().over(Window.partitionBy(point_id).orderBy("dist", place_order)))
+    done: list[DataFrame] = []
     left, radius = points, start_m
-    for _ in range(rounds):
-        found = k_within(left, places, radius, k, point_id, place_order)
+    while True:
+        found = k_within(left, places, min(radius, WORLD_M), k, point_id, place_order)
         full = found.withColumn("_n", F.count("*").over(Window.partitionBy(point_id))).where(F.col("_n") >= k).drop("_n")
-        done = full if done is None else done.unionByName(full)
-        left = points.join(done.select(point_id).distinct(), point_id, "left_anti").select(*points.columns)
-        if left.isEmpty():
-            return done
+        done.append(scratch.write(full, "nearest"))
+        before = left
+        left, seen = scratch.write_observed(left.join(done[-1].select(point_id).distinct(), point_id, "left_anti").select(*points.columns), "left")
+        scratch.drop(before)
+        if not seen["rows"] or radius > WORLD_M:
+            return reduce(DataFrame.unionByName, done)
         radius *= 4
-    d = haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    w = Window.partitionBy(point_id).orderBy("dist", place_order)
-    rest = left.join(places, how="cross").withColumn("dist", d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return done.unionByName(rest.select(*done.columns))
 
 
 def first_valid(ranked: DataFrame, cache: DataFrame, point_id: str, place_key: str) -> DataFrame:
@@ -81,12 +90,32 @@ def first_valid(ranked: DataFrame, cache: DataFrame, point_id: str, place_key: s
     return valid.groupBy(point_id).agg(F.min(F.struct("rank", *rest)).alias("b")).select(point_id, "b.*")
 
 
-def nearest_planar(points: DataFrame, places: DataFrame, point_id: str, place_order: str) -> DataFrame:
-    """Nearest by squared difference of degrees; places are a street graph's nodes of bounded number, compared in full."""
+def nearest_planar(points: DataFrame, places: DataFrame, point_id: str, place_order: str, start: float = 0.005, scratch: Scratch | None = None) -> DataFrame:
+    """Nearest by squared difference of degrees; of equals the first by ``place_order``.
+
+    Places are filed under square cells and a point looks into the nine around
+    it.  What it finds within a cell's width is nearest; points that find nothing
+    look again with cells four times as wide, until a cell holds the whole earth.
+    """
+    scratch = scratch or Scratch(points.sparkSession, "nearest-planar")
     d = (F.col("p_lat") - F.col("lat")) * (F.col("p_lat") - F.col("lat")) + (F.col("p_lon") - F.col("lon")) * (F.col("p_lon") - F.col("lon"))
-    pairs = points.join(places, how="cross").withColumn("dist", d)
-    rest = [c for c in pairs.columns if c not in (point_id, "dist", place_order)]
-    return pairs.groupBy(point_id).agg(F.min(F.struct("dist", place_order, *rest)).alias("b")).select(point_id, "b.*")
+    rest = [c for c in (*points.columns, *places.columns) if c not in (point_id, place_order)]
+    done: list[DataFrame] = []
+    left, step = points, start
+    while True:
+        filed = places.withColumns(dict(zip(("_r", "_c"), _cell(F.col("p_lat"), F.col("p_lon"), step), strict=True)))
+        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        row, column = _cell(F.col("lat"), F.col("lon"), step)
+        met = left.withColumn("_s", around).withColumns({"_r": row + F.col("_s.i"), "_c": column + F.col("_s.j")}).drop("_s").join(filed, ["_r", "_c"])
+        near = met.drop("_r", "_c").withColumn("dist", d).where(F.col("dist") <= step * step)
+        best = near.groupBy(point_id).agg(F.min(F.struct("dist", place_order, *rest)).alias("b")).select(point_id, "b.*")
+        done.append(scratch.write(best, "nearest"))
+        before = left
+        left, seen = scratch.write_observed(left.join(done[-1].select(point_id), point_id, "left_anti").select(*points.columns), "left")
+        scratch.drop(before)
+        if not seen["rows"] or step > 400:
+            return reduce(DataFrame.unionByName, done)
+        step *= 4
 
 
 def labels_on_routes(midpoints: DataFrame, labels: DataFrame, radius_m: float, route_id: str = "route_id", label_id: str = "label_id") -> DataFrame:

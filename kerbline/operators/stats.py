@@ -5,17 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from kerbline.operators.metrics import correlation
-
-
-def average_rank(value: str | Column, *partition: str) -> Column:
-    """Rank from 1, equal values sharing their mean rank."""
-    w = Window.partitionBy(*partition)
-    ordered = w.orderBy(value)
-    return F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2
+from kerbline.plans.ranks import average_ranked, percentiles
 
 
 def _t_sf(t: float, df: float) -> float:
@@ -45,7 +41,8 @@ def _t_sf(t: float, df: float) -> float:
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str, least: int = 5) -> DataFrame:
     """Per key: n, rho and its two-sided p; null under ``least`` pairs or without variation."""
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, average_rank(x, *keys).alias("_x"), average_rank(y, *keys).alias("_y"))
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_u"), F.col(y).alias("_v"))
+    ranked = average_ranked(average_ranked(both, keys, "_u", "_x"), keys, "_v", "_y")
     found = ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("_x"), F.col("_y")).alias("rho")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
 
     def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,7 +57,7 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str, least: int = 5) -
 def wilcoxon_sums(rows: DataFrame, keys: list[str], diff: str, least: int = 3) -> DataFrame:
     """Per key: pairs with a difference, the sum of positive ranks, and the variance of it with ties; null sums under ``least`` pairs."""
     moved = rows.where(F.col(diff) != 0).select(*keys, F.col(diff).alias("_d"), F.abs(diff).alias("_a"))
-    ranked = moved.withColumn("_r", average_rank("_a", *keys)).withColumn("_t", F.count("*").over(Window.partitionBy(*keys, "_a")))
+    ranked = average_ranked(moved, keys, "_a", "_r").withColumnRenamed("_r_ties", "_t")
     # a tie group of t rows contributes t^3 - t, so each of its rows t^2 - 1
     found = ranked.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties")
@@ -103,8 +100,10 @@ def wilcoxon(rows: DataFrame, keys: list[str], diff: str, alternative: str = "gr
 def summary(rows: DataFrame, keys: list[str], value: str, below: float = 0.5, above: float = 0.8) -> DataFrame:
     """n, mean, percentiles by linear interpolation, and shares below and at or above two limits."""
     v = F.col(value)
-    q = [F.percentile(v, p).alias(n) for n, p in (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9))]
-    return rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), *q, (100 * F.avg((v < below).cast("double"))).alias("pct_below"), (100 * F.avg((v >= above).cast("double"))).alias("pct_above"))
+    q = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    means = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (100 * F.avg((v < below).cast("double"))).alias("pct_below"), (100 * F.avg((v >= above).cast("double"))).alias("pct_above"))
+    joined = means.join(percentiles(rows, keys, value, q), keys, "left") if keys else means.crossJoin(percentiles(rows, keys, value, q))  # without keys both are one row
+    return joined.select(*keys, "n", "mean", *q, "pct_below", "pct_above")
 
 
 def score_report(scores: DataFrame, value: str = "p_yes") -> DataFrame:
@@ -125,18 +124,50 @@ def sweep_summary(rows: DataFrame, by: str, *values: str) -> DataFrame:
 
 def outside_support(distances: DataFrame, group: str, reference, value: str = "dist", q: float = 0.9) -> DataFrame:
     """Per group the share (in %) of distances above the reference group's percentile."""
-    limit = distances.where(F.col(group) == reference).agg(F.percentile(value, q).alias("_limit"))
+    limit = percentiles(distances.where(F.col(group) == reference), [], value, {"_limit": q})
     return distances.join(F.broadcast(limit), how="cross").groupBy(group).agg(F.count("*").alias("n"), (100 * F.avg((F.col(value) > F.col("_limit")).cast("double"))).alias("pct_outside"))  # one row
 
 
+def dimension_scale(items: DataFrame, vec: str = "vec") -> DataFrame:
+    """(dim, divisor): the population standard deviation of each dimension, 1 where it is 0."""
+    each = items.select(F.posexplode(vec).alias("dim", "x"))
+    deviation = F.stddev_pop(F.col("x").cast("double"))
+    return each.groupBy("dim").agg(F.when(deviation < 1e-12, 1.0).otherwise(deviation).alias("divisor"))
+
+
+#: Vectors of a block of items, and of the reference set, that a task compares at once.
+BLOCK_ITEMS, BLOCK_REFERENCE = 4096, 8192
+
+
 def nearest_reference(items: DataFrame, reference: DataFrame, key: str = "key", vec: str = "vec", self_pairs: bool = False) -> DataFrame:
     """Least cosine distance of each item to a reference set, itself left out.
 
-    The reference set is a labelled support set; it is sent to every executor in
-    one piece only if Spark's own size check allows, and otherwise joined in parts.
+    Exact: items and reference are dealt to numbered blocks of bounded size,
+    every block of the one meets every block of the other once, and a meeting is
+    a matrix product that gives one row for each item.  Vectors of length 0 have
+    the distance null, and are nobody's neighbour.
     """
-    from kerbline.functions.vectors import cosine_distance
-
-    r = reference.select(F.col(key).alias("_k"), F.col(vec).alias("_v"))
-    pairs = items.join(r, how="cross") if self_pairs else items.join(r, F.col(key) != F.col("_k"))
-    return pairs.groupBy(key).agg(F.min(cosine_distance(F.col(vec), F.col("_v"))).alias("dist"))
+    kind = dict(items.dtypes)[key]
+    n = {side: max(1, -(-df.count() // size)) for side, df, size in (("i", items, BLOCK_ITEMS), ("r", reference, BLOCK_REFERENCE))}
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.lit(n[own])).cast("int").alias(own)
+        return df.select(F.col(key).alias("k"), F.transform(vec, lambda x: x.cast("double")).alias("v"), mine, F.explode(F.sequence(F.lit(0), F.lit(n[other] - 1))).alias(other))
+
+    def unit(table: pa.Table) -> np.ndarray:
+        v = table["v"].combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(size > 0, size, np.nan)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"k": left["k"].slice(0, 0), "dist": pa.array([], pa.float64())})
+        distance = 1 - unit(left) @ unit(right).T
+        if not self_pairs:
+            distance[left["k"].to_numpy()[:, None] == right["k"].to_numpy()[None, :]] = np.nan
+        least = np.nanmin(np.where(np.isnan(distance), np.inf, distance), axis=1)
+        return pa.table({"k": left["k"], "dist": pa.array(least, pa.float64(), mask=np.isinf(least))})
+
+    pairs = dealt(items, "i", "r").groupBy("i", "r").cogroup(dealt(reference, "r", "i").groupBy("i", "r")).applyInArrow(meet, f"k {kind}, dist double")
+    return pairs.groupBy(F.col("k").alias(key)).agg(F.min("dist").alias("dist"))

@@ -14,7 +14,7 @@ def image_responses(submissions: DataFrame, trials: DataFrame, aid_names: Column
     """
     each = submissions.select("session_id", "aid", F.explode("image_trials").alias("t")).where(~F.coalesce("t.skipped", F.lit(False)))
     rows = each.select("session_id", "aid", "t.image_id", "t.response", F.col("t.response_time_ms").alias("response_ms"))
-    joined = rows.join(F.broadcast(trials), "image_id", "left")  # the study's fixed list of images
+    joined = rows.join(trials, "image_id", "left")  # the study's fixed list of images
     return joined.select(
         "session_id", "aid", "image_id", "response", *((F.col("response") == r).cast("int").alias(r) for r in ("yes", "no", "unsure")),
         F.coalesce(F.element_at("per_aid_p_yes", F.col("aid")), "model_p_yes").alias("model_p_yes"), "given_class", "response_ms",
