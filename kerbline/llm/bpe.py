@@ -9,6 +9,8 @@ each node its state from its ancestors' states, and what words share as a prefix
 is computed once.  A word's ids follow by walking back from its node.
 
 Null and empty texts encode to no ids.  Texts of any length are encoded whole.
+Equal texts, repeated rows included, have equal ids; an empty table gives an empty
+one.  Encoding and decoding are column functions, so no column's name matters.
 """
 
 from __future__ import annotations

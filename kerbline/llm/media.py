@@ -8,7 +8,10 @@ is an embedded item and can be carved.  ``wrap_wav`` stores arbitrary bytes
 losslessly as 8-bit samples.
 
 Null and empty blobs have no type; a truncated container is not confirmed;
-nested items inside a confirmed one are not reported again.
+nested items inside a confirmed one are not reported again.  Very long blobs are
+read whole.  Of formats confirmed at one place the first in the list counts.
+Repeated rows get the same result each; an empty table gives an empty one.
+Extra columns pass unchanged; a column named as a result is replaced.
 """
 
 from __future__ import annotations

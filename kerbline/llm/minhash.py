@@ -6,15 +6,21 @@ some band are candidates, candidates are confirmed on their full sets, and the
 confirmed links' components come from alternating large-star and small-star.
 
 With 32 bands of 4 minima a pair at similarity 0.8 has a band in common with a
-probability of 1 - 5e-8.
+probability of 1 - 5e-8; low bits of the minima, by which far pairs are ruled
+out before their sets are read, miss it with a probability under 1e-9.  Words are
+told apart by 64-bit hashes.  Members of one large cluster are compared block by
+block, which is complete and grows with the square of the cluster.
 
 Null and empty texts have an empty set, link with nothing and are kept.  Rows
-with equal ids count as one document.  An empty table gives an empty result.
+with equal ids count as one document, but each row is returned; of equal sets
+the smallest id stays.  Very long texts are read whole.  An empty table gives an
+empty result.  Only the id and text columns are read, whatever else there is.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -122,13 +128,21 @@ def low_bits(sig: pa.Array) -> pa.Array:
     return pa.array([row.view(np.int64) for row in packed], pa.list_(pa.int64()))
 
 
+#: Probability at most that low bits rule out a pair at the threshold.
+MISSED = 1e-9
+
+
 def most_bits_apart(hashes: int, percent: int) -> int:
-    """How many of the low bits of two documents at the threshold differ at most, but for five standard deviations.
+    """The least number of low bits that two documents at the threshold exceed with a probability under MISSED.
 
     Minima agree with the similarity's probability, and bits of unlike minima half the time.
     """
-    p = (1 - percent / 100) / 2
-    return int(hashes * p + 5 * (hashes * p * (1 - p)) ** 0.5)
+    p, more = (1 - percent / 100) / 2, 1.0
+    for m in range(hashes + 1):
+        more -= math.comb(hashes, m) * p**m * (1 - p) ** (hashes - m)
+        if more < MISSED:
+            return m
+    return hashes
 
 
 def bits_apart(a: str, b: str, longs: int) -> Column:
@@ -136,8 +150,8 @@ def bits_apart(a: str, b: str, longs: int) -> Column:
     return sum(parts[1:], parts[0])
 
 
-#: Shingles that a block of documents aims at, when large clusters are compared block by block.
-BLOCK_SHINGLES = 40_000
+#: Shingles and documents that a block aims at, when large clusters are compared block by block.
+BLOCK_SHINGLES, BLOCK_DOCUMENTS = 40_000, 2_000
 
 
 def _compare_blocks(percent: int):
@@ -182,11 +196,12 @@ def _compare_blocks(percent: int):
 def block_links(clusters: DataFrame, sets: DataFrame, percent: int, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links between components inside clusters of similar documents, each cluster cut into blocks of bounded size.
 
-    All pairs of blocks are compared but those that hold one component only; a
-    comparison is a matrix product and gives few rows.
+    All pairs of blocks are compared but those that hold one component only: the
+    work grows with the square of a cluster.  A comparison is a matrix product and
+    gives few rows.
     """
     weighed = clusters.join(sets.select("id", F.size("hs").alias("n")), "id")
-    blocks = weighed.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    blocks = weighed.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / block_shingles, F.count("*") / BLOCK_DOCUMENTS)).cast("int").alias("blocks"))
     # of the most frequent component in each cluster, members need no comparison among themselves
     common = weighed.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
     placed = weighed.join(blocks, "cluster").join(common, "cluster").withColumn("main", F.col("c") == F.col("main"))

@@ -4,7 +4,10 @@ Everything is a column expression.  Spark's regular expressions return matched
 strings without places, so the places are summed up from the lengths of the
 pieces between matches.  Positions count code points; ends are exclusive.
 
-Null and empty texts have no spans.  Matches of one kind never overlap; kinds
+Null and empty texts have no spans; texts of any length are read whole.  Repeated
+rows get the same spans each; an empty table gives an empty one.  Spans that begin
+together are listed in the order of their kinds.  A column named spans is
+replaced, other extra columns pass.  Matches of one kind never overlap; kinds
 may.  Possessive quantifiers and look-behinds keep each pattern linear on very
 long runs without white space; they accept exactly what the plain forms accept.
 """

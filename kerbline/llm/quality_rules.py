@@ -8,7 +8,9 @@ chunk that ends with the text.  Plain counts (symbols, repeated lines, words ins
 repeated five-word windows) come with it.
 
 Null and empty texts have no words, so the base rule fails them; a repeated row
-gets the same verdict each time; a document of any length is used whole.
+gets the same verdict each time; a document of any length is used whole.  Of
+several reasons the first in the order of tests is named.  An empty table gives
+an empty one.  The result's column replaces one of that name, others pass.
 """
 
 from __future__ import annotations

@@ -16,9 +16,15 @@ into runs with the same anchor; the bytes of such a run are its context.
 4. A gram with very many distinct contexts is not gathered: its windows are
    compared by hash in blocks, then singly where a block is undecided.
 
+Equal contexts agree in two 64-bit hashes of different kinds, of the gram and of
+the whole context.
+
 Texts are UTF-8 bytes, null as empty; matches never cross documents, and strings
-are judged on the input.  Shorter texts than ``length`` lose nothing.  Rows with
-one id must have one text; such repeated rows are copies of each other.
+are judged on the input.  Texts shorter than ``length`` lose nothing; very long
+ones are read whole.  Rows with one id must have one text; such repeated rows are
+copies of each other.  All equal strings go, so there are no ties.  An empty
+table gives an empty one.  Only the id and text columns are read, whatever else
+there is.
 """
 
 from __future__ import annotations
@@ -95,7 +101,9 @@ def anchor_runs(data: np.ndarray, length: int) -> tuple[np.ndarray, ...] | None:
     first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     end = np.r_[first[1:], m] - 1 + length
     anchor = place[first]
-    return value[anchor], rolling.of(first, end), first, end, anchor
+    view = memoryview(data)
+    whole = np.fromiter((xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(first.tolist(), end.tolist(), strict=True)), np.uint64, len(first))
+    return value[anchor], whole, first, end, anchor
 
 
 def _bytes_of(text: str) -> np.ndarray:
@@ -304,9 +312,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str
     """(id, s, e): stretches of bytes covered by strings of ``length`` that start more than once; they may touch and overlap."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     runs = scratch.write(source.select("id", F.explode(runs_of(length)("text")).alias("r")).select("id", "r.*"), "all-runs")
-    often = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # written, so that the join's sides are plain shuffles and a gram with very many runs is split
+    often = scratch.write(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
     kept = scratch.write(runs.join(often, "h", "left_semi"), "runs")
-    scratch.drop(runs)
+    scratch.drop(runs, often)
     classes = scratch.write(kept.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "s", "e")).alias("r")), "classes")
     equal = kept.join(classes.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("id", "s", "e")
 

@@ -7,8 +7,10 @@ lie apart, and each plane is compressed with zstandard by itself.  A stored row
 holds a block, where it begins, and which documents it has: the rows' own
 columns are the chunk index, so a reader can fetch any document's blocks.
 
-Documents with null ids come first; equal ids keep some order of their own.
-An empty table writes no chunk.
+Documents with null ids come first; equal ids keep some order of their own, and
+each of their rows is a document.  Null and empty texts have the end id only; very
+long texts span as many blocks as they need.  An empty table writes no chunk.
+Only the id and text columns are read, whatever else there is.
 """
 
 from __future__ import annotations
