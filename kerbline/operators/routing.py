@@ -267,6 +267,13 @@ def route_stats(routes: DataFrame, edges: DataFrame, keys: list[str], prior: Col
     return every.join(agg, keys, "left").select(*keys, F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("p_yes", p).alias("p_yes"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
 
 
+def travelled(edges: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """The edge that a route takes between two nodes, with the columns ``more``: least cost, then lowest k, then least length."""
+    lo, hi = F.least("u", "v"), F.greatest("u", "v")
+    one = edges.groupBy(*keys, lo.alias("u"), hi.alias("v")).agg(F.min(F.struct("cost", "k", "length", *more)).alias("e"))
+    return one.select(*keys, "u", "v", "e.*")
+
+
 def cross_evaluate(pairs: DataFrame, edges: DataFrame, scratch: Scratch, a: str = "p_a", b: str = "p_b", beta: float = 8.0) -> DataFrame:
     """Routes by length and by the linear cost under two scores, each reported under both; a row for each routed pair.
 
@@ -274,18 +281,19 @@ def cross_evaluate(pairs: DataFrame, edges: DataFrame, scratch: Scratch, a: str
     routes in %, every route's mean score under ``a``, the scored routes' under
     ``b``, the gap of the first score between them, and whether they are one route.
     """
-    weighed = lambda rule, cost: edges.select(F.lit(rule).alias("rule"), "u", "v", "k", "length", cost.alias("cost"))
+    weighed = lambda rule, cost: edges.select(F.lit(rule).alias("rule"), "u", "v", "k", "length", cost.alias("cost"), F.col(a).alias("p_a"), F.col(b).alias("p_b"))
     rules = [weighed("std", F.col("length")), *(weighed(r, objective_cost("linear", F.col(p), beta=beta)) for r, p in (("a", a), ("b", b)))]
-    routes = scratch.write(route_pairs(pairs, reduce(DataFrame.unionByName, rules), ["rule"], scratch=scratch).where("steps is not null"), "routes")
+    every = scratch.write(travelled(reduce(DataFrame.unionByName, rules), ["rule"], "p_a", "p_b"), "edges")
+    routes = scratch.write(route_pairs(pairs, every, ["rule"], scratch=scratch).where("steps is not null"), "routes")
     stats = None
-    for name, p in (("a", a), ("b", b)):
-        one = route_stats(routes, edges.select("u", "v", "k", "length", F.col(p).alias("p_yes")), ["pair_idx", "rule"])
+    for name in ("a", "b"):
+        one = route_stats(routes, every.withColumn("p_yes", F.col(f"p_{name}")), ["pair_idx", "rule"], edge_keys=["rule"])
         one = one.select("pair_idx", "rule", *(["length"] if name == "a" else []), F.col("p_yes").alias(f"by_{name}"))
         stats = one if stats is None else stats.join(one, ["pair_idx", "rule"])
-    every = stats.join(routes.select("pair_idx", "rule", "steps"), ["pair_idx", "rule"])
+    found = stats.join(routes.select("pair_idx", "rule", "steps"), ["pair_idx", "rule"])
     of = lambda rule, c: F.max(F.when(F.col("rule") == rule, F.col(c)))
     path = lambda rule: F.max_by(F.transform("steps", lambda s: s["v"]), F.when(F.col("rule") == rule, 1))  # noqa: E731  the one row of the rule
-    wide = every.groupBy("pair_idx").agg(
+    wide = found.groupBy("pair_idx").agg(
         *(of(r, "length").alias(f"{r}_length") for r in ("std", "a", "b")), *(of(r, "by_a").alias(f"{r}_by_a") for r in ("std", "a", "b")), *(of(r, "by_b").alias(f"{r}_by_b") for r in ("a", "b")), (path("a") == path("b")).alias("same_route"),
     )
     longer = lambda r: 100 * (F.col(f"{r}_length") - F.col("std_length")) / F.nullif(F.col("std_length"), F.lit(0.0))
@@ -295,7 +303,7 @@ def cross_evaluate(pairs: DataFrame, edges: DataFrame, scratch: Scratch, a: str
 def routed_sweep(pairs: DataFrame, edges: DataFrame, betas: list[float], scratch: Scratch, score: str = "p_yes") -> DataFrame:
     """Per pair and barrier cost: the scored route's detour in % of the shortest one (0 where that has no length) and its gain of mean score."""
     weighed = [edges.select(F.lit(float(x)).alias("beta"), "u", "v", "k", "length", objective_cost("linear", F.col(score), beta=float(x)).alias("cost"), F.col(score).alias("p_yes")) for x in [0.0, *betas]]
-    every = reduce(DataFrame.unionByName, weighed)
+    every = scratch.write(travelled(reduce(DataFrame.unionByName, weighed), ["beta"], "p_yes"), "edges")
     routes = scratch.write(route_pairs(pairs, every, ["beta"], scratch=scratch).where("steps is not null"), "routes")
     stats = scratch.write(route_stats(routes, every, ["beta", "pair_idx"], edge_keys=["beta"]), "stats")
     base = stats.where("beta = 0").select("pair_idx", F.col("length").alias("std_length"), F.col("p_yes").alias("std_p"))
