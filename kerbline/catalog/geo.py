@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbline.catalog.common import EDGES, HAV, LABELS, NODES, PRIORS_SQL, edges, labels, nodes, passability_sql, r6
+from kerbline.catalog.common import EDGES, HAV, LABELS, NODES, PRIORS_SQL, edges, labels, nodes, passability_sql, r6, table
 from kerbline.functions import geo
 from kerbline.operators import scores as SC, spatial as SP
 
@@ -109,7 +109,23 @@ def scores_wide(spark, sf_dir):
     return w.select("u", "v", "k", *(r6(c) for c in w.columns[3:]))
 
 
+def area_fractions(spark, sf_dir):
+    """Parts as pixels of 7 x 11 rasters, pooled to 3 x 3 cells."""
+    k = F.col("p_partkey")
+    pixels = table(spark, sf_dir, "part").select(F.floor(k / 77).alias("image_id"), F.floor(k % 77 / 11).alias("y"), (k % 11).alias("x"), (F.col("p_size") % 5).alias("class_id"))
+    return SP.area_fractions(pixels, [1, 3], 7, 11, 3).select("image_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), r6("fraction"))
+
+
+def routable_nodes(spark, sf_dir):
+    """Nodes for which a label of another source has a severity above 3."""
+    from kerbline.operators.routing import routable
+
+    records = labels(spark, sf_dir).select((F.col("label_id") % 200).alias("pair_idx"), F.when(F.col("severity") > 3, F.col("severity")).alias("p"))
+    return routable(nodes(spark, sf_dir).select(F.col("node").alias("pair_idx")), records, "p")
+
+
 QUERIES = {
+    "area_fractions": area_fractions, "routable_nodes": routable_nodes,
     "haversine_bearing": distances, "in_bounds": in_bounds, "edge_midpoints": midpoints, "radius_pairs": radius_pairs, "nearest_node": nearest_node, "k_in_radius": k_in_radius, "k_nearest": k_nearest,
     "first_valid_of_nearest": first_valid, "nearest_planar": nearest_planar, "labels_on_routes": labels_on_routes, "edge_scoring": edge_scoring, "join_scores": join_scores,
     "join_scores_forward": join_scores_forward, "cover_by_source": cover_by_source, "mean_of_images": mean_of_images, "scores_wide": scores_wide,
@@ -122,6 +138,9 @@ _JOINED = f"""{_STORED}, {PRIORS_SQL}, joined AS (SELECT e.u, e.v, e.k, a.aid, C
   FROM edges e CROSS JOIN priors a LEFT JOIN stored f ON f.u = e.u AND f.v = e.v AND f.k = e.k LEFT JOIN stored r ON r.u = e.v AND r.v = e.u AND r.k = e.k)"""
 
 SQL = {
+    "area_fractions": """WITH p AS (SELECT p_partkey // 77 AS image_id, p_partkey % 77 // 11 AS y, p_partkey % 11 AS x, p_size % 5 IN (1, 3) AS is_in FROM part), c AS (SELECT unnest(range(3)) AS i)
+SELECT image_id, r.i::INT AS "row", q.i::INT AS col, round(avg(is_in::INT), 6) AS fraction FROM p JOIN c r ON y >= floor(r.i * 7 / 3) AND y < ceil((r.i + 1) * 7 / 3) JOIN c q ON x >= floor(q.i * 11 / 3) AND x < ceil((q.i + 1) * 11 / 3) GROUP BY 1, 2, 3""",
+    "routable_nodes": f"WITH {NODES}, {LABELS} SELECT node AS pair_idx FROM nodes WHERE node IN (SELECT label_id % 200 FROM labels_geo WHERE severity > 3)",
     "haversine_bearing": f"""WITH {NODES}, p AS (SELECT a.node, {HAV.format(a='a', b='b')} AS d, atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon))) AS t
   FROM nodes a JOIN nodes b ON b.node = a.node + 1) SELECT node, round(d, 3) AS dist, round((degrees(t) + 360) % 360, 3) AS bearing FROM p""",
     "in_bounds": f"""WITH {LABELS} SELECT label_id FROM labels_geo WHERE lat BETWEEN 40.42 - 500 / 111000.0 AND 40.45 + 500 / 111000.0

@@ -134,7 +134,20 @@ def wilcoxon_p(spark, sf_dir):
     return S.wilcoxon(_cells(spark, sf_dir).withColumn("d", F.round(F.col("x") - F.col("y"), 3)), ["aid"], "d").select("aid", "n", "w_plus", "p")
 
 
+def paired_by_name(spark, sf_dir):
+    """Mean prices by customer for two order states, of customers that have both."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("name"), "o_orderstatus").agg(F.avg(F.col("o_totalprice").cast("double")).alias("x"))
+    return M.paired_by(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "name", "x").select("name", r6("soft"), r6("hard"), r6("reduction_pct"))
+
+
+def seed_lists(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").alias("seed")).agg(F.avg(F.col("l_discount").cast("double")).alias("x"))
+    out = M.by_seed(li, ["l_returnflag"], "seed", "x")
+    return out.select("l_returnflag", "n", r6("mean"), r6("std"), F.array_join(F.transform("values", lambda v: F.format_number(v, 5)), ",").alias("by_seed"))
+
+
 QUERIES = {
+    "paired_by_name": paired_by_name, "seed_lists": seed_lists,
     "brier_and_entropy": brier_and_entropy, "calibration_error": calibration, "classification_metrics": classification, "classification_binary": classification_binary, "confusion_matrix": confusion,
     "group_mean_std": group_mean_std, "nan_mean_std": nan_mean_std, "two_level_mean": two_level_mean, "majority_class": majority_class, "paired_wins": paired_wins, "seed_spread": seed_spread,
     "pivot_report": pivot_report, "reduction_percent": reduction, "percentile_summary": percentile_summary, "score_report": score_report, "source_counts": source_counts, "beta_sweep": beta_sweep,
@@ -171,6 +184,10 @@ SELECT truth, pred, (SELECT count(*) FROM l WHERE l.truth = g.truth AND l.pred =
     "nan_mean_std": "SELECT o_orderpriority, round(avg(o_totalprice), 6) AS x_mean, round(stddev_pop(o_totalprice), 6) AS x_std FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1",
     "two_level_mean": "WITH m AS (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2) SELECT o_orderstatus, round(avg(m), 6) AS o_totalprice FROM m GROUP BY 1",
     "majority_class": f"WITH {PRED}, c AS (SELECT image_id, label, count(*) AS n FROM pred GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, label) AS i FROM c) SELECT image_id, label::INT AS label FROM r WHERE i = 1",
+    "paired_by_name": """WITH m AS (SELECT o_custkey AS name, o_orderstatus AS s, avg(o_totalprice::DOUBLE) AS x FROM orders GROUP BY 1, 2)
+SELECT a.name, round(a.x, 6) AS soft, round(b.x, 6) AS hard, round(100 * (b.x - a.x) / b.x, 6) AS reduction_pct FROM m a JOIN m b ON a.name = b.name AND a.s = 'F' AND b.s = 'O'""",
+    "seed_lists": """WITH m AS (SELECT l_returnflag, l_linenumber AS seed, avg(l_discount::DOUBLE) AS x FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, string_agg(printf('%.5f', x), ',' ORDER BY seed) AS by_seed FROM m GROUP BY 1""",
     "paired_wins": """WITH m AS (SELECT l_returnflag AS variant, l_linenumber AS seed, avg(l_discount) AS x FROM lineitem GROUP BY 1, 2), d AS (SELECT a.variant, a.x - b.x AS d FROM m a JOIN m b ON a.seed = b.seed AND b.variant = 'A' WHERE a.variant <> 'A')
 SELECT variant, count(*) AS n, count(*) FILTER (d < 0) AS wins, round(avg(d), 6) AS mean_delta, round(stddev_pop(d), 6) AS std_delta FROM d GROUP BY 1""",
     "seed_spread": """WITH m AS (SELECT l_returnflag, l_linenumber AS seed, round(avg(l_quantity), 6) AS x FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY x DESC, seed) AS i FROM m)

@@ -111,6 +111,29 @@ def cross_validated(spark, sf_dir):
     return raw.join(tuned, ["loss", "aid"])
 
 
+def coupled_heads(spark, sf_dir):
+    """Held-out Brier scores of independent and coupled heads of all aids."""
+    from kerbline.operators import metrics as M
+
+    heads = spark.createDataFrame([(42, h, r, 1e-4) for h, r in (("independent", 0), ("low_rank", 4), ("low_rank_per_aid", 4))], "seed int, head string, rank int, weight_decay double")
+    return P.fit_heads(training_rows(spark, sf_dir), heads).groupBy("head", "aid").agg(M.brier_soft("probs", "y").alias("brier"), F.count("*").alias("n"))
+
+
+def benchmark_probe(spark, sf_dir):
+    """A benchmark of many classes: held-out accuracy by weight decay."""
+    v = vectors(spark, sf_dir).where("label is not null")
+    classes = v.agg((F.max("label") + 1).alias("classes"))  # one row
+    y = F.transform(F.sequence(F.lit(0), F.col("classes") - 1), lambda c: (c == F.col("label")).cast("double"))
+    rows = v.crossJoin(F.broadcast(classes)).select(F.col("key").alias("item_id"), F.lit("all").alias("aid"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), y.alias("y"), F.col("label").cast("int").alias("label"), F.lit(1.0).alias("sample_weight"))
+    settings = spark.createDataFrame([(42, "independent", 0, w) for w in (0.0, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)], "seed int, head string, rank int, weight_decay double")
+    done = P.fit_heads(rows.join(P.plain_folds(rows.select("item_id"), 5), "item_id"), settings)
+    return done.groupBy("weight_decay").agg(F.count("*").alias("n"), F.avg((D.argmax(F.col("probs")) == F.col("label")).cast("double")).alias("accuracy"))
+
+
+def first_rows(spark, sf_dir):
+    return S.first_n(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 40, "o_orderkey")
+
+
 def inference(spark, sf_dir):
     w = P.fit_final(training_rows(spark, sf_dir))
     items = vectors(spark, sf_dir).select(F.col("key").alias("item_id"), "vec")
@@ -130,7 +153,7 @@ def self_training(spark, sf_dir):
 QUERIES = {
     "vector_norms": normalised, "support_distance": support_distance, "dimension_scale": dimension_scale, "softmax_temperature": softmax, "centroid_probe": centroid_probe, "acquisition": acquisition, "top_ranked": top_ranked,
     "top_fraction": top_fraction, "balanced_top": balanced_top, "sample_n": sampled, "sample_fraction": sampled_fraction, "k_centre": k_centre, "folds": folds, "leave_group_out": leave_group_out, "pseudo_labels": pseudo_labels,
-    "cross_validated": cross_validated, "probe_inference": inference, "self_training": self_training,
+    "cross_validated": cross_validated, "probe_inference": inference, "self_training": self_training, "coupled_heads": coupled_heads, "benchmark_probe": benchmark_probe, "first_n": first_rows,
 }
 
 _VEC = "v AS (SELECT vec_id AS key, embedding::DOUBLE[] AS vec, label FROM embeddings)"
@@ -138,6 +161,7 @@ _MIX = "((({k} * 1103515 + {s} * 12345) % 2147483647 * 48271) % 2147483647 * 168
 _H = "-(greatest(p0, 1e-12) * ln(greatest(p0, 1e-12)) + greatest(p1, 1e-12) * ln(greatest(p1, 1e-12)) + greatest(p2, 1e-12) * ln(greatest(p2, 1e-12))) / ln(3)"
 
 SQL = {
+    "first_n": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 40",
     "vector_norms": f"WITH {_VEC}, n AS (SELECT key, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS n FROM v) SELECT key, round(n, 6) AS norm, round(vec[1] / n, 6) AS first, 1.0::DOUBLE AS unit FROM n",
     "support_distance": f"""WITH {_VEC}, n AS (SELECT key, label, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS u FROM v)
 SELECT a.key, round(min(1 - list_dot_product(a.u, b.u)), 6) AS dist FROM n a JOIN n b ON b.label = 0 AND a.key <> b.key GROUP BY 1""",

@@ -89,6 +89,18 @@ def paired_wins(rows: DataFrame, pair: str, variant: str, baseline: str, value:
     return d.groupBy(variant).agg(F.count("*").alias("n"), F.count_if(F.col("d") < 0).alias("wins"), F.avg("d").alias("mean_delta"), F.stddev_pop("d").alias("std_delta"))
 
 
+def paired_by(left: DataFrame, right: DataFrame, on: str, value: str, names: tuple[str, str] = ("soft", "hard")) -> DataFrame:
+    """Values of both tables for the names that both have, and the first's reduction of the second in %."""
+    a, b = (t.select(on, F.col(value).alias(n)) for t, n in zip((left, right), names, strict=True))
+    return a.join(b, on).withColumn("reduction_pct", reduction_percent(F.col(names[1]), F.col(names[0])))
+
+
+def by_seed(rows: DataFrame, keys: list[str], seed: str, value: str) -> DataFrame:
+    """Per key: seeds, mean and population std over seeds, and the list of values in the seeds' order."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(seed, value))), lambda s: s[value])  # one value for each seed
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), listed.alias("values"))
+
+
 def spread(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Minimum, maximum, their difference, and the name with the maximum (first by name)."""
     best = F.min(F.struct((-F.col(value)).alias("v"), F.col(name).alias("b")))["b"]

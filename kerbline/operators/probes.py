@@ -240,6 +240,33 @@ def cross_validate(rows: DataFrame, settings: DataFrame, k: int = 5, centre: boo
     return work.groupBy("seed", "loss", "weight_decay", "held", "aid").applyInPandas(fit, out)
 
 
+def fit_heads(rows: DataFrame, settings: DataFrame, k: int = 5) -> DataFrame:
+    """Held-out predictions of heads for all aids fitted together, for every setting x fold.
+
+    ``rows`` as for ``cross_validate``.  ``settings``: seed, head (independent,
+    low_rank or low_rank_per_aid), rank (0 for full), weight_decay.  Any
+    number of classes and aids; one aid with ``head`` independent is a plain probe.
+    """
+    folds = rows.sparkSession.range(k).select(F.col("id").cast("int").alias("held"))
+    work = rows.join(F.broadcast(settings.join(folds, how="cross")), how="cross")  # settings x folds: a small table
+    out = "seed int, head string, rank int, weight_decay double, held int, aid string, item_id long, label int, y array<double>, probs array<double>"
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.stack(g["vec"]).astype(float), np.stack(g["y"]).astype(float)
+        test = (g["fold"] == g["held"]).to_numpy()
+        if not test.any() or test.all():
+            return pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
+        shift, by = scale_of(x[~test])
+        x, aid = (x - shift) / by, np.unique(g["aid"], return_inverse=True)[1]
+        one = g.iloc[0]
+        model = fit_probe(x[~test], y[~test], g["sample_weight"].to_numpy(float)[~test], aid=aid[~test], head=one["head"], rank=int(one["rank"]), seed=int(one["seed"]), weight_decay=float(one["weight_decay"]))
+        known = aid[test] < len(model["W"])  # aids after the last one in training have no head
+        p = predict(x[test][known], model, aid[test][known])
+        return g.loc[test, ["seed", "head", "rank", "weight_decay", "held", "aid", "item_id", "label", "y"]][known].assign(probs=list(p))
+
+    return work.groupBy("seed", "head", "rank", "weight_decay", "held").applyInPandas(fit, out)
+
+
 def fit_final(rows: DataFrame, loss: str = "soft_kl", centre: bool = False, **options) -> DataFrame:
     """Weights per aid on all rows: aid, W (class rows), b, shift, divisor.  This table is the checkpoint."""
     out = "aid string, W array<array<double>>, b array<double>, shift array<double>, divisor array<double>"

@@ -334,6 +334,11 @@ def monte_carlo_summary(compared: DataFrame, keys: list[str], improved_over: flo
     return means.join(spread.select(*keys, *(r(F.col(c), c) for c in ("median_gain", "p25_gain", "p75_gain"))), keys, "left")
 
 
+def routable(pairs: DataFrame, records: DataFrame, value: str, key: str = "pair_idx") -> DataFrame:
+    """Pairs for which some record of another router has a value."""
+    return pairs.join(records.where(F.col(value).isNotNull()).select(key).distinct(), key, "left_semi")
+
+
 def no_path_counts(routes: DataFrame, *keys: str) -> DataFrame:
     return routes.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("steps").isNull()).alias("no_path"))
 

@@ -24,6 +24,11 @@ def sample_n(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return rows.orderBy(mixed_int(F.col(key), seed), key).limit(n)
 
 
+def first_n(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in their source's order, which some columns must give; 0 keeps all."""
+    return rows.orderBy(*order).limit(n) if n else rows
+
+
 def sample_fraction(rows: DataFrame, fraction: float, key: str, seed: int = 42) -> DataFrame:
     """A share of rows fixed by key and seed; no shuffle."""
     return rows.where(mixed_int(F.col(key), seed) < int(fraction * 2147483647))

@@ -126,3 +126,16 @@ def labels_on_routes(midpoints: DataFrame, labels: DataFrame, radius_m: float, r
     return every.join(found, route_id, "left").select(
         route_id, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_severity", F.lit(0.0)).alias("mean_severity"), F.coalesce("types", F.array().cast("array<string>")).alias("types")
     )
+
+
+def area_fractions(pixels: DataFrame, classes: list[int], height: int, width: int, grid: int, image: str = "image_id", kind: str = "class_id") -> DataFrame:
+    """Per image and cell of a grid x grid raster: the share of its pixels (image, y, x, class) that are of ``classes``.
+
+    Where cells don't end on pixels, a pixel counts whole in every cell that it reaches into.
+    """
+
+    def cells(at: str, size: int) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(at) * grid / size), F.ceil((F.col(at) + 1) * grid / size) - 1))
+
+    placed = pixels.withColumn("row", cells("y", height)).withColumn("col", cells("x", width))
+    return placed.groupBy(image, "row", "col").agg(F.avg(F.col(kind).isin(classes).cast("double")).alias("fraction"))
