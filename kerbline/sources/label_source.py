@@ -2,15 +2,17 @@
 
 ``spark.dataSource.register(LabelSource)``, then
 ``spark.read.format("kerbline_labels").option("path", ...).load().where("lat >= 40 and lat <= 41")``.
-A service behind HTTP is the same reader with another ``lines``; this one needs no network.
+Paths are absolute ones or URIs of any store that Arrow opens (local, HDFS, S3, GCS).
+A service behind HTTP is the same reader with another ``read``; this one needs no network.
 """
 
 from __future__ import annotations
 
-import glob
+import io
 import json
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 
 SCHEMA = "label_id long, label_type string, severity double, lat double, lon double"
@@ -35,11 +37,13 @@ class LabelReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[FilePartition]:
-        return [FilePartition(p) for p in sorted(glob.glob(f"{self.path}/*.jsonl"))]
+        store, folder = FileSystem.from_uri(self.path)
+        return [FilePartition(f.path) for f in sorted(store.get_file_info(FileSelector(folder)), key=lambda f: f.path) if f.path.endswith(".jsonl")]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as lines:
-            for line in lines:
+        store, _ = FileSystem.from_uri(self.path)
+        with store.open_input_stream(partition.path) as stream:
+            for line in io.TextIOWrapper(stream, encoding="utf-8"):
                 try:
                     r = json.loads(line)
                 except ValueError:

@@ -6,6 +6,7 @@ watermarks where an operator keeps any.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,36 +43,45 @@ def sessions(stream: DataFrame, key: str, gap: str = "30 minutes", column: str =
     return grouped.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert_latest(path: str, key: str = "session_id", received: str = "received_at"):
-    """A ``foreachBatch`` function: the stored table keeps the last received row of each key.
+def _folders(spark, path: str) -> list[str]:
+    """Complete folders below ``path``."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n for n in names if fs.exists(fs_path(f"{path}/{n}/_SUCCESS")))
+
+
+def upsert_latest(path: str, key: str = "session_id", received: str = "received_at", compact_at: int = 50):
+    """A ``foreachBatch`` function: the stored rows keep the last received row of each key.
 
-    The new table goes to a numbered folder, the pointer file ``current`` names
-    the last complete one; a repeated batch writes the same folder again.
+    A batch writes its own rows only, to a folder named by query and batch, so a
+    repeated batch writes the same folder again and a query with a new checkpoint
+    adds to what is there.  ``read_latest`` picks the last row of each key.  At
+    ``compact_at`` folders they are merged into one; until the merged ones are
+    deleted, rows stand twice, which does no harm.
     """
     from kerbline.sources.writers import latest_by_session
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        root = fs_path(path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        old = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = sorted((n for n in old if n.startswith("v-") and int(n[2:]) < batch_id and fs.exists(fs_path(f"{path}/{n}/_SUCCESS"))), key=lambda n: int(n[2:]))
-        if done:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/{done[-1]}").unionByName(batch)
-        latest_by_session(rows, key, received).write.mode("overwrite").parquet(f"{path}/v-{batch_id}")
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        latest_by_session(batch, key, received).write.mode("overwrite").parquet(f"{path}/b-{query}-{batch_id}")
+        old = _folders(spark, path)
+        if len(old) >= compact_at:
+            read_latest(spark, path, key, received).write.parquet(f"{path}/c-{uuid.uuid4().hex}")
+            for name in old:
+                target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+                target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
     return write
 
 
-def read_latest(spark, path: str) -> DataFrame:
-    """What ``upsert_latest`` stored last."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(fs_path(path))]
-    last = max((n for n in names if n.startswith("v-") and fs.exists(fs_path(f"{path}/{n}/_SUCCESS"))), key=lambda n: int(n[2:]))
-    return spark.read.parquet(f"{path}/{last}")
+def read_latest(spark, path: str, key: str = "session_id", received: str = "received_at") -> DataFrame:
+    """The last received row of each key that ``upsert_latest`` stored."""
+    from kerbline.sources.writers import latest_by_session
+
+    return latest_by_session(spark.read.parquet(*(f"{path}/{n}" for n in _folders(spark, path))), key, received)
 
 
 # The phases of a study session, in order.
