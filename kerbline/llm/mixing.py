@@ -13,7 +13,7 @@ Targets for categories that no document has are left out and the rest scaled to
 one; categories without a target keep, together, the share they have.  Repeated
 rows count each, and rows with one id are all sampled or none; ties can't arise,
 as each row is judged by itself.  An empty table gives an empty one.  Extra
-columns pass unchanged whatever their names; one named mix is replaced.
+columns pass unchanged whatever their names; one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -146,17 +146,17 @@ DEFAULT_TARGETS = {"source": tempered(0.7), "lang": tempered(0.8), "topic": temp
 
 def mix(
     docs: DataFrame, scratch: Scratch, targets: Mapping | None = None, keep: float = 0.8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
-    topic: Column | None = None, sweeps: int = 60, tolerance: float = 1e-9, local_cells: int = LOCAL_CELLS,
+    topic: Column | None = None, sweeps: int = 60, tolerance: float = 1e-9, local_cells: int = LOCAL_CELLS, out: str = "mix",
 ) -> DataFrame:
-    """Every row of ``docs`` with a struct ``mix``: topic, n_tokens, weight, p and sampled.
+    """Every row of ``docs`` with a struct ``out``: topic, n_tokens, weight, p and sampled.
 
     ``targets``: for source, lang and topic each a mapping from category to share,
     or a function from observed shares to such a mapping.  ``keep``: the share of
-    all tokens to take.  A column named ``mix`` is replaced.
+    all tokens to take.  A column named ``out`` is replaced.
     """
     wanted = dict(DEFAULT_TARGETS) | dict(targets or {})
     # rows travel as one struct, so that their names can't clash with those used here; texts are measured once
-    given = docs.drop("mix")
+    given = docs.drop(out)
     text = F.col(text_col).cast("string")
     kinds = [F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *([] if topic is None else [topic.cast("string").alias("topic")])]
     counted = given.select(F.struct(*(F.col(f"`{c}`") for c in given.columns)).alias("row"), text.alias("text"), *kinds, token_count(text).alias("tokens"))
@@ -205,7 +205,7 @@ def mix(
     same = [F.col(m).eqNullSafe(F.col(f"_{m[0]}")) for m in MARGINS]
     joined = measured.join(table, same[0] & same[1] & same[2], "left")
     inside = F.struct("topic", F.col("tokens").alias("n_tokens"), "weight", "p", (uniform(F.col("row")[id_col], seed) < F.col("p")).alias("sampled"))
-    return joined.select("row.*", inside.alias("mix"))
+    return joined.select("row.*", inside.alias(out))
 
 
 def _scale_distributed(raked: DataFrame, budget: float, steps: int = 60) -> float:

@@ -341,4 +341,4 @@ def score(docs: DataFrame, model: CoTrained, out: str = "quality", threshold: fl
     """Every row with a struct ``out``: p_text, p_meta, score, and kept (score at least ``threshold``).  A column of that name is replaced."""
     bound_batches(docs.sparkSession)
     scored = docs.withColumn(out, _scores(model)(*_inputs()))
-    return scored.withColumn(out, F.col(out).withField("kept", F.col(f"{out}.score") >= threshold))
+    return scored.withColumn(out, F.col(out).withField("kept", F.col(out)["score"] >= threshold))
