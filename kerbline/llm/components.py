@@ -50,15 +50,16 @@ def connected_components(links: DataFrame, scratch: Scratch, a: str = "a", b: st
 
 
 def join_groups(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, sketch: DataFrame | None = None, near: Callable[[str, str], Column] | None = None,
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, sketch: DataFrame | None = None, near: Callable[[str, str, Column], Column] | None = None,
     dense: Callable[[DataFrame], DataFrame] | None = None, dense_from: int = 48, rounds: int = 2,
 ) -> DataFrame:
     """Components of the verified links among items that share a bucket, without listing all pairs of a bucket.
 
     ``members``: (bucket, id), the candidates: every link must have some bucket
     in common.  ``verify(pairs)`` keeps the true links of pairs (a, b), a < b.
-    ``sketch`` (id, sk) and ``near(sk of a, sk of b)`` rule pairs out inside the
-    joins; they must let every link pass.
+    ``sketch`` (id, sk) and ``near(sk of a, sk of b, members of the bucket)`` rule
+    pairs out inside the joins; a link is found only if they let it pass.  Members
+    count as 1 where they are compared with first members.
 
     Each member is first checked against its buckets' first members, the one it
     shares most buckets with before the others; ids found connected are not
@@ -90,8 +91,8 @@ def join_groups(
         table, seen = scratch.write_observed(found, "open")
         return table, seen["rows"]
 
-    def alike(a: str, b: str) -> Column:
-        return near(a, b) if near else F.lit(True)
+    def alike(a: str, b: str, size: Column | None = None) -> Column:
+        return near(a, b, F.lit(1) if size is None else size) if near else F.lit(True)
 
     def connect(found: DataFrame, label: str) -> None:
         nonlocal components
@@ -139,7 +140,7 @@ def join_groups(
         if n:
             other = rows.select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "id", "c", "cluster", "sk")))
             apart = (F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & (F.col("cluster") != F.col("cluster_b"))
-            met = rows.join(other, (F.col("bucket") == F.col("bucket_b")) & apart & alike("sk", "sk_b"))
+            met = rows.join(other, (F.col("bucket") == F.col("bucket_b")) & apart & alike("sk", "sk_b", F.col("size")))
             settle(met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
     if components is None:
         return members.select("id", F.col("id").alias("component")).limit(0)

@@ -243,7 +243,7 @@ def near_duplicates(
     found = join_groups(
         members, verify, scratch,
         sketch=classes.where("rep is not null").select(F.col("rep").alias("id"), low_bits("sig").alias("sk")),
-        near=lambda a, b: bits_apart(a, b, longs) <= limit,
+        near=lambda a, b, _: bits_apart(a, b, longs) <= limit,
         dense=lambda clusters: block_links(clusters, sets, percent, block_shingles), dense_from=dense_from,
     )
     of_class = classes.select("key", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
