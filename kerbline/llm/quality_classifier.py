@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from kerbline.llm.arrow import bound_batches, texts
 from kerbline.plans.scratch import Scratch
@@ -169,12 +169,12 @@ class ArrayPool:
         """Rows by bin of each view's score."""
         return [np.bincount(bin_of(_sigmoid(m.logit(x))), minlength=BINS) for m, x in zip(models, self.views, strict=True)]
 
-    def take(self, models: list[Logistic], asked: list[list[tuple[int, int, int]]]) -> list[list[np.ndarray]]:
-        """Per view and (lowest bin, highest bin, rows): the other view's features of that many rows at most, in the pool's order."""
+    def take(self, models: list[Logistic], asked: list[list[tuple[int, int, int, int]]]) -> list[list[np.ndarray]]:
+        """Per view and (lowest bin, highest bin, rows wanted, rows there): the other view's features of the wanted rows at most, in the pool's order."""
         out = []
         for k, (model, x) in enumerate(zip(models, self.views, strict=True)):
             at = bin_of(_sigmoid(model.logit(x)))
-            out.append([self.views[1 - k][(at >= lo) & (at <= hi)][:n] for lo, hi, n in asked[k]])
+            out.append([self.views[1 - k][(at >= lo) & (at <= hi)][:n] for lo, hi, n, _ in asked[k]])
         return out
 
 
@@ -235,9 +235,9 @@ def co_train(
                 lo, hi = (edge, BINS - 1) if label else (0, edge)
                 claimed = (check >= lo) & (check <= hi)
                 if reach[-1] and _at_least(int((y[claimed] == label).sum()), int(claimed.sum())) >= trust:
-                    spans.append((int(lo), int(hi), int(round(max_pseudo * part)), label))
-            asked.append([x[:3] for x in spans])
-            labels.append([x[3] for x in spans])
+                    spans.append((int(lo), int(hi), int(round(max_pseudo * part)), int(counts[lo : hi + 1].sum()), label))
+            asked.append([x[:4] for x in spans])
+            labels.append([x[4] for x in spans])
         for k, found in enumerate(pool.take(models, asked)):
             extra[1 - k] = (np.concatenate([np.zeros((0, views[1 - k].shape[1])), *found]), np.concatenate([np.zeros(0), *(np.full(len(x), float(c)) for x, c in zip(found, labels[k], strict=True))]))
         passed.append((len(extra[1][1]), len(extra[0][1])))
@@ -286,15 +286,30 @@ class TablePool:
             out[r.k][r.b] = r["count"]
         return out
 
-    def take(self, models: list[Logistic], asked: list[list[tuple[int, int, int]]]) -> list[list[np.ndarray]]:
-        scored = self._scored(models)
-        out = []
-        for k, view in enumerate(("text", "meta")):
-            out.append([])
-            for lo, hi, n in asked[k]:
-                rows = scored.where(F.col(f"bin.{view}").between(lo, hi)).orderBy(F.xxhash64("id"), "id").limit(n).drop("bin").toArrow()  # at most max_pseudo rows
-                both = _batch(*(rows[c].combine_chunks() for c in ("x", "source", "lang", "n_chars")))
-                out[k].append(both[1 - k])
+    def take(self, models: list[Logistic], asked: list[list[tuple[int, int, int, int]]]) -> list[list[np.ndarray]]:
+        """In one pass: ids' hashes below a bound that some more than the wanted rows have are brought, in order, and cut to what is wanted."""
+        spans = [(k, *x) for k in range(2) for x in asked[k]]
+        out: list[list[np.ndarray]] = [[], []]
+        if not spans:
+            return out
+
+        def bring(spare: float) -> pa.Table:
+            def meets(k: int, lo: int, hi: int, n: int, have: int) -> Column:
+                most = min(2**63 - 1, -(2**63) + int(min(1.0, (spare * n + 100) / max(1, have)) * 2**64))
+                return F.col(f"bin.{('text', 'meta')[k]}").between(lo, hi) & (F.col("h") <= F.lit(most))
+
+            scored = self._scored(models).withColumn("h", F.xxhash64("id")).withColumn("in", F.array(*(meets(*x) for x in spans)))
+            rows = scored.where(F.array_contains("in", True)).orderBy("h", "id").limit(int(2 * sum(spare * x[3] + 100 for x in spans)))  # a few times max_pseudo rows
+            return rows.select("x", "source", "lang", "n_chars", "in").toArrow()
+
+        for spare in (1.3, 4.0):
+            rows = bring(spare)
+            inside = np.array(rows["in"].to_pylist(), bool).reshape(-1, len(spans))
+            if all(inside[:, i].sum() >= min(n, have) for i, (_, _, _, n, have) in enumerate(spans)):
+                break
+        both = _batch(*(rows[c].combine_chunks() for c in ("x", "source", "lang", "n_chars")))
+        for i, (k, _, _, n, _) in enumerate(spans):
+            out[k].append(both[1 - k][inside[:, i]][:n])
         return out
 
 
