@@ -345,8 +345,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, label_col: str = "
     text, meta = _batch(*(rows[c].combine_chunks() for c in ("x", "source", "lang", "n_chars")))
     if len(y) == 0 or y.min() == y.max():
         return co_train(text, meta, y, None)
-    unknown = pure.join(known.select("id").distinct(), "id", "left_anti")
-    stored = scratch.write(unknown.select("id", looks("text").alias("x"), "source", "lang", "n_chars"), "features")
+    # features are found before the join, so that it moves no texts
+    every = scratch.write(pure.select("id", looks("text").alias("x"), "source", "lang", "n_chars"), "features")
+    stored = scratch.write(every.join(known.select("id").distinct(), "id", "left_anti"), "unlabelled")
+    scratch.drop(every)
     model = co_train(text, meta, y, TablePool(stored), **options)
     scratch.drop(stored)
     return model
