@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import bpe, line_dedup, media, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, token_files
+from kerbline.llm import bpe, line_dedup, media, minhash, mixing, pii, quality_classifier, quality_rules, rank_bpe, suffix_dedup, token_files
 from kerbline.llm.arrow import bound_batches
 from kerbline.plans.scratch import Scratch
 
@@ -119,6 +119,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, scratch = _documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark, "rank-bpe")
+    with rank_bpe.literals(rank_bpe.write_ranks(spark, tokenizer_file("byte_bpe_50k.tiktoken"), scratch)) as tables:
+        codec = rank_bpe.RankCodec(tables, public_tokenizers.PATTERN)
+        with rank_bpe.literals(rank_bpe.common_words(docs, codec, scratch)) as known:
+            coded = docs.select("doc_id", codec.encode(F.col("text"), known["common"]).alias("ids"))
+        return coded.select(
+            "doc_id",
+            F.size("ids").cast("long").alias("n_tokens"),
+            F.sha2(codec.pack(F.col("ids")), 256).alias("ids_sha256"),
+            F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -131,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,
+        "op12_rank_bpe": op12_rank_bpe,
     }
 
 
