@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kerbline.llm import bpe, line_dedup, media, minhash, mixing, pii, quality_classifier, quality_rules, rank_bpe, suffix_dedup, token_files
+from kerbline.llm import bpe, line_dedup, media, merkle, minhash, mixing, pii, quality_classifier, quality_rules, rank_bpe, sql, suffix_dedup, token_files, vector_codes
 from kerbline.llm.arrow import bound_batches
 from kerbline.plans.scratch import Scratch
 
@@ -119,6 +119,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.code_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Scratch(spark, "vector-codes"))
+    books = coded.books.digest() if coded.books else None
+    return vector_codes.with_label_error(coded.rows).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books).cast("string").alias("codebooks_sha256")
+    )
+
+
 def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -135,6 +143,22 @@ def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, held against copies of which some have one character more."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = merkle.leaf_digest(*(F.col(c) + F.when(changed, 1).otherwise(0) if c == "n_chars" else F.col(c) for c in fields))
+    found = merkle.manifest(_documents(spark, sf_dir).select(*fields), "lang", "doc_id", fields, Scratch(spark, "merkle"), {"claim": claim})
+    found = found.withColumn("again", merkle.folded(F.col("claim"), F.col("path")))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        *(merkle.text_of(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")),
+        merkle.text_of(merkle.proof_digest(F.col("path"))).alias("proof_sha256"),
+        merkle.text_of(F.col("again")).alias("folded_root"),
+        (F.col("again") == F.col("root")).alias("verified"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": op1_minhash,
@@ -147,9 +171,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_pii": op9_pii,
         "op10_quality_rules": op10_quality_rules,
+        "op11_vector_codes": op11_vector_codes,
         "op12_rank_bpe": op12_rank_bpe,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_vector_codes": sql.VECTOR_CODES, "op13_merkle": sql.MERKLE}
