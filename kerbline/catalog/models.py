@@ -91,11 +91,13 @@ def pseudo_labels(spark, sf_dir):
 
 
 def training_rows(spark, sf_dir):
-    """Vectors joined to cells of votes, image by image."""
+    """Vectors joined to cells of votes: every vector is an image, and an event's number, modulo their number, says which it votes on."""
     v = vectors(spark, sf_dir).select(F.col("key").alias("image_id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
     from kerbline.operators.tally import tally
 
-    t = tally(votes(spark, sf_dir)).join(v, "image_id")
+    n = v.agg(F.max("image_id").alias("n"))  # one row
+    cast = votes(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("image_id", F.col("event_id") % (F.col("n") + 1)).drop("n")
+    t = tally(cast).join(v, "image_id")
     y, n = F.array("p_no", "p_unsure", "p_yes"), F.array(*(F.col(c).cast("double") for c in ("no", "unsure", "yes")))
     rows = t.select(F.col("image_id").alias("item_id"), "aid", "vec", y.alias("y"), n.alias("counts"), D.argmax(y).alias("label"), "sample_weight")
     return rows.join(P.plain_folds(rows.select("item_id").distinct(), 5), "item_id")
@@ -107,7 +109,7 @@ def cross_validated(spark, sf_dir):
 
     grid = P.grid(spark, seed=[42, 43], loss=["soft_kl", "hard_ce", "multinomial"], weight_decay=[1e-4]).selectExpr("cast(seed as int) seed", "loss", "weight_decay")
     rows = training_rows(spark, sf_dir)
-    raw, tuned = (P.cross_validate(rows, grid, 5, temperature=t).groupBy("loss", "aid").agg(M.brier_soft("probs", "y").alias(n), F.count("*").alias(f"n_{n}")) for t, n in ((False, "raw"), (True, "tuned")))
+    raw, tuned = (P.cross_validate(rows, grid, Scratch(spark, "probes"), 5, temperature=t).groupBy("loss", "aid").agg(M.brier_soft("probs", "y").alias(n), F.count("*").alias(f"n_{n}")) for t, n in ((False, "raw"), (True, "tuned")))
     return raw.join(tuned, ["loss", "aid"])
 
 
@@ -116,7 +118,7 @@ def coupled_heads(spark, sf_dir):
     from kerbline.operators import metrics as M
 
     heads = spark.createDataFrame([(42, h, r, 1e-4) for h, r in (("independent", 0), ("low_rank", 4), ("low_rank_per_aid", 4))], "seed int, head string, rank int, weight_decay double")
-    return P.fit_heads(training_rows(spark, sf_dir), heads).groupBy("head", "aid").agg(M.brier_soft("probs", "y").alias("brier"), F.count("*").alias("n"))
+    return P.fit_heads(training_rows(spark, sf_dir), heads, Scratch(spark, "heads")).groupBy("head", "aid").agg(M.brier_soft("probs", "y").alias("brier"), F.count("*").alias("n"))
 
 
 def benchmark_probe(spark, sf_dir):
@@ -124,9 +126,9 @@ def benchmark_probe(spark, sf_dir):
     v = vectors(spark, sf_dir).where("label is not null")
     classes = v.agg((F.max("label") + 1).alias("classes"))  # one row
     y = F.transform(F.sequence(F.lit(0), F.col("classes") - 1), lambda c: (c == F.col("label")).cast("double"))
-    rows = v.crossJoin(F.broadcast(classes)).select(F.col("key").alias("item_id"), F.lit("all").alias("aid"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), y.alias("y"), F.col("label").cast("int").alias("label"), F.lit(1.0).alias("sample_weight"))
+    rows = v.crossJoin(F.broadcast(classes)).select(F.col("key").alias("item_id"), F.lit("all").alias("aid"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), y.alias("y"), y.alias("counts"), F.col("label").cast("int").alias("label"), F.lit(1.0).alias("sample_weight"))
     settings = spark.createDataFrame([(42, "independent", 0, w) for w in (0.0, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)], "seed int, head string, rank int, weight_decay double")
-    done = P.fit_heads(rows.join(P.plain_folds(rows.select("item_id"), 5), "item_id"), settings)
+    done = P.fit_heads(rows.join(P.plain_folds(rows.select("item_id"), 5), "item_id"), settings, Scratch(spark, "benchmark"))
     return done.groupBy("weight_decay").agg(F.count("*").alias("n"), F.avg((D.argmax(F.col("probs")) == F.col("label")).cast("double")).alias("accuracy"))
 
 
@@ -135,7 +137,7 @@ def first_rows(spark, sf_dir):
 
 
 def inference(spark, sf_dir):
-    w = P.fit_final(training_rows(spark, sf_dir))
+    w = P.fit_final(training_rows(spark, sf_dir), Scratch(spark, "inference"))
     items = vectors(spark, sf_dir).select(F.col("key").alias("item_id"), "vec")
     return P.summarise_predictions(P.apply_probes(items, w)).drop("vec", "probs")
 

@@ -1,8 +1,8 @@
-"""Linear probes on feature vectors: fitted per group in parallel, scored by expressions or batches.
+"""Linear probes on feature vectors: folds, fits of all settings at once, scores, pseudo-labels.
 
-A group is one fit (seed, fold, aid, loss, weight decay ...); groups are
-independent, so Spark spreads them, and the kernel is full-batch Adam in NumPy.
-A fit holds one aid's labelled items, which is small by nature (crowd votes).
+A fit is a seed, fold, aid, loss, weight decay and so on.  ``probe_fit`` runs all fits of
+a table side by side across tasks; ``fit_probe`` is one fit of whole arrays, for
+tables that a program holds itself.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.functions import distributions as D
 from kerbline.functions.vectors import linear
+from kerbline.operators.probe_fit import Fit, count_training, log_softmax, moments, pack, prepare, scored, train, tune
 from kerbline.operators.selection import mixed_int
 from kerbline.plans.ranks import RANGES, placed
 from kerbline.plans.scratch import Scratch
@@ -28,11 +28,6 @@ def scale_of(x: np.ndarray, centre: bool = False) -> tuple[np.ndarray, np.ndarra
     return (x.mean(axis=0) if centre else np.zeros(x.shape[1])), np.where(std < 1e-12, 1.0, std)
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
 def _digamma(x: np.ndarray) -> np.ndarray:
     x, out = x.astype(float).copy(), np.zeros_like(x, dtype=float)
     for _ in range(6):
@@ -46,28 +41,32 @@ def _digamma(x: np.ndarray) -> np.ndarray:
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def loss_and_grad(loss: str, z: np.ndarray, target: np.ndarray, counts: np.ndarray, weight: np.ndarray, log_conc: float = 0.0) -> tuple[float, np.ndarray, float]:
-    """(value, gradient on logits, gradient on the log concentration)."""
+def loss_and_grad(loss: str, z: np.ndarray, target: np.ndarray, counts: np.ndarray, weight: np.ndarray, log_conc: float = 0.0, n: float | None = None, unit: float | None = None) -> tuple[float, np.ndarray, float]:
+    """(value, gradient on logits, gradient on the log concentration).
+
+    The rows may be a part of the whole: ``n`` is how many rows there are in all,
+    and ``unit`` their mean number of votes; values of the parts add up.
+    """
     logp = log_softmax(z)
-    p, n = np.exp(logp), len(z)
+    p, n = np.exp(logp), n or len(z)
     if loss == "soft_kl":
-        value = (weight * np.where(target > 0, target * (np.log(np.maximum(target, 1e-300)) - logp), 0).sum(1)).mean()
+        value = (weight * np.where(target > 0, target * (np.log(np.maximum(target, 1e-300)) - logp), 0).sum(1)).sum() / n
         return value, weight[:, None] * (p * target.sum(1, keepdims=True) - target) / n, 0.0
     if loss == "hard_ce":
         hard = np.eye(z.shape[1])[target.argmax(1)]
-        return (weight * -(hard * logp).sum(1)).mean(), weight[:, None] * (p - hard) / n, 0.0
+        return (weight * -(hard * logp).sum(1)).sum() / n, weight[:, None] * (p - hard) / n, 0.0
     total = counts.sum(1)
     if loss == "multinomial":
-        unit = total.mean()
-        return (-(counts * logp).sum(1) / unit).mean(), (p * total[:, None] - counts) / unit / n, 0.0
+        unit = total.mean() if unit is None else unit
+        return (-(counts * logp).sum(1) / unit).sum() / n, (p * total[:, None] - counts) / unit / n, 0.0
     if loss == "dirichlet":
         conc = math.exp(log_conc)
-        a, big = p * conc, np.full(n, conc)
+        a, big = p * conc, np.full(len(z), conc)
         ll = _lgamma(big) - _lgamma(total + big) + (_lgamma(counts + a) - _lgamma(a)).sum(1)
         da = -(_digamma(counts + a) - _digamma(a)) / total[:, None] / n
         shared = -(_digamma(big) - _digamma(total + big)) / total / n
         dz = conc * (p * da - p * (p * da).sum(1, keepdims=True))
-        return (-ll / total).mean(), dz, float((da * a).sum() + (shared * conc).sum())
+        return (-ll / total).sum() / n, dz, float((da * a).sum() + (shared * conc).sum())
     raise ValueError(f"unknown loss {loss}")
 
 
@@ -204,80 +203,74 @@ def grid(spark, **options: list) -> DataFrame:
     return out
 
 
-# ---- grouped fitting -------------------------------------------------------------------------------------------------
+# ---- fitting across tasks -----------------------------------------------------------------------------------------------
+
+
+def _table(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str], dict, int]:
+    """Blocks of the rows, the aids in order, moments by (place of aid, fold), and how many numbers there are."""
+    known = moments(rows)
+    aids = sorted({a for a, _ in known})
+    by = {(aids.index(a), f): m for (a, f), m in known.items()}
+    return pack(rows, aids, scratch), aids, by, int(sum(m.n * len(m.mean) for m in by.values()))
+
 
+def _classes(rows: DataFrame) -> int:
+    return rows.select(F.max(F.size("y"))).first()[0] or 0
 
-def cross_validate(rows: DataFrame, settings: DataFrame, k: int = 5, centre: bool = False, temperature: bool = False) -> DataFrame:
+
+def cross_validate(rows: DataFrame, settings: DataFrame, scratch: Scratch, k: int = 5, centre: bool = False, temperature: bool = False, lr: float = LR, epochs: int = EPOCHS) -> DataFrame:
     """Held-out predictions of every setting x seed x fold x aid.
 
     ``rows``: item_id, aid, vec, y (soft target), counts, label, sample_weight, fold.
     ``settings``: seed, loss, weight_decay (one row per variant).  Output: the
     setting, fold, aid, item_id, label, y, probs, temperature.
     """
-    folds = rows.sparkSession.range(k).select(F.col("id").cast("int").alias("held"))
-    work = rows.join(F.broadcast(settings.join(folds, how="cross")), how="cross")  # settings x folds: a small table
-    out = "seed int, loss string, weight_decay double, held int, aid string, item_id long, label int, y array<double>, probs array<double>, temperature double"
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(g["vec"]).astype(float), np.stack(g["y"]).astype(float)
-        test = (g["fold"] == g["held"]).to_numpy()
-        if not test.any() or test.all():
-            return pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
-        shift, by = scale_of(x[~test], centre)
-        x = (x - shift) / by
-        seed, train, t = int(g["seed"].iloc[0]), ~test, 1.0
-        settings = {"loss": g["loss"].iloc[0], "seed": seed, "weight_decay": float(g["weight_decay"].iloc[0])}
-        if temperature:
-            cal = np.zeros(len(g), bool)
-            cal[np.random.default_rng(seed).permutation(np.flatnonzero(train))[: max(1, int(0.2 * train.sum()))]] = True
-            train = train & ~cal
-        model = fit_probe(x[train], y[train], g["sample_weight"].to_numpy(float)[train], np.stack(g["counts"]).astype(float)[train], **settings)
-        if temperature:
-            t = tune_temperature(x[cal] @ model["W"][0].T + model["b"][0], g["label"].to_numpy(int)[cal])
-        p = predict(x[test], model, temperature=t)
-        return g.loc[test, ["seed", "loss", "weight_decay", "held", "aid", "item_id", "label", "y"]].assign(probs=list(p), temperature=t)
-
-    return work.groupBy("seed", "loss", "weight_decay", "held", "aid").applyInPandas(fit, out)
-
-
-def fit_heads(rows: DataFrame, settings: DataFrame, k: int = 5) -> DataFrame:
+    blocks, aids, known, numbers = _table(rows, scratch)
+    keys = {"seed": "int", "loss": "string", "weight_decay": "double"}
+    classes = _classes(rows)
+    fits = [
+        Fit(s.asDict(), [a], held, s["loss"], seed=s["seed"], weight_decay=s["weight_decay"], calibrate=temperature, classes=classes)
+        for s in settings.select(*keys).collect() for held in range(k) for a in range(len(aids))
+    ]
+    return _fitted(blocks, [f for f in fits if prepare(f, known, centre)], aids, keys, numbers, lr, epochs)
+
+
+def fit_heads(rows: DataFrame, settings: DataFrame, scratch: Scratch, k: int = 5, lr: float = LR, epochs: int = EPOCHS) -> DataFrame:
     """Held-out predictions of heads for all aids fitted together, for every setting x fold.
 
     ``rows`` as for ``cross_validate``.  ``settings``: seed, head (independent,
     low_rank or low_rank_per_aid), rank (0 for full), weight_decay.  Any
     number of classes and aids; one aid with ``head`` independent is a plain probe.
+    Aids that a fold's training rows lack have no head and no predictions.
     """
-    folds = rows.sparkSession.range(k).select(F.col("id").cast("int").alias("held"))
-    work = rows.join(F.broadcast(settings.join(folds, how="cross")), how="cross")  # settings x folds: a small table
-    out = "seed int, head string, rank int, weight_decay double, held int, aid string, item_id long, label int, y array<double>, probs array<double>"
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(g["vec"]).astype(float), np.stack(g["y"]).astype(float)
-        test = (g["fold"] == g["held"]).to_numpy()
-        if not test.any() or test.all():
-            return pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
-        shift, by = scale_of(x[~test])
-        x, aid = (x - shift) / by, np.unique(g["aid"], return_inverse=True)[1]
-        one = g.iloc[0]
-        model = fit_probe(x[~test], y[~test], g["sample_weight"].to_numpy(float)[~test], aid=aid[~test], head=one["head"], rank=int(one["rank"]), seed=int(one["seed"]), weight_decay=float(one["weight_decay"]))
-        known = aid[test] < len(model["W"])  # aids after the last one in training have no head
-        p = predict(x[test][known], model, aid[test][known])
-        return g.loc[test, ["seed", "head", "rank", "weight_decay", "held", "aid", "item_id", "label", "y"]][known].assign(probs=list(p))
-
-    return work.groupBy("seed", "head", "rank", "weight_decay", "held").applyInPandas(fit, out)
-
-
-def fit_final(rows: DataFrame, loss: str = "soft_kl", centre: bool = False, **options) -> DataFrame:
-    """Weights per aid on all rows: aid, W (class rows), b, shift, divisor.  This table is the checkpoint."""
-    out = "aid string, W array<array<double>>, b array<double>, shift array<double>, divisor array<double>"
+    blocks, aids, known, numbers = _table(rows, scratch)
+    keys = {"seed": "int", "head": "string", "rank": "int", "weight_decay": "double"}
+    classes, fits = _classes(rows), []
+    for s in settings.select(*keys).collect():
+        for held in range(k):
+            own = sorted({a for a, f in known if f != held})
+            fits.append(Fit(s.asDict(), own, held, "soft_kl", s["head"], s["rank"], s["seed"], s["weight_decay"], classes=classes))
+    return _fitted(blocks, [f for f in fits if prepare(f, known)], aids, keys, numbers, lr, epochs).drop("temperature")
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g["vec"]).astype(float)
-        shift, by = scale_of(x, centre)
-        model = fit_probe((x - shift) / by, np.stack(g["y"]).astype(float), g["sample_weight"].to_numpy(float), loss=loss, **options)
-        return pd.DataFrame({"aid": [g["aid"].iloc[0]], "W": [model["W"][0].tolist()], "b": [model["b"][0].tolist()], "shift": [shift.tolist()], "divisor": [by.tolist()]})
 
-    return rows.groupBy("aid").applyInPandas(fit, out)
+def _fitted(blocks: DataFrame, fits: list[Fit], aids: list[str], keys: dict[str, str], numbers: int, lr: float, epochs: int) -> DataFrame:
+    count_training(blocks, fits)
+    train(blocks, fits, numbers, loss_and_grad, epochs, lr)
+    tune(blocks, fits)
+    return scored(blocks, fits, aids, keys)
+
+
+def fit_final(rows: DataFrame, scratch: Scratch, loss: str = "soft_kl", centre: bool = False, seed: int = SEED, weight_decay: float = WEIGHT_DECAY, lr: float = LR, epochs: int = EPOCHS) -> DataFrame:
+    """Weights per aid on all rows: aid, W (class rows), b, shift, divisor.  This table is the checkpoint."""
+    extra = {"counts": F.col("y"), "label": F.lit(0), "fold": F.lit(0)}
+    whole = rows.withColumns({c: v for c, v in extra.items() if c not in rows.columns})
+    blocks, aids, known, numbers = _table(whole, scratch)
+    fits = [Fit({}, [a], -1, loss, seed=seed, weight_decay=weight_decay, classes=_classes(rows)) for a in range(len(aids))]
+    fits = [f for f in fits if prepare(f, known, centre)]
+    train(blocks, fits, numbers, loss_and_grad, epochs, lr)
+    scratch.drop(blocks)
+    done = [(aids[f.aids[0]], f.weights()[0][0].tolist(), f.weights()[1][0].tolist(), f.shift.tolist(), f.divisor.tolist()) for f in fits]
+    return rows.sparkSession.createDataFrame(done, "aid string, W array<array<double>>, b array<double>, shift array<double>, divisor array<double>")
 
 
 def apply_probes(items: DataFrame, weights: DataFrame, vec: str = "vec") -> DataFrame:
@@ -316,9 +309,9 @@ def self_trained(rows: DataFrame, pool: DataFrame, scratch: Scratch, held: int =
     """
     train, test = rows.where(F.col("fold") != held), rows.where(F.col("fold") == held)
     real = train.select("item_id", "aid", "vec", "y", "sample_weight")
-    first = scratch.write(fit_final(real, **(options or {})), "first")
+    first = scratch.write(fit_final(real, scratch, **(options or {})), "first")
     kept = pseudo_rows(apply_probes(pool, first), **rules).select("item_id", "aid", "vec", "y", "sample_weight")
-    again = scratch.write(fit_final(real.unionByName(kept), **(options or {})), "again")
+    again = scratch.write(fit_final(real.unionByName(kept), scratch, **(options or {})), "again")
     out = None
     for name, weights in (("votes", first), ("votes and pseudo-labels", again)):
         own = test.join(apply_probes(test.select("item_id", "vec").distinct(), weights).drop("vec"), ["item_id", "aid"]).select(F.lit(name).alias("model"), "aid", "item_id", "y", "label", "probs")
