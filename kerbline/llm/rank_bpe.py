@@ -9,9 +9,9 @@ rest are folded where they stand.  Either way gives the same ids, so
 how many words are common decides the work and nothing else.  Decoding joins the
 ids' bytes.
 
-All of it is column expressions.  Output bytes
-travel as hexadecimal text, since Spark joins arrays of strings in linear time and
-binary ones pair by pair.
+All of it is column expressions.  Bytes are
+joined as an array of strings, which need not be valid text, since Spark joins those in
+linear time and binary ones pair by pair.
 
 Null and empty texts have no ids.  Texts and words of any length are encoded
 whole: a short word is merged pair by pair; in a long one a step joins all pairs of the
@@ -40,7 +40,7 @@ COMMON_WORDS, COMMON_BYTES = 500_000, 64
 #: Words of more bytes are merged rank by rank.
 LONG = 48
 #: Bits of an id; two to the others are the buckets of the rank map, and of the common words.
-ID_BITS, PAIR_BITS, WORD_BITS = 20, 16, 18
+ID_BITS, PAIR_BITS, WORD_BITS = 20, 16, 17
 #: Spreads pairs of ids over buckets; stands for the rank of a pair that no merge joins.
 SPREAD, NONE = 40503, (1 << 40) - 1
 
@@ -98,10 +98,12 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def write_ranks(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """A rank file as one row of tables: ``ranks``, ``pieces``, ``packed`` and ``bytes``.
+    """A rank file as one row of tables.
 
     ``ranks`` maps two neighbours, as one number, to the id of what they make; it
     is an array of small maps, as Spark looks through a map entry by entry.
+    ``starts`` holds the elements of all pairs of bytes, ``ends`` those of a last byte;
+    ``pieces`` and ``packed`` have the bytes of an id's token and of the id itself.
     """
     ids = read_ranks(path)
     top = max(ids.values())
@@ -121,10 +123,13 @@ def write_ranks(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
                 keys[at].append(a << ID_BITS | b)
                 made[at].append(i)
     told = sorted(range(256), key=lambda b: zlib.crc32(bytes([b])) >> 24)
-    row = {"keys": keys, "made": made, "pieces": pieces, "packed": [i.to_bytes(4, "little").hex().upper() for i in range(top + 1)], "bytes": [ids[bytes([b])] for b in told]}
-    schema = "keys array<array<bigint>>, made array<array<bigint>>, pieces array<string>, packed array<string>, bytes array<bigint>"
+    starts = [ids.get(bytes([a, b]), NONE) << ID_BITS | ids[bytes([a])] for a in told for b in told]
+    ends = [NONE << ID_BITS | ids[bytes([a])] for a in told]
+    row = {"keys": keys, "made": made, "pieces": pieces, "packed": [i.to_bytes(4, "little").hex().upper() for i in range(top + 1)], "starts": starts, "ends": ends}
+    schema = "keys array<array<bigint>>, made array<array<bigint>>, pieces array<string>, packed array<string>, starts array<bigint>, ends array<bigint>"
     one = spark.range(1).select(F.from_json(F.lit(json.dumps(row, separators=(",", ":"))), schema).alias("row")).select("row.*")
-    return scratch.write(one.select(F.zip_with("keys", "made", F.map_from_arrays).alias("ranks"), "pieces", "packed", "bytes"), "ranks")
+    raw = lambda c: F.transform(c, lambda x: F.unhex(x).cast("string")).alias(c)
+    return scratch.write(one.select(F.zip_with("keys", "made", F.map_from_arrays).alias("ranks"), raw("pieces"), raw("packed"), "starts", "ends"), "ranks")
 
 
 @contextmanager
@@ -152,7 +157,7 @@ class RankCodec:
 
     def fold(self, word: Column) -> Column:
         """A word's ids; the word isn't empty."""
-        return Fold(self.tables["ranks"], self.tables["bytes"]).ids(word)
+        return Fold(self.tables).ids(word)
 
     def encode(self, text: Column, common: Column | None = None) -> Column:
         """A text's ids as an array; ``common`` is the table that ``common_words`` made, as a literal."""
@@ -161,18 +166,18 @@ class RankCodec:
 
     def pack(self, ids: Column) -> Column:
         """Ids as little-endian unsigned 32-bit integers in one binary."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: self.tables["packed"][i]), ""))
+        return F.array_join(F.transform(ids, lambda i: self.tables["packed"][i]), "").cast("binary")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of the ids' tokens, joined."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: self.tables["pieces"][i]), ""))
+        return F.array_join(F.transform(ids, lambda i: self.tables["pieces"][i]), "").cast("binary")
 
 
 class Fold:
     """The merges of one word.  An element is an id and, above its bits, the rank of its union with the next one."""
 
-    def __init__(self, ranks: Column, first: Column):
-        self.ranks, self.bytes = ranks, first
+    def __init__(self, tables: dict[str, Column]):
+        self.ranks, self.starts, self.ends = tables["ranks"], tables["starts"], tables["ends"]
 
     def _join(self, a: Column, b: Column) -> Column:
         made = self.ranks[(a * SPREAD + b).bitwiseAND((1 << PAIR_BITS) - 1)][F.shiftleft(a, ID_BITS) + b]
@@ -181,12 +186,12 @@ class Fold:
     def ids(self, word: Column) -> Column:
         raw = word.cast("binary")
         by_size = lambda e: F.when(F.size(e) <= LONG, self._pair_by_pair(e)).otherwise(self._rank_by_rank(e))
-        return F.transform(_let(self._start(raw), by_size), _id)
+        return F.transform(_let(self._start(raw), by_size), lambda x: _id(x).cast("int"))
 
     def _start(self, word: Column) -> Column:
         """The elements of a word's bytes.  The checksum of one byte is told by its highest eight bits."""
-        ids = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: self.bytes[F.shiftright(F.crc32(F.substring(word, i, F.lit(1))), 24)])
-        return _let(ids, lambda p: F.transform(p, lambda a, i: self._join(a, F.get(p, i + 1))))
+        told = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.shiftright(F.crc32(F.substring(word, i, F.lit(1))), 24))
+        return _let(told, lambda t: F.transform(t, lambda a, i: F.coalesce(self.starts[a * 256 + F.get(t, i + 1)], self.ends[a])))
 
     def _pair_by_pair(self, elements: Column) -> Column:
         """All merges of a short word, one a step: the lowest rank and of its places the leftmost."""
@@ -196,8 +201,8 @@ class Fold:
             return F.filter(F.transform(e, anew), lambda _, i: i != at + 1)
 
         def step(e: Column, _: Column) -> Column:
-            place = lambda rank: F.array_position(F.transform(e, _rank), rank).cast("int") - 1
-            return _let(_rank(F.array_min(e)), lambda rank: F.when(rank >= NONE, e).otherwise(_let(place(rank), lambda at: merged(e, rank, at))))
+            place = lambda best: F.array_position(e, best).cast("int") - 1
+            return _let(F.array_min(e), lambda best: F.when(best >= NONE << ID_BITS, e).otherwise(_let(place(best), lambda at: merged(e, _rank(best), at))))
 
         return F.aggregate(_steps(F.size(elements)), elements, step)
 
