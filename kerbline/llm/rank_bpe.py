@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kerbline.plans.scratch import Scratch
 
 #: Words that are looked up instead of folded where they stand; of at most ``COMMON_BYTES`` bytes each, which bounds the table.
-COMMON_WORDS, COMMON_BYTES = 500_000, 64
+COMMON_WORDS, COMMON_BYTES = 800_000, 64
 #: Words of more bytes are merged rank by rank.
 LONG = 48
 #: Bits of an id; two to the others are the buckets of the rank map, and of the common words.
@@ -244,7 +244,7 @@ def common_words(docs: DataFrame, codec: RankCodec, scratch: Scratch, text: str
     """
     found = docs.select(F.explode(words(F.col(text), codec.pattern)).alias("word")).where(F.octet_length("word") <= COMMON_BYTES)
     counts = scratch.write(found.groupBy("word").agg(F.count("*").alias("n")), "words")
-    size = F.floor(F.log2(F.col("n")) * 16).cast("int")
+    size = F.floor(F.log2(F.col("n")) * 64).cast("int")
     histogram = sorted(((r["size"], r["words"]) for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("words")).collect()), reverse=True)
     least, room = None, most  # some thousand classes at most, as counts are 64-bit
     for k, n in histogram:
