@@ -1,85 +1,225 @@
-"""Points to the nearest or to all places within a radius, through grid cells.
+"""Points to the nearest or to all places within a radius, through cells of space.
 
 A distance condition alone would compare every pair.  Here each place is filed
-under its grid cell and each point looks into the cells that its radius can
-reach, so the join is an equi-join on the cell and the exact distance decides
-what stays.
+under a cell and each point looks into the cells that its radius can reach, so
+the join is an equi-join on cells and the exact distance decides what stays.
+Points of the earth are filed by where they lie in space, in cubes as wide as the
+radius: the straight line is never longer than the way along the ground, so what
+is in reach lies in a neighbouring cube, at the poles and over the date line as
+anywhere else.
+
+Cells follow density.  Where a cell's points and places make more pairs than one
+task should see, both are dealt over blocks and every block of points meets
+every block of places.  Where only the nearest are wanted, cells with many places are split
+into smaller ones, and a point looks as far as the smallest cell around it that holds enough
+places, instead of all places in the radius.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kerbline.functions.constants import EARTH_RADIUS_M
 from kerbline.functions.geo import haversine_m
 from kerbline.plans.scratch import Scratch
 
-M_PER_DEG = 110_500.0  # a little under a degree of latitude anywhere, so that cells reach far enough
+#: Places, and points, of one block of a cell: a task's keys give at most the square of it in pairs each.
+SIDE = 2000
+#: Cells grow by this factor from level to level.
+GROWTH = 4.0
 
 
-def _cell(lat: Column, lon: Column, step: float) -> list[Column]:
-    return [F.floor(lat / step).cast("long"), F.floor(lon / step).cast("long")]
+@dataclass(frozen=True)
+class Space:
+    """Coordinates to file by, the distance that decides, the widest coordinate difference of two things at a distance, and the smallest cell worth making."""
 
+    coordinates: Callable[[Column, Column], list[Column]]
+    distance: Callable[[Column, Column, Column, Column], Column]
+    spread: Callable[[float], float]
+    limit: Callable[[float], float]
+    least: float
+    most: float
+    radius: float | None = None
 
-def within(points: DataFrame, places: DataFrame, radius_m: float, max_abs_lat: float = 70.0) -> DataFrame:
-    """All (point, place) pairs at most ``radius_m`` apart, with ``dist``.
+    def cell(self, lat: Column, lon: Column, step: float) -> list[Column]:
+        return [F.floor(x / step).cast("long") for x in self.coordinates(lat, lon)]
 
-    Points have (lat, lon), places (p_lat, p_lon); other columns pass.  Valid up
-    to ``max_abs_lat`` degrees and away from the date line.
+    @property
+    def names(self) -> list[str]:
+        return [f"_c{i}" for i in range(2 if self.radius is None else 3)]
+
+    def around(self, cells: DataFrame, step: float | Column) -> DataFrame:
+        """A row for each neighbour of a cell, itself included; on the sphere, of those that its surface meets."""
+        shifts = F.array(*(F.struct(*(F.lit(d).cast("long").alias(n) for n, d in zip(self.names, ds, strict=True))) for ds in itertools.product((-1, 0, 1), repeat=len(self.names))))
+        near = cells.withColumn("_s", F.explode(shifts)).withColumns({n: F.col(n) + F.col(f"_s.{n}") for n in self.names}).drop("_s")
+        if self.radius is None:
+            return near
+        low, high, slack = F.lit(0.0), F.lit(0.0), 1.0
+        for n in self.names:
+            a, b = F.col(n) * step, (F.col(n) + 1) * step
+            low += F.when((a <= 0) & (b >= 0), 0.0).otherwise(F.least(a * a, b * b))
+            high += F.greatest(a * a, b * b)
+        return near.where((low <= (self.radius + slack) ** 2) & (high >= (self.radius - slack) ** 2))
+
+
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    a, o = F.radians(lat), F.radians(lon)
+    return [EARTH_RADIUS_M * F.cos(a) * F.cos(o), EARTH_RADIUS_M * F.cos(a) * F.sin(o), EARTH_RADIUS_M * F.sin(a)]
+
+
+def _squared_degrees(lat: Column, lon: Column, p_lat: Column, p_lon: Column) -> Column:
+    return (p_lat - lat) * (p_lat - lat) + (p_lon - lon) * (p_lon - lon)
+
+
+def _ground(line: float) -> float:
+    """Metres along the ground that a straight line of ``line`` metres can span."""
+    return 2 * EARTH_RADIUS_M * math.asin(min(1.0, line / (2 * EARTH_RADIUS_M)))
+
+
+#: Metres on the earth, and squared differences of degrees on a flat map.
+SPHERE = Space(_on_sphere, haversine_m, lambda r: r, _ground, 0.01, 2.1 * EARTH_RADIUS_M, EARTH_RADIUS_M)
+FLAT = Space(lambda lat, lon: [lat, lon], _squared_degrees, math.sqrt, lambda step: step * step, 1e-7, 800.0)
+
+POINT, PLACE = ("lat", "lon"), ("p_lat", "p_lon")
+
+
+def _filed(rows: DataFrame, space: Space, step: float, at: tuple[str, str]) -> DataFrame:
+    return rows.withColumns(dict(zip(space.names, space.cell(F.col(at[0]), F.col(at[1]), step), strict=True)))
+
+
+def _pairs(points: DataFrame, places: DataFrame, reach: float, space: Space) -> DataFrame:
+    """All (point, place) pairs with ``dist`` at most ``reach``."""
+    step = min(max(space.spread(reach), space.least), space.most) * (1 + 1e-9) + space.least * 1e-4
+    names = space.names
+    filed, own = _filed(places, space, step, PLACE), _filed(points, space, step, POINT)
+    probing = space.around(own, step)
+    met = space.around(own.groupBy(*names).agg(F.count("*").alias("_n")), step).groupBy(*names).agg(F.sum("_n").alias("_points"))
+    dense = filed.groupBy(*names).agg(F.count("*").alias("_places")).join(met, names).where(F.col("_points") * F.col("_places") > SIDE * SIDE)
+    keys = names
+    if dense.take(1):
+        blocks = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
+        dense = Scratch(points.sparkSession, "dense-cells").write(dense.select(*names, blocks("_points").alias("_bp"), blocks("_places").alias("_bq")), "cells")
+
+        def dealt(rows: DataFrame, columns: list[str], own_block: str, other_block: str, counts: tuple[str, str]) -> DataFrame:
+            mine = F.pmod(F.xxhash64(*columns), F.coalesce(F.col(counts[0]), F.lit(1))).cast("int")
+            every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(counts[1]), F.lit(1)) - 1))
+            return rows.join(dense, names, "left").withColumn(own_block, mine).withColumn(other_block, every).drop("_bp", "_bq")
+
+        probing = dealt(probing, points.columns, "_p", "_q", ("_bp", "_bq"))
+        filed = dealt(filed, places.columns, "_q", "_p", ("_bq", "_bp"))
+        keys = [*names, "_p", "_q"]
+    d = space.distance(*(F.col(c) for c in (*POINT, *PLACE)))
+    return probing.join(filed, keys).drop(*keys).withColumn("dist", d).where(F.col("dist") <= reach)
+
+
+def within(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
+    """All (point, place) pairs at most ``radius_m`` apart, with ``dist``, anywhere on the earth.
+
+    Points have (lat, lon), places (p_lat, p_lon); other columns pass.  Rows without a position meet nothing.
     """
-    lat_step = radius_m / M_PER_DEG
-    lon_reach = lat_step / math.cos(math.radians(max_abs_lat))
-    reach = math.ceil(lon_reach / lat_step)
-    filed = places.withColumns(dict(zip(("_r", "_c"), _cell(F.col("p_lat"), F.col("p_lon"), lat_step), strict=True)))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in range(-reach, reach + 1)))
-    row, column = _cell(F.col("lat"), F.col("lon"), lat_step)
-    probing = points.withColumn("_s", F.explode(steps)).withColumn("_r", row + F.col("_s.i")).withColumn("_c", column + F.col("_s.j")).drop("_s")
-    d = haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    return probing.join(filed, ["_r", "_c"]).drop("_r", "_c").withColumn("dist", d).where(F.col("dist") <= radius_m)
-
-
-def nearest_within(points: DataFrame, places: DataFrame, radius_m: float, point_id: str, place_order: str, **options) -> DataFrame:
-    """The nearest place of each point that has one in reach; of equals the first by ``place_order``.  Combined before the shuffle."""
-    pairs = within(points, places, radius_m, **options)
+    return _pairs(points, places, radius_m, SPHERE)
+
+
+def _levels(places: DataFrame, space: Space, start: float, k: int, top: float) -> tuple[list[float], DataFrame, bool]:
+    """Widths of cells, narrowest first; the cells by level that with their neighbours hold ``k`` places; whether the narrowest are still crowded.
+
+    Wider cells go up to ``top`` and come from the counts; narrower ones are made only inside cells with over ``SIDE`` places.
+    """
+    scratch = Scratch(places.sparkSession, "cells")
+    names, step, inside = space.names, start, places.select(*PLACE)
+    counted = lambda rows, width: _filed(rows, space, width, PLACE).groupBy(*names).agg(F.count("*").alias("_n"))
+    first = scratch.write(counted(inside, step), "counts")
+    steps, found, crowded = [start], [first], bool(first.where(F.col("_n") > SIDE).take(1))
+    while crowded and step / GROWTH >= space.least:
+        inside = _filed(inside, space, step, PLACE).join(found[0].where(F.col("_n") > SIDE).select(*names), names, "left_semi").select(*PLACE)
+        step /= GROWTH
+        steps, found = [step, *steps], [scratch.write(counted(inside, step), "counts"), *found]
+        crowded = bool(found[0].where(F.col("_n") > SIDE).take(1))
+    wide = [start * GROWTH**i for i in range(1, 64) if start * GROWTH ** (i - 1) < top]
+    tables = [t.withColumn("_level", F.lit(i)) for i, t in enumerate(found)]
+    if wide:
+        grown = F.explode(F.array(*(F.struct(F.lit(len(steps) + i).alias("_level"), *(F.floor(F.col(n) / GROWTH ** (i + 1)).cast("long").alias(n) for n in names)) for i in range(len(wide)))))
+        tables.append(first.select("_n", grown.alias("_g")).select("_g.*", "_n").groupBy("_level", *names).agg(F.sum("_n").alias("_n")).select(*names, "_n", "_level"))
+    steps += wide
+    width = F.array(*(F.lit(x) for x in steps))[F.col("_level")]
+    near = space.around(reduce(DataFrame.unionByName, tables), width).groupBy("_level", *names).agg(F.sum("_n").alias("_n"))
+    return steps, scratch.write(near.where(F.col("_n") >= k).select("_level", *names), "enough"), crowded
+
+
+def _k_nearest(points: DataFrame, places: DataFrame, k: int, point_id: str, place_order: str, space: Space, start: float, reach: float | None) -> list[DataFrame]:
+    """Pairs that hold the ``k`` nearest of every point (in ``reach``, if given); points that look equally far are one table.
+
+    A cell around the point that with its neighbours holds k places bounds how far the k-th can be: two cells in each direction.
+    """
+    top = space.most if reach is None else min(space.spread(reach), space.most)
+    steps, enough, crowded = _levels(places, space, start, k, top)
+    if crowded:
+        places = _distinct_spots(places, k, place_order)
+    names = space.names
+    own = F.explode(F.array(*(F.struct(F.lit(i).alias("_level"), *(c.alias(n) for n, c in zip(names, space.cell(F.col("lat"), F.col("lon"), step), strict=True))) for i, step in enumerate(steps))))
+    look = points.select(point_id, own.alias("_o")).select(point_id, "_o.*").join(enough, ["_level", *names], "left_semi").groupBy(point_id).agg(F.min("_level").alias("_level"))
+    at = Scratch(points.sparkSession, "nearest").write(points.join(look, point_id, "left"), "levels")
+    out = []
+    for (level,) in at.select("_level").distinct().collect():  # as many as there are levels
+        some = at.where(F.col("_level").eqNullSafe(F.lit(level))).select(*points.columns)
+        furthest = None if level is None else space.limit(2 * steps[level] * math.sqrt(len(names)) * (1 + 1e-9))
+        out.append(_pairs(some, places, min(x for x in (furthest, reach, space.limit(2 * space.most)) if x is not None), space))
+    return out or [_pairs(points, places, space.limit(start), space)]
+
+
+def _crowded(places: DataFrame, space: Space, step: float) -> bool:
+    names = space.names
+    return bool(_filed(places, space, step, PLACE).groupBy(*names).agg(F.count("*").alias("_n")).where(F.col("_n") > SIDE).take(1))
+
+
+def _candidates(points: DataFrame, places: DataFrame, k: int, point_id: str, place_order: str, radius: float, space: Space) -> list[DataFrame]:
+    """Pairs in the radius among which each point's ``k`` nearest are: all of them, or where cells are crowded what smaller cells leave."""
+    step = max(space.spread(radius), space.least)
+    if not _crowded(places, space, step):
+        return [_pairs(points, places, radius, space)]
+    return _k_nearest(points, places, k, point_id, place_order, space, step, radius)
+
+
+def _distinct_spots(places: DataFrame, k: int, place_order: str) -> DataFrame:
+    """Without places that ``k`` others on the very same spot precede; first within parts of a spot, then of what is left."""
+    part = F.pmod(F.xxhash64(*places.columns), F.lit(64))
+    first = lambda rows, keys: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(place_order))).where(F.col("_n") <= k).drop("_n")
+    return first(first(places.withColumn("_part", part), [*PLACE, "_part"]).drop("_part"), list(PLACE))
+
+
+def _best(pairs: DataFrame, point_id: str, place_order: str) -> DataFrame:
     best = F.min(F.struct("dist", place_order, *(c for c in pairs.columns if c not in (point_id, "dist", place_order)))).alias("b")
     return pairs.groupBy(point_id).agg(best).select(point_id, "b.*")
 
 
-def k_within(points: DataFrame, places: DataFrame, radius_m: float, k: int, point_id: str, place_order: str, **options) -> DataFrame:
-    """Up to ``k`` nearest places in reach, with ``rank`` from 1."""
+def _ranked(pairs: DataFrame, k: int, point_id: str, place_order: str) -> DataFrame:
     w = Window.partitionBy(point_id).orderBy("dist", place_order)
-    return within(points, places, radius_m, **options).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest_within(points: DataFrame, places: DataFrame, radius_m: float, point_id: str, place_order: str) -> DataFrame:
+    """The nearest place of each point that has one in reach; of equals the first by ``place_order``.  Combined before the shuffle."""
+    return reduce(DataFrame.unionByName, [_best(p, point_id, place_order) for p in _candidates(points, places, 1, point_id, place_order, radius_m, SPHERE)])
 
 
-#: Metres that lie beyond any two points of the earth.
-WORLD_M = 2.1e7
+def k_within(points: DataFrame, places: DataFrame, radius_m: float, k: int, point_id: str, place_order: str) -> DataFrame:
+    """Up to ``k`` nearest places in reach, with ``rank`` from 1."""
+    return reduce(DataFrame.unionByName, [_ranked(p, k, point_id, place_order) for p in _candidates(points, places, k, point_id, place_order, radius_m, SPHERE)])
 
 
-def k_nearest(points: DataFrame, places: DataFrame, k: int, point_id: str, place_order: str, start_m: float = 250.0, scratch: Scratch | None = None) -> DataFrame:
-    """The ``k`` nearest places of every point, however far, with ``rank`` from 1.
+def k_nearest(points: DataFrame, places: DataFrame, k: int, point_id: str, place_order: str, start_m: float = 250.0) -> DataFrame:
+    """The ``k`` nearest places of every point, however far, with ``rank`` from 1; fewer only where there are no more.
 
-    Radii grow fourfold: points with k places in reach are done and written,
-    the others look further.  The last radius reaches everywhere, so fewer than
-    ``k`` places come back only where there are no more.
+    Each point looks as far as the smallest cell around it with ``k`` places says it must.
     """
-    scratch = scratch or Scratch(points.sparkSession, "k-nearest")
-    if len(places.limit(k).take(k)) < k:  # fewer than k places are all wanted
-        every = points.crossJoin(F.broadcast(places)).withColumn("dist", haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
-        return every.withColumn("rank", F.row_number().over(Window.partitionBy(point_id).orderBy("dist", place_order)))
-    done: list[DataFrame] = []
-    left, radius = points, start_m
-    while True:
-        found = k_within(left, places, min(radius, WORLD_M), k, point_id, place_order)
-        full = found.withColumn("_n", F.count("*").over(Window.partitionBy(point_id))).where(F.col("_n") >= k).drop("_n")
-        done.append(scratch.write(full, "nearest"))
-        before = left
-        left, seen = scratch.write_observed(left.join(done[-1].select(point_id).distinct(), point_id, "left_anti").select(*points.columns), "left")
-        scratch.drop(before)
-        if not seen["rows"] or radius > WORLD_M:
-            return reduce(DataFrame.unionByName, done)
-        radius *= 4
+    found = _k_nearest(points, places, k, point_id, place_order, SPHERE, start_m, None)
+    return reduce(DataFrame.unionByName, [_ranked(p, k, point_id, place_order) for p in found])
 
 
 def first_valid(ranked: DataFrame, cache: DataFrame, point_id: str, place_key: str) -> DataFrame:
@@ -90,32 +230,10 @@ def first_valid(ranked: DataFrame, cache: DataFrame, point_id: str, place_key: s
     return valid.groupBy(point_id).agg(F.min(F.struct("rank", *rest)).alias("b")).select(point_id, "b.*")
 
 
-def nearest_planar(points: DataFrame, places: DataFrame, point_id: str, place_order: str, start: float = 0.005, scratch: Scratch | None = None) -> DataFrame:
-    """Nearest by squared difference of degrees; of equals the first by ``place_order``.
-
-    Places are filed under square cells and a point looks into the nine around
-    it.  What it finds within a cell's width is nearest; points that find nothing
-    look again with cells four times as wide, until a cell holds the whole earth.
-    """
-    scratch = scratch or Scratch(points.sparkSession, "nearest-planar")
-    d = (F.col("p_lat") - F.col("lat")) * (F.col("p_lat") - F.col("lat")) + (F.col("p_lon") - F.col("lon")) * (F.col("p_lon") - F.col("lon"))
-    rest = [c for c in (*points.columns, *places.columns) if c not in (point_id, place_order)]
-    done: list[DataFrame] = []
-    left, step = points, start
-    while True:
-        filed = places.withColumns(dict(zip(("_r", "_c"), _cell(F.col("p_lat"), F.col("p_lon"), step), strict=True)))
-        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        row, column = _cell(F.col("lat"), F.col("lon"), step)
-        met = left.withColumn("_s", around).withColumns({"_r": row + F.col("_s.i"), "_c": column + F.col("_s.j")}).drop("_s").join(filed, ["_r", "_c"])
-        near = met.drop("_r", "_c").withColumn("dist", d).where(F.col("dist") <= step * step)
-        best = near.groupBy(point_id).agg(F.min(F.struct("dist", place_order, *rest)).alias("b")).select(point_id, "b.*")
-        done.append(scratch.write(best, "nearest"))
-        before = left
-        left, seen = scratch.write_observed(left.join(done[-1].select(point_id), point_id, "left_anti").select(*points.columns), "left")
-        scratch.drop(before)
-        if not seen["rows"] or step > 400:
-            return reduce(DataFrame.unionByName, done)
-        step *= 4
+def nearest_planar(points: DataFrame, places: DataFrame, point_id: str, place_order: str, start: float = 0.005) -> DataFrame:
+    """Nearest by squared difference of degrees; of equals the first by ``place_order``."""
+    found = _k_nearest(points, places, 1, point_id, place_order, FLAT, start, None)
+    return reduce(DataFrame.unionByName, [_best(p, point_id, place_order) for p in found])
 
 
 def labels_on_routes(midpoints: DataFrame, labels: DataFrame, radius_m: float, route_id: str = "route_id", label_id: str = "label_id") -> DataFrame:
