@@ -100,7 +100,7 @@ def _scores(spark, sf_dir):
 
 
 def score_report(spark, sf_dir):
-    return S.score_report(_scores(spark, sf_dir)).select("source", "aid", "level", "n", r6("mean"))
+    return S.score_report(_scores(spark, sf_dir)).select("source", "aid", "level", "n", *(r6(c) for c in ("mean", *S.QUANTILES, "pct_below", "pct_above", "pct_of_whole")))
 
 
 def source_counts(spark, sf_dir):
@@ -198,7 +198,10 @@ SELECT segment, round(max(CASE s WHEN 'F' THEN x END), 6) AS s_f, round(max(CASE
     "percentile_summary": """WITH l AS (SELECT l_returnflag, 1 - 10 * l_discount AS p FROM lineitem) SELECT l_returnflag, count(*) AS n, round(avg(p), 6) AS mean, round(quantile_cont(p, 0.1), 6) AS p10, round(quantile_cont(p, 0.25), 6) AS p25,
   round(quantile_cont(p, 0.5), 6) AS median, round(quantile_cont(p, 0.75), 6) AS p75, round(quantile_cont(p, 0.9), 6) AS p90, round(100 * avg((p < 0.5)::INT), 6) AS pct_below, round(100 * avg((p >= 0.8)::INT), 6) AS pct_above FROM l GROUP BY 1""",
     "score_report": f"""WITH {_SCORES}, n AS (SELECT aid, coalesce(source, 'unknown') AS source, p_yes FROM scores)
-SELECT source, aid, grouping(source, aid)::BIGINT AS level, count(*) AS n, round(avg(p_yes), 6) AS mean FROM n GROUP BY GROUPING SETS ((source, aid), (aid), (source))""",
+SELECT *, round(100.0 * n / max(CASE WHEN level >= 2 THEN n END) OVER (PARTITION BY level IN (0, 2), CASE WHEN level IN (0, 2) THEN aid END), 6) AS pct_of_whole FROM (
+SELECT source, aid, grouping(source, aid)::BIGINT AS level, count(*) AS n, round(avg(p_yes), 6) AS mean, round(quantile_cont(p_yes, 0.1), 6) AS p10, round(quantile_cont(p_yes, 0.25), 6) AS p25,
+  round(quantile_cont(p_yes, 0.5), 6) AS median, round(quantile_cont(p_yes, 0.75), 6) AS p75, round(quantile_cont(p_yes, 0.9), 6) AS p90, round(100 * avg((p_yes < 0.5)::INT), 6) AS pct_below, round(100 * avg((p_yes >= 0.8)::INT), 6) AS pct_above
+FROM n GROUP BY GROUPING SETS ((source, aid), (aid), (source), ()))""",
     "source_counts": f"WITH {_SCORES} SELECT coalesce(source, '?') AS source, count(*) AS n FROM scores GROUP BY 1",
     "beta_sweep": f"""WITH {_SCORES}, b AS (SELECT unnest([1.0, 2.0, 4.0, 8.0, 16.0])::DOUBLE AS beta), m AS (SELECT beta, aid, avg(p_yes * (1 + beta * (1 - p_yes))) AS cost FROM scores, b GROUP BY 1, 2)
 SELECT beta, round(avg(cost), 6) AS mean_cost, round(min(cost), 6) AS min_cost, round(max(cost), 6) AS max_cost FROM m GROUP BY 1""",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.functions import distributions as D
 from kerbline.functions.vectors import euclidean
-from kerbline.plans.ranks import bounds_of, placed, range_of
+from kerbline.plans.ranks import bounds_of, kth, placed, range_of
 from kerbline.plans.scratch import Scratch
 
 
@@ -49,10 +49,18 @@ def ranked_top(rows: DataFrame, n: int, score: str, key: str) -> DataFrame:
 
 
 def top_fraction(rows: DataFrame, fraction: float, least: int, score: str, key: str) -> DataFrame:
-    """The highest scores: max(least, floor(fraction * rows)) of them, ties by key; null scores last."""
+    """The highest scores: max(least, floor(fraction * rows)) of them, ties by ``key``, which tells rows apart; null scores last.
+
+    The lowest score that is taken, and of its ties the last key, come from counts by value; rows are only filtered.
+    """
     size = max(least, int(rows.count() * fraction))
-    cut = F.coalesce(-range_of(F.col(score), bounds_of(rows, score)), F.lit(1))
-    return placed(rows, [], cut, [F.desc_nulls_last(score), key], "_place").where(F.col("_place") < size).select(*rows.columns)
+    low = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf")))
+    cut = kth(rows.select(low.alias("_low")), "_low", size - 1) if size else (float("-inf"), 0)
+    if cut is None:
+        return rows
+    ties = rows.where(low == cut[0])
+    last = kth(ties.select(F.col(key).alias("_key")), "_key", size - cut[1] - 1) if size else None
+    return rows.where((low < cut[0]) | ((low == cut[0]) & (F.col(key) <= F.lit(last[0] if last else None))))
 
 
 def every_kth(values: Column, step: Column | int) -> Column:

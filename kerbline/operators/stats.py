@@ -8,10 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kerbline.operators.metrics import correlation
-from kerbline.plans.ranks import average_ranked, percentiles
+from kerbline.plans.ranks import mean_ranks, percentiles, quantile, running, same_keys, value_counts
 
 
 def _t_sf(t: float, df: float) -> float:
@@ -40,10 +39,21 @@ def _t_sf(t: float, df: float) -> float:
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str, least: int = 5) -> DataFrame:
-    """Per key: n, rho and its two-sided p; null under ``least`` pairs or without variation."""
+    """Per key: n, rho and its two-sided p; null under ``least`` pairs or without variation.  Works on counts of equal pairs."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_u"), F.col(y).alias("_v"))
-    ranked = average_ranked(average_ranked(both, keys, "_u", "_x"), keys, "_v", "_y")
-    found = ranked.groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col("_x"), F.col("_y")).alias("rho")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
+    pairs, distinct = value_counts(both, [*keys, "_u"], "_v")
+    ranked = pairs
+    for value, rank in (("_u", "_x"), ("_v", "_y")):
+        ranks = mean_ranks(pairs.groupBy(*keys, value).agg(F.sum("n").alias("n")), keys, value, distinct, rank).drop("n")
+        ranked = same_keys(ranked, ranks, [*keys, value])
+    n = F.sum("n")
+    # the mean rank is known, so gaps from it are added up
+    gap = lambda c: F.col(c) - F.col("_middle")
+    totals = pairs.groupBy(*keys).agg(((F.sum("n") + 1) / 2).alias("_middle"))
+    near = same_keys(ranked, totals, keys) if keys else ranked.crossJoin(F.broadcast(totals))  # one row
+    product = lambda a, b: F.sum(F.col("n") * gap(a) * gap(b))
+    rho = F.try_divide(product("_x", "_y"), F.sqrt(product("_x", "_x")) * F.sqrt(product("_y", "_y")))
+    found = near.groupBy(*keys).agg(n.alias("n"), rho.alias("rho")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
 
     def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -56,12 +66,10 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str, least: int = 5) -
 
 def wilcoxon_sums(rows: DataFrame, keys: list[str], diff: str, least: int = 3) -> DataFrame:
     """Per key: pairs with a difference, the sum of positive ranks, and the variance of it with ties; null sums under ``least`` pairs."""
-    moved = rows.where(F.col(diff) != 0).select(*keys, F.col(diff).alias("_d"), F.abs(diff).alias("_a"))
-    ranked = average_ranked(moved, keys, "_a", "_r").withColumnRenamed("_r_ties", "_t")
-    # a tie group of t rows contributes t^3 - t, so each of its rows t^2 - 1
-    found = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties")
-    )
+    moved = rows.where(F.col(diff) != 0).select(*keys, F.abs(diff).alias("_a"), (F.col(diff) > 0).cast("long").alias("_up"))
+    counts, distinct = value_counts(moved, keys, "_a", F.sum("_up").alias("_up"))
+    ranked, t = mean_ranks(counts, keys, "_a", distinct, "_r"), F.col("n").cast("double")
+    found = ranked.groupBy(*keys).agg(F.sum("n").alias("_n"), F.sum(F.col("_up") * F.col("_r")).alias("w_plus"), F.sum(t * t * t - t).alias("_ties")).withColumnRenamed("_n", "n")
     n = F.col("n")
     return found.select(
         *keys, "n", F.when(n >= least, F.col("w_plus")).alias("w_plus"), F.when(n >= least, n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48).alias("variance"), (F.col("_ties") > 0).alias("tied")
@@ -97,20 +105,42 @@ def wilcoxon(rows: DataFrame, keys: list[str], diff: str, alternative: str = "gr
     return sums.mapInPandas(tail, f"{kinds}, p double")
 
 
+QUANTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+def _measures(below: float, above: float) -> list[Column]:
+    """n, mean, percentiles by linear interpolation, and shares below and at or above two limits, over running counts of ``_v``."""
+    n, v = F.sum("n"), F.col("_v")
+    share = lambda these: 100 * F.sum(F.when(these, F.col("n")).otherwise(0)) / n
+    at = (F.col("total"), F.col("before"), F.col("n"), v)
+    return [n.alias("_rows"), (F.sum(v * F.col("n")) / n).alias("mean"), *(quantile(*at, q).alias(name) for name, q in QUANTILES.items()), share(v < below).alias("pct_below"), share(v >= above).alias("pct_above")]
+
+
 def summary(rows: DataFrame, keys: list[str], value: str, below: float = 0.5, above: float = 0.8) -> DataFrame:
-    """n, mean, percentiles by linear interpolation, and shares below and at or above two limits."""
-    v = F.col(value)
-    q = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
-    means = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), (100 * F.avg((v < below).cast("double"))).alias("pct_below"), (100 * F.avg((v >= above).cast("double"))).alias("pct_above"))
-    joined = means.join(percentiles(rows, keys, value, q), keys, "left") if keys else means.crossJoin(percentiles(rows, keys, value, q))  # without keys both are one row
-    return joined.select(*keys, "n", "mean", *q, "pct_below", "pct_above")
-
-
-def score_report(scores: DataFrame, value: str = "p_yes") -> DataFrame:
-    """By source and aid, by aid, and by source: n and mean, in one pass over grouping sets."""
-    named = scores.withColumn("source", F.coalesce("source", F.lit("unknown")))
-    sets = [[F.col("source"), F.col("aid")], [F.col("aid")], [F.col("source")]]
-    return named.groupingSets(sets, "source", "aid").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.avg(value).alias("mean"))
+    """n, mean, percentiles by linear interpolation, and shares below and at or above two limits; all but n are null for keys without values."""
+    counts, distinct = value_counts(rows.select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v")
+    at = running(counts.where("_v is not null"), keys, "_v", distinct)
+    found = at.groupBy(*keys).agg(*_measures(below, above)).withColumnRenamed("_rows", "n")
+    every = counts.select(*keys).distinct() if keys else counts.agg(F.count("*").alias("_one"))
+    joined = every.join(found.withColumnsRenamed({k: f"_{k}_" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys] or F.lit(True), "left")  # without keys both are one row
+    return joined.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "mean", *QUANTILES, "pct_below", "pct_above")
+
+
+def score_report(scores: DataFrame, value: str = "p_yes", below: float = 0.5, above: float = 0.8) -> DataFrame:
+    """By source and aid (level 0), by source (1), by aid (2) and over all (3): ``summary`` of each, and ``pct_of_whole``, the share of an aid's rows or of all.
+
+    Rows are counted by source, aid and value once; the levels are grouping sets over those counts.
+    """
+    named = scores.where(F.col(value).isNotNull()).select(F.coalesce("source", F.lit("unknown")).alias("source"), "aid", F.col(value).cast("double").alias("_v"))
+    counts, distinct = value_counts(named, ["source", "aid"], "_v")
+    sets = [[F.col(c) for c in s] for s in (("source", "aid", "_v"), ("aid", "_v"), ("source", "_v"), ("_v",))]
+    # the value is in every set, so its bit is 0 and the others count 2 and 4
+    levels = counts.groupingSets(sets, "source", "aid", "_v").agg((F.grouping_id() / 2).cast("long").alias("level"), F.sum("n").alias("_n")).withColumnRenamed("_n", "n")
+    keys = ["level", "source", "aid"]
+    report = running(levels, keys, "_v", 4 * distinct).groupBy(*keys).agg(*_measures(below, above)).withColumnRenamed("_rows", "n")
+    by_aid = F.col("level").isin(0, 2)
+    whole = Window.partitionBy(by_aid, F.when(by_aid, F.col("aid")))  # a row for each group
+    return report.withColumn("pct_of_whole", 100 * F.col("n") / F.max(F.when(F.col("level") >= 2, F.col("n"))).over(whole))
 
 
 def source_counts(scores: DataFrame) -> DataFrame:
