@@ -61,10 +61,8 @@ def _numbered(rows: DataFrame, order: list[str], scratch: Scratch) -> tuple[Data
     group = Window.partitionBy("grp")
     before = F.coalesce(F.sum("own").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("grp", "part", (before - F.col("first")).alias("shift"), F.sum("own").over(group).alias("n"))
-    joined = ordered.join(sizes, ["grp", "part"]).withColumn("at", F.col("place") + F.col("shift")).drop("part", "place", "shift")
-    out, seen = scratch.write_observed(joined, "numbered", F.max("n").alias("most"))
-    scratch.drop(ordered)
-    return out, seen["most"] or 0
+    sizes, seen = scratch.write_observed(sizes, "sizes", F.max("n").alias("most"))
+    return ordered.join(sizes, ["grp", "part"]).withColumn("at", F.col("place") + F.col("shift")).drop("part", "place", "shift"), seen["most"] or 0
 
 
 @dataclass
