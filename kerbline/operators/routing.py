@@ -3,8 +3,8 @@
 Two designs for two shapes of the problem.  Many origin-destination pairs over a
 city graph of bounded size: the graph goes to every executor (its edge count is
 checked) and pairs are routed in parallel.  A larger graph, for pairs or for one
-origin: rounds of relaxation by joins and minima, written to shared storage each
-round.
+origin: rounds of relaxation by joins and minima, bucket by bucket of cost, until
+all destinations are settled.  Each round writes what it changed to shared storage.
 
 An edge table has (u, v, k, length, cost[, p_no]); it is undirected.  Of parallel
 edges the one with the least cost is travelled (least length for the bottleneck
@@ -14,6 +14,7 @@ objective), then the lowest k, and the route keeps its k.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -27,6 +28,8 @@ from kerbline.plans.scratch import Scratch
 
 #: Edges that a graph sent to every executor may have (about 200 MB there).
 MAX_LOCAL_EDGES = 2_000_000
+#: Mean arcs that a bucket of labels is wide.
+BUCKET = 8.0
 STEP = "array<struct<u:bigint,v:bigint,k:int>>"
 
 
@@ -150,25 +153,90 @@ def route_pairs(
     return spread.mapInPandas(solve, schema)
 
 
-def _relaxed(start: DataFrame, arcs: DataFrame, same: list[str], step: Column, scratch: Scratch, max_rounds: int = 100_000) -> DataFrame:
+class _Labels:
+    """Least labels ``c`` by ``names``, as the tables of what each round changed.
+
+    A change is written once; tables of like size are merged, so a label is
+    written again as often as the logarithm of the changes, and not in every round.
+    """
+
+    def __init__(self, names: list[str], scratch: Scratch):
+        self.names, self.scratch = names, scratch
+        self.tables: list[tuple[DataFrame, int]] = []
+        self.merged: list[DataFrame] = []
+
+    def now(self, tables: list[DataFrame] | None = None) -> DataFrame:
+        every = reduce(DataFrame.unionByName, tables or [t for t, _ in self.tables])
+        return every.groupBy(*self.names).agg(F.min(F.struct("c", "pred", "k")).alias("n")).select(*self.names, "n.*")
+
+    def add(self, table: DataFrame, rows: int) -> None:
+        """Take up a round's changes.  What was merged the last time is no longer read by then."""
+        self.scratch.drop(*self.merged)
+        self.merged = []
+        self.tables.append((table, rows))
+        while len(self.tables) > 1 and self.tables[-2][1] < 2 * self.tables[-1][1]:
+            (one, n), (two, m) = self.tables[-2:]
+            self.tables[-2:] = [(self.scratch.write(self.now([one, two]), "labels"), n + m)]
+            self.merged += [one, two]
+
+
+def _relaxed(start: DataFrame, arcs: DataFrame, same: list[str], step: Column, scratch: Scratch, goals: DataFrame | None = None, width: float = math.inf, max_rounds: int = 100_000) -> DataFrame:
     """Least labels ``c`` of (same, node) from ``start``, with the arc (pred, k) of the last improvement, over arcs (a, b, w, k).
 
     ``same``: columns that a label and an arc must share; the other label columns pass on.
+    Labels are relaxed in buckets: those under a bound, until none of them changes any
+    more; they are settled, and the bound moves on by ``width``.  With ``goals`` (the
+    columns of a label but ``c``) an origin whose goals are all settled takes
+    no further part, and only its settled labels are given out.
     """
     names = [c for c in start.columns if c != "c"]
-    shape = start.withColumns({"pred": F.lit(None).cast("long"), "k": F.lit(None).cast("int")})
-    known = front = scratch.write(shape, "known")
+    origin = [c for c in names if c != "node"]
+    labels = _Labels(names, scratch)
+    first, seen = scratch.write_observed(start.withColumns({"pred": F.lit(None).cast("long"), "k": F.lit(None).cast("int")}), "labels", F.min("c").alias("least"))
+    if not seen["rows"]:
+        return first
+    labels.add(first, seen["rows"])
+    bound, front = seen["least"] + width, first
+    left = scratch.write(goals.select(*names).distinct(), "goals") if goals is not None else None
+    gone: list[DataFrame] = []
     for _ in range(max_rounds):
-        here = front.drop("pred", "k").withColumnRenamed("node", "a")
+        here = front.where(F.col("c") < bound).drop("pred", "k").withColumnRenamed("node", "a")
         moved = here.join(arcs, [*same, "a"]).select(*(F.col("b").alias("node") if c == "node" else F.col(c) for c in names), step.alias("c"), F.col("a").alias("pred"), "k")
-        offered = moved.groupBy(*names).agg(F.min(F.struct("c", "pred", "k")).alias("n")).select(*names, "n.*")
-        better = offered.join(known.select(*names, F.col("c").alias("old")), names, "left").where("old is null or c < old").drop("old")
-        front, seen = scratch.write_observed(better, "front")
-        if not seen["rows"]:
-            return known
-        before, known = known, scratch.write(known.join(front.select(*names), names, "left_anti").unionByName(front), "known")
-        scratch.drop(before)
-    raise RuntimeError("no fixed point within the allowed rounds")
+        offered = scratch.write(moved.groupBy(*names).agg(F.min(F.struct("c", "pred", "k")).alias("n")).select(*names, "n.*"), "offered")
+        every = reduce(DataFrame.unionByName, [t for t, _ in labels.tables])
+        known = every.join(offered.select(*names), names, "left_semi").groupBy(*names).agg(F.min("c").alias("old"))
+        better = offered.join(known, names, "left").where("old is null or c < old").drop("old")
+        front, seen = scratch.write_observed(better, "front", F.count_if(F.col("c") < bound).alias("inside"))
+        scratch.drop(offered)
+        if seen["rows"]:
+            labels.add(front, seen["rows"])
+        if seen["inside"]:
+            continue
+        if math.isinf(bound):
+            break
+        # the bucket is settled: goals that it reached go, and the next one begins at the least label beyond
+        now = labels.now()
+        if left is not None:
+            open_goals = left.join(now.where(F.col("c") < bound).select(*names), names, "left_anti")
+            before_left, (left, seen) = left, scratch.write_observed(open_goals, "goals")
+            ended = scratch.write(before_left.select(*origin).distinct().join(left.select(*origin).distinct(), origin, "left_anti").withColumn("_bound", F.lit(float(bound))), "ended")
+            gone.append(ended)
+            if not seen["rows"]:
+                break
+            now = now.join(left.select(*origin).distinct(), origin, "left_semi")
+        beyond = now.where(F.col("c") >= bound)
+        least = beyond.agg(F.min("c").alias("least")).first()["least"]
+        if least is None:
+            break
+        bound = least + width
+        front = beyond.where(F.col("c") < bound)
+    else:
+        raise RuntimeError("no fixed point within the allowed rounds")
+    out = labels.now()
+    if gone:
+        ends = reduce(DataFrame.unionByName, gone)
+        out = out.join(ends, origin, "left").where("_bound is null or c < _bound").drop("_bound")
+    return scratch.write(out, "settled")
 
 
 def route_pairs_joined(pairs: DataFrame, one: DataFrame, keys: list[str], minimax: bool, scratch: Scratch) -> DataFrame:
@@ -185,13 +253,16 @@ def route_pairs_joined(pairs: DataFrame, one: DataFrame, keys: list[str], minima
     names = [*keys, "o", "node"]
     start = asked.select(*keys, F.col("o").cast("long").alias("o"), F.col("o").cast("long").alias("node")).distinct()
     start = start.join(arcs.select(*keys, F.col("a").alias("node")).distinct(), [*keys, "node"], "left_semi").select(*names, F.lit(0.0).alias("c"))
-    label = _relaxed(start, arcs.drop("length"), keys, F.greatest("c", "w") if minimax else F.col("c") + F.col("w"), scratch)
+    goals = asked.select(*keys, F.col("o").cast("long").alias("o"), F.col("d").cast("long").alias("node")).where("node is not null")
+    width = BUCKET * (arcs.agg(F.avg("w")).first()[0] or 1.0)
+    label = _relaxed(start, arcs.drop("length"), keys, F.greatest("c", "w") if minimax else F.col("c") + F.col("w"), scratch, goals, width)
     ends = {c: label.select(*keys, "o", F.col("node").alias(c), F.col("c").alias(f"c_{c}")) for c in "ab"}
     reach = F.greatest("c_a", "w") if minimax else F.col("c_a") + F.col("w")
     tight = arcs.join(ends["a"], [*keys, "a"]).join(ends["b"], [*keys, "o", "b"]).where((reach == F.col("c_b")) & (F.col("b") != F.col("o")))
     if minimax:
         tight = scratch.write(tight.select(*keys, "o", "a", "b", F.col("length").alias("w"), "k", F.col("c_a").alias("first")), "tight")
-        label = _relaxed(start, tight.drop("first"), [*keys, "o"], F.col("c") + F.col("w"), scratch)
+        width = BUCKET * (tight.agg(F.avg("w")).first()[0] or 1.0)
+        label = _relaxed(start, tight.drop("first"), [*keys, "o"], F.col("c") + F.col("w"), scratch, goals, width)
         ends = {c: label.select(*keys, "o", F.col("node").alias(c), F.col("c").alias(f"c_{c}")) for c in "ab"}
         tight = tight.join(ends["a"], [*keys, "o", "a"]).join(ends["b"], [*keys, "o", "b"]).where(F.col("c_a") + F.col("w") == F.col("c_b"))
     else:
@@ -232,21 +303,10 @@ def distances_from(edges: DataFrame, source: int, scratch: Scratch, minimax: boo
     Only nodes whose cost fell in the last round relax their neighbours.  ``pred``
     is the lowest of equal predecessors.
     """
-    spark = edges.sparkSession
-    arcs = scratch.write(both_ways(cheapest_parallel(edges.select("u", "v", "k", "cost"))).select("a", "b", "cost", "k"), "arcs")
-    start = spark.createDataFrame([(source, 0.0, None, None)], "node long, cost double, pred long, k int")
-    known, front = start, start
-    for _ in range(max_rounds):
-        step = F.greatest(F.col("cost"), F.col("w")) if minimax else F.col("cost") + F.col("w")
-        moved = front.join(arcs.withColumnsRenamed({"cost": "w", "k": "ak"}), F.col("node") == F.col("a")).select(F.col("b").alias("node"), step.alias("cost"), F.col("a").alias("pred"), F.col("ak").alias("k"))
-        offered = moved.groupBy("node").agg(F.min(F.struct("cost", "pred", "k")).alias("n")).select("node", "n.*")
-        better = offered.join(known.select("node", F.col("cost").alias("old")), "node", "left").where("old is null or cost < old").drop("old")
-        front, seen = scratch.write_observed(better, "front")
-        if not seen["rows"]:
-            return known
-        before, known = known, scratch.write(known.join(front.select("node"), "node", "left_anti").unionByName(front), "known")
-        scratch.drop(before)
-    raise RuntimeError("no fixed point within the allowed rounds")
+    arcs = scratch.write(both_ways(cheapest_parallel(edges.select("u", "v", "k", "cost"))).select("a", "b", F.col("cost").alias("w"), "k"), "arcs")
+    start = edges.sparkSession.createDataFrame([(source, 0.0)], "node long, c double")
+    step = F.greatest("c", "w") if minimax else F.col("c") + F.col("w")
+    return _relaxed(start, arcs, [], step, scratch, max_rounds=max_rounds).select("node", F.col("c").alias("cost"), "pred", "k")
 
 
 def route_steps(routes: DataFrame, *keys: str) -> DataFrame:
