@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.catalog import geo, measures, models, routes, streams, surveys, texts
+from kerbline.catalog import collected, geo, measures, models, routes, streams, surveys, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (surveys, measures, geo, routes, models, texts, streams)
+PARTS = (surveys, measures, geo, routes, models, texts, streams, collected)
 
 
 def queries() -> dict[str, Query]:

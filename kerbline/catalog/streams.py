@@ -106,8 +106,8 @@ SQL = {
     "stream_study": """WITH p AS (SELECT user_id AS pid, ts, event_id, floor(sqrt(event_id * 7919 % 49))::INT AS place FROM events),
 e AS (SELECT *, coalesce(epoch_ms(ts) > lag(epoch_ms(ts)) OVER w + 21600000 OR lag(place) OVER w = 6, true) AS fresh FROM p WINDOW w AS (PARTITION BY pid ORDER BY epoch_ms(ts), event_id)),
 s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY pid ORDER BY epoch_ms(ts), event_id ROWS UNBOUNDED PRECEDING) AS i FROM e),
-b AS (SELECT *, greatest(0, coalesce(max(place) OVER (PARTITION BY pid, i ORDER BY epoch_ms(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS at FROM s)
-SELECT pid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end", max(place)::INT AS reached, count(*) FILTER (place < at OR place > at + 1) AS out_of_order,
+b AS (SELECT *, greatest(0, coalesce(max(place) OVER (PARTITION BY pid, i ORDER BY epoch_ms(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS seen FROM s)
+SELECT pid, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS "end", max(place)::INT AS reached, count(*) FILTER (place < seen OR place > seen + 1) AS out_of_order,
   count(*) AS events, CASE WHEN max(place) = 6 THEN 'done' ELSE 'idle' END AS ended FROM b GROUP BY pid, i""",
     "stream_upserts": "SELECT user_id::VARCHAR AS session_id, epoch_us(max(ts)) AS received_at, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
     "stream_tally": f'WITH {VOTES}, {TALLY} SELECT image_id, aid, "no", unsure, yes FROM tallies',

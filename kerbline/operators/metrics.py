@@ -131,3 +131,28 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> Column:
     half = z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
     n_ok = lambda x, otherwise: F.when(empty, otherwise).otherwise(x)
     return F.struct(n_ok(F.greatest(F.lit(0.0), centre - half), 0.0).alias("low"), n_ok(F.least(F.lit(1.0), centre + half), 1.0).alias("high"))
+
+
+def against_constant(rows: DataFrame, keys: list[str], constant: int, truth: str = "truth", pred: str = "pred") -> DataFrame:
+    """``classification`` with the macro-F1 and balanced accuracy of a predictor that always says ``constant``, and the gains over it."""
+    own = classification(rows, keys, truth, pred)
+    base = classification(rows.withColumn(pred, F.lit(constant).cast(dict(rows.dtypes)[truth])), keys, truth, pred).select(*keys, F.col("macro_f1").alias("constant_f1"), F.col("balanced_accuracy").alias("constant_balanced"))
+    both = own.join(base, keys) if keys else own.crossJoin(F.broadcast(base))  # one row each
+    return both.withColumns({"f1_gain": F.col("macro_f1") - F.col("constant_f1"), "balanced_gain": F.col("balanced_accuracy") - F.col("constant_balanced")})
+
+
+def experiment_table(folds: DataFrame, run: str, part: str, parts: list[str], values: list[str], digits: int = 3) -> DataFrame:
+    """A row for each run: per value, the mean over folds for each part, and the mean and population std over the parts that have any.
+
+    ``folds``: run, part, and a column for each value, a row for each fold.  Columns are
+    ``<value>_<part>``, ``<value>_overall`` and ``<value>_std``.
+    """
+    means = folds.where(F.col(part).isin(parts)).groupBy(run, part).agg(*(F.avg(v).alias(v) for v in values))
+    cells = [F.round(F.max(F.when(F.col(part) == p, F.col(v))), digits).alias(f"{v}_{p}") for v in values for p in parts]
+    overall = [x for v in values for x in (F.round(F.avg(v), digits).alias(f"{v}_overall"), F.round(F.stddev_pop(v), digits).alias(f"{v}_std"))]
+    return means.groupBy(run).agg(*cells, *overall)
+
+
+def fold_table(rows: DataFrame, run: str, part: str, fold: str, truth: str = "truth", pred: str = "pred") -> DataFrame:
+    """A row for each run, part and fold: macro-F1, balanced accuracy and rows tested."""
+    return classification(rows, [run, part, fold], truth, pred).select(run, part, fold, "macro_f1", "balanced_accuracy", F.col("n").alias("n_test"))

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kerbline.functions import distributions as D
+from kerbline.operators.spatial import nearest_planar
 from kerbline.plans.ranks import bounds_of, percentiles, placed, range_of
 from kerbline.plans.scratch import Scratch
 
@@ -415,6 +416,40 @@ def stitch(waypoints: DataFrame, edges: DataFrame, route_id: str = "route_id") -
     return waypoints.select(route_id).join(whole, route_id, "left").select(route_id, F.when(F.col("ok"), F.col("steps")).alias("steps"))
 
 
+def snapped(lines: DataFrame, nodes: DataFrame, parts: int = 10, route_id: str = "route_id") -> DataFrame:
+    """Polylines as ordered nodes: (route_id, nodes), from ``coords``, an array<struct<lat, lon>>.
+
+    Every k-th vertex from the first, k being a ``parts``-th of their number, goes to its nearest node
+    by squared degrees; a node that came before is left out.  ``nodes``: node, lat, lon.
+    """
+    every = F.greatest(F.lit(1), F.floor(F.size("coords") / parts).cast("int"))
+    picked = lines.where(F.size("coords") > 1).select(route_id, F.posexplode("coords").alias("pos", "c"), every.alias("_k")).where(F.col("pos") % F.col("_k") == 0)
+    points = picked.select(F.struct(route_id, "pos").alias("_at"), F.col("c.lat").alias("lat"), F.col("c.lon").alias("lon"))
+    near = nearest_planar(points, nodes.select("node", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "_at", "node")
+    listed = near.groupBy(F.col(f"_at.{route_id}").alias(route_id)).agg(F.array_sort(F.collect_list(F.struct(F.col("_at.pos").alias("pos"), "node"))).alias("s"))  # some ten of a line
+    return listed.select(route_id, F.array_distinct(F.transform("s", lambda x: x["node"])).alias("nodes"))
+
+
+def snapped_routes(lines: DataFrame, nodes: DataFrame, edges: DataFrame, parts: int = 10, route_id: str = "route_id") -> DataFrame:
+    """Lines of another router brought onto the graph: route_id, length and mean p_yes of the stitched shortest legs, steps, and whether there is such a route.
+
+    ``edges``: u, v, k, length, p_yes.
+    """
+    scratch = Scratch(edges.sparkSession, "snapped")
+    one = scratch.write(travelled(edges.withColumn("cost", F.col("length")), [], "p_yes"), "edges")
+    routes = scratch.write(stitch(snapped(lines, nodes, parts, route_id), one, route_id), "routes")
+    stats = route_stats(routes.where(F.size("steps") > 0), one, [route_id])
+    every = lines.select(route_id).join(stats, route_id, "left")
+    return every.select(route_id, "length", "p_yes", F.coalesce("n_steps", F.lit(0)).alias("n_steps"), F.col("length").isNotNull().alias("routed"))
+
+
+def external_report(snapped_lines: DataFrame, reported: DataFrame, route_id: str = "route_id") -> DataFrame:
+    """One row: lines of another router, those brought onto the graph, and the mean gap in % of their length from what it reported (``length``)."""
+    both = snapped_lines.join(reported.select(route_id, F.col("length").alias("_told")), route_id, "left")
+    gap = 100 * F.try_divide(F.col("length") - F.col("_told"), F.col("_told"))
+    return both.agg(F.count("*").alias("n"), F.count_if("routed").alias("routed"), F.avg(gap).alias("mean_gap_pct"), F.avg("p_yes").alias("mean_p_yes"))
+
+
 def sample_pairs(nodes: DataFrame, n: int, min_dist_m: float, seed: int = 42, attempts: int = 20) -> DataFrame:
     """The first ``n`` of attempts * n hashed candidate pairs that lie at least ``min_dist_m`` apart: (pair_idx, o, d)."""
     from kerbline.functions.geo import haversine_m

@@ -158,6 +158,24 @@ def beta_draws(params: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return params.select("aid", "a", "b").mapInPandas(draw, "aid string, i int, p_yes double")
 
 
+def beta_of_f1(f1: Column) -> tuple[Column, Column]:
+    """Beta parameters for scores of a model of this macro-F1: the better, the nearer to one."""
+    return F.greatest(F.lit(1.0), f1 * 10), F.greatest(F.lit(1.0), (1 - f1) * 10)
+
+
+def simulated_scores(edges: DataFrame, quality: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
+    """Every edge with a score for each aid, drawn with replacement from ``n`` Beta draws of the aid: u, v, k, aid, p_yes.
+
+    ``quality``: aid, f1.  Which draw an edge takes follows from a hash of edge, aid
+    and seed, so neither partitions nor order matter.  Draws are ``n`` rows an aid.
+    """
+    a, b = beta_of_f1(F.coalesce("f1", F.lit(0.5)))
+    draws = beta_draws(quality.select("aid", a.alias("a"), b.alias("b")), n, seed)
+    asked = edges.select("u", "v", "k").join(quality.select("aid"), how="cross")  # a row for each edge and aid is the result
+    asked = asked.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "u", "v", "k", "aid"), F.lit(n)).cast("int"))
+    return asked.join(draws, ["aid", "i"]).select("u", "v", "k", "aid", "p_yes")
+
+
 def endpoints(nodes: DataFrame, seed: int = 42) -> DataFrame:
     """One origin from the south-west and one destination from the north-east quartile; any two nodes where one is empty."""
     q = nodes.agg(*(F.percentile(c, p).alias(f"{c}{i}") for c in ("lat", "lon") for i, p in ((1, 0.25), (3, 0.75))))

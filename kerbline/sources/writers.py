@@ -60,3 +60,27 @@ def table_lines(df: DataFrame, *columns: str, sep: str = " & ", end: str = r" \\
     """Rows as lines of a typeset table, numbers with four digits."""
     cell = lambda c: F.format_string("%.4f", c) if dict(df.dtypes)[c] in ("double", "float") else F.col(c).cast("string")
     return df.select(F.concat(F.concat_ws(sep, *(F.coalesce(cell(c), F.lit("--")) for c in columns)), F.lit(end)).alias("line"))
+
+
+def complete_folders(spark, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose write ended, in order."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n for n in names if fs.exists(fs_path(f"{path}/{n}/_SUCCESS")))
+
+
+def append_batch(rows: DataFrame, path: str, key: str, batch: str) -> DataFrame:
+    """Append the rows whose key no other batch below ``path`` holds, as the folder of ``batch``; the table as it is then.
+
+    A batch writes its own folder whole, so a retry after a broken or a finished
+    write gives the same table.
+    """
+    spark = rows.sparkSession
+    others = [f"{path}/{n}" for n in complete_folders(spark, path) if n != f"batch={batch}"]
+    new = rows.dropDuplicates([key])
+    if others:
+        new = new.join(spark.read.schema(rows.schema).parquet(*others).select(key), key, "left_anti").select(*rows.columns)
+    new.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return spark.read.schema(rows.schema).parquet(*others, f"{path}/batch={batch}")

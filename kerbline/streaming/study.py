@@ -44,6 +44,9 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for batch in rows:
+            batch = batch.dropna(subset=["at", "seq", "phase"])  # here, as a filter would be moved below the watermark
+            if batch.empty:
+                continue
             self.waiting.appendList([(int(a), int(s), str(p)) for a, s, p in zip(batch["at"], batch["seq"], batch["phase"], strict=True)])
         yield from self._go_on(key, timerValues)
 
@@ -98,7 +101,7 @@ class Sessions(StatefulProcessor):
 def study_sessions(stream: DataFrame, key: str, time: str, seq: str, phase: str, gap_ms: int, initial: DataFrame | None = None) -> DataFrame:
     """Finished sessions of a stream with a watermark on ``time``: key, start, end, reached (place of the furthest phase), out_of_order, events, ended.
 
-    Of one moment, events go by ``seq``.  ``initial`` has the key and the columns of ``OPEN``, one row a key.
+    Of one moment, events go by ``seq``; rows without a phase or seq only move the watermark.  ``initial`` has the key and the columns of ``OPEN``, one row a key.
     """
     kind = dict(stream.dtypes)[key]
     events = stream.select(F.col(key), F.col(time), F.unix_millis(time).alias("at"), F.col(seq).cast("long").alias("seq"), F.col(phase).alias("phase"))

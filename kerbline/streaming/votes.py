@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kerbline.functions.constants import CLASSES
+from kerbline.sources.writers import complete_folders
 
 
 def with_event_time(stream: DataFrame, column: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -43,15 +44,6 @@ def sessions(stream: DataFrame, key: str, gap: str = "30 minutes", column: str =
     return grouped.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def _folders(spark, path: str) -> list[str]:
-    """Complete folders below ``path``."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    root = fs_path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    return sorted(n for n in names if fs.exists(fs_path(f"{path}/{n}/_SUCCESS")))
-
-
 def upsert_latest(path: str, key: str = "session_id", received: str = "received_at", compact_at: int = 50):
     """A ``foreachBatch`` function: the stored rows keep the last received row of each key.
 
@@ -67,7 +59,7 @@ def upsert_latest(path: str, key: str = "session_id", received: str = "received_
         spark = batch.sparkSession
         query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
         latest_by_session(batch, key, received).write.mode("overwrite").parquet(f"{path}/b-{query}-{batch_id}")
-        old = _folders(spark, path)
+        old = complete_folders(spark, path)
         if len(old) >= compact_at:
             read_latest(spark, path, key, received).write.parquet(f"{path}/c-{uuid.uuid4().hex}")
             for name in old:
@@ -81,7 +73,7 @@ def read_latest(spark, path: str, key: str = "session_id", received: str = "rece
     """The last received row of each key that ``upsert_latest`` stored."""
     from kerbline.sources.writers import latest_by_session
 
-    return latest_by_session(spark.read.parquet(*(f"{path}/{n}" for n in _folders(spark, path))), key, received)
+    return latest_by_session(spark.read.parquet(*(f"{path}/{n}" for n in complete_folders(spark, path))), key, received)
 
 
 # The phases of a study session, in order.
