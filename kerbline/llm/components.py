@@ -52,26 +52,30 @@ def connected_components(links: DataFrame, scratch: Scratch, a: str = "a", b: st
 def join_groups(
     members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, sketch: DataFrame | None = None, near: Callable[[str, str, Column], Column] | None = None,
     dense: Callable[[DataFrame], DataFrame] | None = None, dense_from: int = 48, rounds: int = 2,
+    finer: tuple[int, Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
 ) -> DataFrame:
     """Components of the verified links among items that share a bucket, without listing all pairs of a bucket.
 
     ``members``: (bucket, id), the candidates: every link must have some bucket
-    in common.  ``verify(pairs)`` keeps the true links of pairs (a, b), a < b.
+    in common.  Rows with a column ``full`` that is false are only compared with first members.  ``verify(pairs)`` keeps the true links of pairs (a, b), a < b.
     ``sketch`` (id, sk) and ``near(sk of a, sk of b, members of the bucket)`` rule
     pairs out inside the joins; a link is found only if they let it pass.  Members
     count as 1 where they are compared with first members.
 
     Each member is first checked against its buckets' first members, the one it
     shares most buckets with before the others; ids found connected are not
-    compared again.  Later rounds choose other members to check against.  What is
-    still open is compared completely, but for pairs already in one component:
+    compared again.  Later rounds choose other members to check against, up to ``rounds`` or
+    until one finds nothing.  What is still open is compared completely, but for pairs already in one component:
     by ``dense`` for clusters around the first member of buckets with at least
     ``dense_from`` members, pair by pair for the rest.
 
+    ``finer`` is (size, sketches, near): there, pairs in buckets of at least that size must be
+    near by sketches of their own as well, (id, fk) made for the ids in such buckets.
+
     Null ids and null buckets are left out; repeated rows do no harm; an empty
     table gives an empty one.
     """
-    members = members.select("bucket", "id")
+    members = members.select("bucket", "id", *(F.col(c) for c in ("full",) if "full" in members.columns))
     links: list[DataFrame] = []
     checked: list[DataFrame] = []
     components: DataFrame | None = None
@@ -86,7 +90,7 @@ def join_groups(
         """Members of buckets that hold more than one component, with their components and the bucket's size."""
         rows = component_of(members, "id", "c")
         mixed = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
-        found = rows.join(mixed, "bucket").select("bucket", "id", "c", "size")
+        found = rows.join(mixed, "bucket").select("bucket", "id", "c", "size", (F.col("full") if "full" in members.columns else F.lit(True)).alias("full"))
         found = found.withColumn("sk", F.lit(0)) if sketch is None else found.join(sketch.select("id", "sk"), "id")
         table, seen = scratch.write_observed(found, "open")
         return table, seen["rows"]
@@ -94,23 +98,26 @@ def join_groups(
     def alike(a: str, b: str, size: Column | None = None) -> Column:
         return near(a, b, F.lit(1) if size is None else size) if near else F.lit(True)
 
-    def connect(found: DataFrame, label: str) -> None:
+    def connect(found: DataFrame, label: str) -> int:
         nonlocal components
         table, seen = scratch.write_observed(found, label)
         if seen["rows"]:
             links.append(table)
             scratch.drop(components)
             components = scratch.write(connected_components(reduce(DataFrame.unionByName, links), scratch), "components")
+        return seen["rows"]
 
-    def settle(pairs: DataFrame) -> None:
-        """Verify pairs that were not verified before, and connect what the true links connect."""
+    def settle(pairs: DataFrame) -> int:
+        """Verify pairs that were not verified before, and connect what the true links connect; how many of these there were."""
         for done in checked:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         table, seen = scratch.write_observed(pairs.select("a", "b"), "pairs")
-        if seen["rows"]:
-            checked.append(table)
-            connect(verify(table), "links")
+        if not seen["rows"]:
+            return 0
+        checked.append(table)
+        return connect(verify(table), "links")
 
+    n = 1
     for turn in range(rounds):
         rows, n = open_buckets()
         if not n:
@@ -124,10 +131,13 @@ def join_groups(
             stars = scratch.write(stars.groupBy("id", "a", "b").agg(F.count("*").alias("shared")), "stars")
             settle(stars.groupBy("id").agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b").distinct())
             stars = component_of(component_of(stars, "a", "ca"), "b", "cb").where("ca <> cb")
-        settle(stars.select("a", "b").distinct())
+        new = settle(stars.select("a", "b").distinct())
         scratch.drop(rows)
-    else:
+        if turn and not new:
+            break
+    if n:
         rows, n = open_buckets()
+        rows = rows.where("full").drop("full")
         if n and dense is not None:
             large = rows.where(F.col("size") >= dense_from)
             hubs = large.groupBy("bucket").agg(F.min(F.struct("id", "sk")).alias("h")).select("bucket", F.col("h.id").alias("hub"), F.col("h.sk").alias("hub_sk"))
@@ -138,8 +148,13 @@ def join_groups(
         else:
             rows = rows.withColumn("cluster", F.col("id"))
         if n:
-            other = rows.select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "id", "c", "cluster", "sk")))
             apart = (F.col("id") < F.col("id_b")) & (F.col("c") != F.col("c_b")) & (F.col("cluster") != F.col("cluster_b"))
+            if finer:
+                least, sketches, near_too = finer
+                own = scratch.write(sketches(rows.where(F.col("size") >= least).select("id").distinct()), "finer")
+                rows = rows.join(own, "id", "left")
+                apart &= (F.col("size") < least) | near_too("fk", "fk_b")
+            other = rows.select(*(F.col(c).alias(f"{c}_b") for c in ("bucket", "id", "c", "cluster", "sk", *(["fk"] if finer else []))))
             met = rows.join(other, (F.col("bucket") == F.col("bucket_b")) & apart & alike("sk", "sk_b", F.col("size")))
             settle(met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
     if components is None:
