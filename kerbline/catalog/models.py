@@ -30,8 +30,10 @@ def dimension_scale(spark, sf_dir):
 
 
 def softmax(spark, sf_dir):
-    v = vectors(spark, sf_dir).withColumn("p", D.softmax(F.transform(F.slice("vec", 1, 3), lambda x: x.cast("double")), 2.0))
-    return v.select("key", *(r6(F.col("p")[i], f"p{i}") for i in range(3)), D.argmax(F.col("p")).alias("best"))
+    """Shares of all dimensions: the first, the largest and where it is, and their entropy."""
+    v = vectors(spark, sf_dir).withColumn("p", D.softmax(F.transform("vec", lambda x: x.cast("double")), 0.5))
+    entropy = F.aggregate("p", F.lit(0.0), lambda a, x: a - x * F.ln(x))
+    return v.select("key", r6(F.col("p")[0], "first"), r6(F.array_max("p"), "largest"), r6(entropy, "entropy"), D.argmax(F.col("p")).alias("best"))
 
 
 def centroid_probe(spark, sf_dir):
@@ -168,8 +170,8 @@ SQL = {
     "support_distance": f"""WITH {_VEC}, n AS (SELECT key, label, list_transform(vec, lambda x: x / sqrt(list_sum(list_transform(vec, lambda y: y * y)))) AS u FROM v)
 SELECT a.key, round(min(1 - list_dot_product(a.u, b.u)), 6) AS dist FROM n a JOIN n b ON b.label = 0 AND a.key <> b.key GROUP BY 1""",
     "dimension_scale": f"WITH {_VEC}, d AS (SELECT unnest(range(len(vec)))::INT AS dim, unnest(vec) AS x FROM v) SELECT dim, round(stddev_pop(x), 6) AS divisor FROM d GROUP BY 1",
-    "softmax_temperature": f"""WITH {_VEC}, e AS (SELECT key, exp((vec[1] - m) / 2) a, exp((vec[2] - m) / 2) b, exp((vec[3] - m) / 2) c FROM (SELECT *, greatest(vec[1], vec[2], vec[3]) AS m FROM v))
-SELECT key, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2, (CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END)::INT AS best FROM e""",
+    "softmax_temperature": f"""WITH {_VEC}, e AS (SELECT key, vec, list_transform(vec, lambda x: exp((x - list_max(vec)) / 0.5)) AS e FROM v), p AS (SELECT key, vec, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e)
+SELECT key, round(p[1], 6) AS first, round(list_max(p), 6) AS largest, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 6) AS entropy, (list_position(p, list_max(p)) - 1)::INT AS best FROM p""",
     "centroid_probe": f"""WITH {_VEC}, d AS (SELECT key, label, unnest(range(len(vec))) AS dim, unnest(vec) AS x FROM v), m AS (SELECT label, dim, avg(x) AS m FROM d WHERE label < 3 GROUP BY 1, 2)
 SELECT key, round(sum(x * m) FILTER (m.label = 0), 6) AS z0, round(sum(x * m) FILTER (m.label = 1) + 0.5, 6) AS z1, round(sum(x * m) FILTER (m.label = 2) - 0.5, 6) AS z2 FROM d JOIN m USING (dim) GROUP BY key""",
     "acquisition": f"""WITH {PRED}, m AS (SELECT image_id, avg(p0) p0, avg(p1) p1, avg(p2) p2, (stddev_pop(p0) + stddev_pop(p1) + stddev_pop(p2)) / 3 AS d FROM pred GROUP BY 1), h AS (SELECT image_id, {_H} AS h, d FROM m)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from kerbline.catalog.common import TALLY, VOTES, table
+from kerbline.catalog.common import TALLY, VOTES, table, votes
 from kerbline.plans.scratch import Scratch
 from kerbline.streaming import study as ST2, votes as ST
 
@@ -101,8 +101,16 @@ def stream_upserts(spark, sf_dir):
     return ST.read_latest(spark, f"{scratch.root}/latest").select("session_id", "received_at", "event_type")
 
 
-QUERIES = {"stream_study": stream_study, "stream_upserts": stream_upserts, "stream_tally": stream_tally, "stream_windows": stream_windows, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_first_votes": stream_first_votes}
+def stream_earliest_votes(spark, sf_dir):
+    """The earliest vote of each user, aid and image, from events that arrive out of order."""
+    rows = votes(spark, sf_dir).select("pid", "aid", "image_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "selection")
+    done = settled(ST.earliest_votes(replayed(spark, rows, "ts").where("pid is not null"), ["pid", "aid", "image_id"], "ts", "event_id"), "update")
+    return done.groupBy("pid", "aid", "image_id").agg(F.max_by(F.struct("event_id", "selection"), "_batch").alias("v")).select("pid", "aid", "image_id", "v.*")
+
+
+QUERIES = {"stream_earliest_votes": stream_earliest_votes, "stream_study": stream_study, "stream_upserts": stream_upserts, "stream_tally": stream_tally, "stream_windows": stream_windows, "stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_first_votes": stream_first_votes}
 SQL = {
+    "stream_earliest_votes": f"WITH {VOTES} SELECT pid, aid, image_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(selection, (ts, event_id)) AS selection FROM votes GROUP BY 1, 2, 3",
     "stream_study": """WITH p AS (SELECT user_id AS pid, ts, event_id, floor(sqrt(event_id * 7919 % 49))::INT AS place FROM events),
 e AS (SELECT *, coalesce(epoch_ms(ts) > lag(epoch_ms(ts)) OVER w + 21600000 OR lag(place) OVER w = 6, true) AS fresh FROM p WINDOW w AS (PARTITION BY pid ORDER BY epoch_ms(ts), event_id)),
 s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY pid ORDER BY epoch_ms(ts), event_id ROWS UNBOUNDED PRECEDING) AS i FROM e),

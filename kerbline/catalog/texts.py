@@ -53,9 +53,10 @@ def polygon_projection(spark, sf_dir):
 
 
 def inverse_projection(spark, sf_dir):
-    g = spark.range(0, 640, 40).select(F.col("id").alias("x")).crossJoin(spark.range(0, 480, 40).select(F.col("id").alias("y")))  # a fixed grid
+    """The panorama pixels that the view's pixels show, of pixels given by the parts' keys and sizes."""
+    g = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 640).alias("x"), (F.col("p_partkey") * 11 % 480 + F.col("p_size") % 7).alias("y"))
     m = G.inverse_map(F.col("x"), F.col("y"), 2000, 1000, 640, 480, 0.5)
-    return g.select("x", "y", r6(m["x"], "pano_x"), r6(m["y"], "pano_y"))
+    return g.select("p_partkey", "x", "y", r6(m["x"], "pano_x"), r6(m["y"], "pano_y"))
 
 
 def confidence(spark, sf_dir):
@@ -113,8 +114,8 @@ SELECT p_partkey, round(area::DOUBLE, 6) AS area, round(x::DOUBLE, 6) AS x, roun
 {_projected(0.9).replace("s AS", "s2 AS").replace("q AS", "q2 AS").replace("FROM s)", "FROM s2)")}, o AS (SELECT *, a IS NOT NULL AND NOT (a >= 10 AND a < 630 AND b >= 10 AND b < 630) AS outside FROM q2),
 z AS (SELECT p_partkey, string_agg(CASE WHEN outside THEN least(greatest(a, 0), 639) || ',' || least(greatest(b, 0), 639) ELSE a || ',' || b END, ',' ORDER BY i) FILTER (a IS NOT NULL) AS t, count(a) AS n, count(*) FILTER (outside OR a IS NULL) AS c FROM o GROUP BY 1)
 SELECT r.p_partkey, CASE WHEN r.n >= 3 AND r.ok THEN r.t END AS strict, CASE WHEN z.n >= 3 AND z.c <= 5 THEN z.t END AS clipped FROM r JOIN z USING (p_partkey)""",
-    "inverse_projection": f"""WITH g AS (SELECT x, y FROM range(0, 640, 40) a(x), range(0, 480, 40) b(y))
-SELECT x, y, round(((atan2(x - 320, {_FOCAL}) + 0.5) / pi() / 2 + 0.5) * 2000, 6) AS pano_x, round((atan((y - 240) / sqrt((x - 320) * (x - 320) + {_FOCAL} * {_FOCAL})) / (pi() / 2) / 2 + 0.5) * 1000, 6) AS pano_y FROM g""",
+    "inverse_projection": f"""WITH g AS (SELECT p_partkey, p_partkey * 37 % 640 AS x, p_partkey * 11 % 480 + p_size % 7 AS y FROM part)
+SELECT p_partkey, x, y, round(((atan2(x - 320, {_FOCAL}) + 0.5) / pi() / 2 + 0.5) * 2000, 6) AS pano_x, round((atan((y - 240) / sqrt((x - 320) * (x - 320) + {_FOCAL} * {_FOCAL})) / (pi() / 2) / 2 + 0.5) * 1000, 6) AS pano_y FROM g""",
     "label_confidence": "SELECT p_partkey AS k, round(CASE WHEN p_partkey % 3 + p_partkey % 4 + p_partkey % 2 = 0 THEN 0 ELSE (p_partkey % 3) / (p_partkey % 3 + p_partkey % 4 + p_partkey % 2) END, 6) AS confidence FROM part",
     "sequences": """SELECT p_partkey, array_to_string(list_filter(range(1, p_size % 9 + 3), lambda x: x % 3 = 1), ',') AS kth, array_to_string(list_transform(range(1, p_size % 9 + 2), lambda x: x * 101 + 1), ',') AS pairs FROM part""",
     "latest_sessions": "SELECT 's' || user_id AS session_id, max(event_id) AS received_at, arg_max(event_type, event_id) AS body FROM events GROUP BY user_id",

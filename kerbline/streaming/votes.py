@@ -31,6 +31,12 @@ def first_votes(votes: DataFrame, keys: list[str], column: str = "ts", late: str
     return with_event_time(votes, column, late).dropDuplicatesWithinWatermark(keys)
 
 
+def earliest_votes(votes: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Per key the first vote in the given order, of what has arrived; for update or complete mode.  However votes arrive, the same one counts in the end."""
+    rest = [c for c in votes.columns if c not in (*keys, *order)]
+    return votes.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("v")).select(*keys, "v.*")
+
+
 def windowed_counts(stream: DataFrame, keys: list[str], size: str, slide: str | None = None, column: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Counts in tumbling or sliding windows."""
     w = F.window(column, size, slide) if slide else F.window(column, size)
