@@ -119,38 +119,58 @@ MORE = (
 SPAN = "struct<start:int, rank:int, kind:string, end:int, score:double>"
 
 
+#: Matches that one running sum goes over; characters that any match has.
+PART, LEAST_MATCH = 200, 2
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _located(text: Column, kind: Kind, rank: int) -> Column:
-    """All valid spans of one kind."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(found))
-    item = "struct<start:int, end:int, m:string>"
-    empty = F.array().cast(f"array<{item}>")
-    placed = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("m")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    (acc["at"] + F.length(x["gap"])).alias("start"),
-                    (acc["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("end"),
-                    x["m"].alias("m"),
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    """All valid spans of one kind.
 
-    def score(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - PIICONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(PIICONTEXT)))
-        after = F.substring(text, s["end"] + 1, F.lit(PIICONTEXT))
+    Places are running sums over gaps and matches, which an ``aggregate`` would copy for every
+    match; so matches are summed by parts of ``PART``, and the parts' sums tell where each part begins.
+    """
+    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    each = lambda gaps: _let(found, lambda m: F.arrays_zip(F.slice(gaps, F.lit(1), F.size(m)).alias("gap"), m.alias("m")))
+    item = "struct<start:int, end:int, gap:string, m:string>"
+    length = lambda x: F.length(x["gap"]) + F.length(x["m"])
+
+    def within(part: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            span = F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + length(x)).alias("end"), x["gap"].alias("gap"), x["m"].alias("m"))
+            return F.struct(span["end"].alias("at"), F.array_append(acc["out"], span).alias("out"))
+
+        return F.aggregate(part, F.struct(begin.alias("at"), F.array().cast(f"array<{item}>").alias("out")), step, lambda acc: acc["out"])
+
+    def placed_of(pairs: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(pairs) - 1, F.lit(0)), F.lit(PART))
+        return _let(F.transform(starts, lambda i: F.slice(pairs, i + 1, F.lit(PART))), joined)
+
+    def joined(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + length(x)))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda out, n: F.array_append(out, F.element_at(out, -1) + n))
+        return F.flatten(F.zip_with(parts, F.slice(begins, F.lit(1), F.size(parts)), within))
+
+    around = -(-PIICONTEXT // LEAST_MATCH)
+
+    def score(gaps: Column, spans: Column, s: Column, i: Column) -> Column:
+        # what stands around a match is put together from the pieces next to it; a match has LEAST_MATCH characters at least
+        lead = F.transform(F.slice(spans, F.greatest(i + 1 - around, F.lit(1)), F.least(i, F.lit(around))), lambda p: F.concat(p["gap"], p["m"]))
+        before = F.right(F.concat(F.array_join(lead, ""), s["gap"]), F.lit(PIICONTEXT))
+        tail = F.transform(F.slice(spans, i + 2, F.lit(around)), lambda p: F.concat(p["gap"], p["m"]))
+        rest = F.when(i + 1 + around >= F.size(spans), F.substring(F.element_at(gaps, -1), 1, PIICONTEXT)).otherwise("")
+        after = F.substring(F.concat(F.array_join(tail, ""), rest), 1, PIICONTEXT)
         return F.lit(kind.score) + F.when(before.rlike(kind.context) | after.rlike(kind.context), 0.3).otherwise(0.0)
 
-    spans = F.transform(
-        F.filter(placed, lambda s: kind.valid(s["m"])),
-        lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), score(s).alias("score")),
-    )
+    def scored(gaps: Column, all_spans: Column) -> Column:
+        told = F.transform(all_spans, lambda s, i: F.when(kind.valid(s["m"]), F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), score(gaps, all_spans, s, i).alias("score"))))
+        return F.filter(told, lambda s: s.isNotNull())
+
+    spans = _let(F.split(text, kind.pattern, -1), lambda gaps: _let(_let(each(gaps), placed_of), lambda found_spans: scored(gaps, found_spans)))
     if kind.least:
         spans = F.filter(spans, lambda s: s["score"] >= kind.least)
     # cheap test first: most texts have no match of most kinds
