@@ -93,13 +93,13 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return factors, miss
 
 
-def rake_distributed(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweeps: int, tolerance: float = 0.0) -> DataFrame:
-    """The same fit by aggregations, for more cells than one machine should hold: cells with ``weight``.
+def rake_distributed(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, sweeps: int, tolerance: float = 0.0) -> tuple[DataFrame, float]:
+    """The same fit by aggregations, for more cells than one machine should hold: cells with ``weight``, and the miss.
 
     ``targets[m]`` has (m, goal), goal in tokens.  It ends by the same tolerance
     as ``rake``: the largest relative miss of a margin after a sweep.
     """
-    now = cells.withColumn("weight", F.lit(1.0))
+    now, miss = cells.withColumn("weight", F.lit(1.0)), 0.0
 
     def masses(margin: str, goal: DataFrame) -> DataFrame:
         mass = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"))
@@ -110,11 +110,11 @@ def rake_distributed(cells: DataFrame, targets: dict[str, DataFrame], scratch: S
             factor = masses(margin, goal).select("_m", F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(1.0).alias("factor"))
             now = now.join(factor, now[margin].eqNullSafe(factor["_m"])).select(*cells.columns, (F.col("weight") * F.col("factor")).alias("weight"))
         now = scratch.write(now, "raked")
-        if tolerance > 0:
-            missed = (masses(m, g).where("goal > 0").agg(F.max(F.abs(F.col("mass") - F.col("goal")) / F.col("goal"))).first()[0] for m, g in targets.items())
-            if max((x for x in missed if x is not None), default=0.0) < tolerance:
-                break
-    return now
+        missed = (masses(m, g).where("goal > 0").agg(F.max(F.abs(F.col("mass") - F.col("goal")) / F.col("goal"))).first()[0] for m, g in targets.items())
+        miss = max((x for x in missed if x is not None), default=0.0)
+        if miss < tolerance:
+            break
+    return now, miss
 
 
 def scale_for(tokens: np.ndarray, weight: np.ndarray, budget: float) -> float:
@@ -148,7 +148,10 @@ def mix(
     docs: DataFrame, scratch: Scratch, targets: Mapping | None = None, keep: float = 0.8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
     topic: Column | None = None, sweeps: int = 60, tolerance: float = 1e-9, local_cells: int = LOCAL_CELLS, out: str = "mix",
 ) -> DataFrame:
-    """Every row of ``docs`` with a struct ``out``: topic, n_tokens, weight, p and sampled.
+    """Every row of ``docs`` with a struct ``out``: topic, n_tokens, weight, p, sampled and miss.
+
+    ``miss`` is the fit's: by how much, relatively, the worst margin lies off its target, under
+    ``tolerance`` for a fit that has converged; targets that no weights can meet together leave more.
 
     ``targets``: for source, lang and topic each a mapping from category to share,
     or a function from observed shares to such a mapping.  ``keep``: the share of
@@ -177,7 +180,7 @@ def mix(
             goal = full_target({k: mass[i] / whole for k, i in names.items()}, wanted[m])
             codes.append(code)
             goals.append(np.array([goal[k] for k in names]))
-        factors, _ = rake(tokens, codes, goals, sweeps, tolerance)
+        factors, miss = rake(tokens, codes, goals, sweeps, tolerance)
         weight = np.prod([f[c] for f, c in zip(factors, codes, strict=True)], axis=0) if len(rows) else np.zeros(0)
         scale = scale_for(tokens, weight, keep * tokens.sum())
         p = np.minimum(1.0, np.where(weight > 0, weight * scale if np.isfinite(scale) else 1.0, 0.0))
@@ -199,12 +202,12 @@ def mix(
             sums = joined.agg(F.sum(F.when(F.col("want").isNull(), F.col("t")).otherwise(0)).alias("free"), F.sum("want").alias("named")).first()
             ratio = (total - (sums.free or 0)) / sums.named if sums.named else 0.0
             goals[m] = joined.select(m, F.coalesce(F.col("want") * ratio, F.col("t").cast("double")).alias("goal"))
-        raked = rake_distributed(cells, goals, scratch, sweeps, tolerance)
+        raked, miss = rake_distributed(cells, goals, scratch, sweeps, tolerance)
         scale = _scale_distributed(raked, keep * total)
         table = raked.select(*(F.col(m).alias(f"_{m[0]}") for m in MARGINS), "weight", F.least(F.lit(1.0), F.col("weight") * scale).alias("p"))
     same = [F.col(m).eqNullSafe(F.col(f"_{m[0]}")) for m in MARGINS]
     joined = measured.join(table, same[0] & same[1] & same[2], "left")
-    inside = F.struct("topic", F.col("tokens").alias("n_tokens"), "weight", "p", (uniform(F.col("row")[id_col], seed) < F.col("p")).alias("sampled"))
+    inside = F.struct("topic", F.col("tokens").alias("n_tokens"), "weight", "p", (uniform(F.col("row")[id_col], seed) < F.col("p")).alias("sampled"), F.lit(float(miss)).alias("miss"))
     return joined.select("row.*", inside.alias(out))
 
 
