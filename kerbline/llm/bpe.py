@@ -27,8 +27,8 @@ from pyspark.sql import Column, functions as F, types as T
 
 from kerbline.llm.arrow import texts
 
-#: Entries that a worker's memo keeps.
-MEMO = 350_000
+#: Entries that a worker's memo keeps, of the trie walk and of the library's encoder.
+MEMO, LIBRARY_MEMO = 150_000, 700_000
 
 # Unicode's White_Space, and the pre-tokenizing pattern of byte-level BPE vocabularies of this kind.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -238,7 +238,7 @@ def library_encoder(path: str) -> ChunkEncoder:
             out[piece] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         return list(out.values())
 
-    return ChunkEncoder(encode_new, special, 2 * MEMO)
+    return ChunkEncoder(encode_new, special, LIBRARY_MEMO)
 
 
 #: Pieces that one call of the library encodes.
