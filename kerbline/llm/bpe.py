@@ -28,7 +28,7 @@ from pyspark.sql import Column, functions as F, types as T
 from kerbline.llm.arrow import texts
 
 #: Entries that a worker's memo keeps, of the trie walk and of the library's encoder.
-MEMO, LIBRARY_MEMO = 150_000, 700_000
+MEMO, LIBRARY_MEMO = 280_000, 700_000
 
 # Unicode's White_Space, and the pre-tokenizing pattern of byte-level BPE vocabularies of this kind.
 SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
