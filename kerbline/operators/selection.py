@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kerbline.functions import distributions as D
@@ -81,22 +83,51 @@ def acquisition(predictions: DataFrame, item: str = "item_id") -> DataFrame:
     return means.select(item, h.alias("entropy"), d.alias("disagreement"), (h * d).alias("hybrid"))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    v = column.combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _nearest_of(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Each key of ``left`` with its Euclidean distance to the nearest vector of ``right``.
+
+    Products tell which come into question; differences, summed in order, decide.
+    """
+    if not len(left) or not len(right):
+        return pa.table({"k": left["k"].slice(0, 0), "d": pa.array([], pa.float64())})
+    a, b = _matrix(left["v"]), _matrix(right["v"])
+    sizes, least = (b * b).sum(axis=1), np.full(len(a), np.inf)
+    for at in range(0, len(a), 500):
+        x = a[at : at + 500]
+        own = (x * x).sum(axis=1)
+        rough = own[:, None] + sizes[None, :] - 2 * (x @ b.T)
+        slack = 1e-12 * x.shape[1] * (own + sizes.max())
+        i, j = np.nonzero(rough <= (rough.min(axis=1) + slack)[:, None])
+        for part in range(0, len(i), 100_000):
+            p, q = i[part : part + 100_000], j[part : part + 100_000]
+            np.minimum.at(least, at + p, np.cumsum((x[p] - b[q]) ** 2, axis=1)[:, -1])
+    return pa.table({"k": left["k"], "d": pa.array(np.sqrt(least), pa.float64())})
+
+
 def greedy_k_centre(pool: DataFrame, labelled: DataFrame, n: int, scratch: Scratch, key: str = "key", vec: str = "vec", block: int = 10_000) -> DataFrame:
     """``n`` pool items, each the farthest from all labelled and chosen ones: (rank, key, distance), ties by key.
 
     A distance column follows the choices; a round is one projection and one
     maximum, and only the chosen vector comes to the driver.  All labelled vectors
-    count; they are sent round in numbered blocks of about ``block``.
+    count; they and the pool are dealt to numbered blocks of about ``block``, and
+    every block of the one meets every block of the other in a matrix product.
     """
     spark = pool.sparkSession
-    seeds, seen = scratch.write_observed(labelled.select(F.col(vec).alias("_v")), "seeds")
-    n_blocks = max(1, -(-seen["rows"] // block))
-    state = pool.select(F.col(key), F.col(vec), F.lit(None).cast("double").alias("d"))
-    for i in range(n_blocks):
-        part = seeds.where(F.pmod(F.xxhash64("_v"), F.lit(n_blocks)) == i).distinct()  # one block of bounded size
-        met = state.join(F.broadcast(part), F.lit(True), "left")
-        near = met.groupBy(key, vec).agg(F.least(F.min("d"), F.min(euclidean(F.col(vec), F.col("_v")))).alias("d"))
-        state = scratch.write(near, "k-centre")
+    seeds, seen = scratch.write_observed(labelled.select(F.transform(vec, lambda x: x.cast("double")).alias("v")).where("v is not null").distinct(), "seeds")
+    rows, counted = scratch.write_observed(pool.select(F.col(key), F.col(vec)), "pool")
+    n_pool, n_seeds = max(1, -(-counted["rows"] // block)), max(1, -(-seen["rows"] // block))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    own = rows.where(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.transform(vec, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(n_pool)).cast("int").alias("i"), every(n_seeds, "j"))
+    other = seeds.select("v", every(n_pool, "i"), F.pmod(F.xxhash64("v"), F.lit(n_seeds)).cast("int").alias("j"))
+    kind = dict(pool.dtypes)[key]
+    met = own.groupBy("i", "j").cogroup(other.groupBy("i", "j")).applyInArrow(_nearest_of, f"k {kind}, d double")
+    near = met.groupBy(F.col("k").alias(key)).agg(F.min("d").alias("d"))
+    state = scratch.write(rows.join(near, key, "left").select(key, vec, "d"), "k-centre")
     if not seen["rows"]:
         state = state.where("d is not null")
     chosen = []
@@ -109,7 +140,6 @@ def greedy_k_centre(pool: DataFrame, labelled: DataFrame, n: int, scratch: Scrat
         state = state.where(F.col(key) != top[0][key]).withColumn("d", F.least("d", euclidean(F.col(vec), centre)))
         if rank % 10 == 0:
             state = scratch.write(state, "k-centre")
-    kind = dict(pool.dtypes)[key]
     return spark.createDataFrame(chosen, f"rank int, `{key}` {kind}, distance double")
 
 
@@ -147,8 +177,6 @@ def beta_draws(params: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` clipped Beta(a, b) draws per row of (aid, a, b), fixed by aid and seed: (aid, i, p_yes)."""
     import zlib
 
-    import numpy as np
-
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
