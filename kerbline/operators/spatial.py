@@ -32,6 +32,8 @@ from kerbline.plans.scratch import Scratch
 
 #: Places, and points, of one block of a cell: a task's keys give at most the square of it in pairs each.
 SIDE = 2000
+#: Tasks that pairs are dealt over at most; each has about the pairs of one block, or more where this would take more tasks.
+MOST_TASKS = 4096
 #: Wider cells grow by this factor from level to level; narrower ones are cut by the other.
 GROWTH, SPLIT = 4.0, 2.0
 #: Where the nearest k are wanted, cells with over k / FEW places are cut, until no more than a TAIL-th of the places is in such cells.
@@ -105,9 +107,11 @@ def _pairs(points: DataFrame, places: DataFrame, reach: float, space: Space) ->
     filed, own = _filed(places, space, step, PLACE), _filed(points, space, step, POINT)
     probing = space.around(own, step)
     met = space.around(own.groupBy(*names).agg(F.count("*").alias("_n")), step).groupBy(*names).agg(F.sum("_n").alias("_points"))
-    dense = filed.groupBy(*names).agg(F.count("*").alias("_places")).join(met, names).where(F.col("_points") * F.col("_places") > SIDE * SIDE)
+    cells = filed.groupBy(*names).agg(F.count("*").alias("_places")).join(met, names).withColumn("_n", F.col("_points") * F.col("_places"))
+    total, most = cells.agg(F.sum(F.col("_n").cast("double")), F.max("_n")).first()
     keys = names
-    if dense.take(1):
+    if (most or 0) > SIDE * SIDE:
+        dense = cells.where(F.col("_n") > SIDE * SIDE)
         blocks = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
         dense = Scratch(points.sparkSession, "dense-cells").write(dense.select(*names, blocks("_points").alias("_bp"), blocks("_places").alias("_bq")), "cells")
 
@@ -119,6 +123,10 @@ def _pairs(points: DataFrame, places: DataFrame, reach: float, space: Space) ->
         probing = dealt(probing, points.columns, "_p", "_q", ("_bp", "_bq"))
         filed = dealt(filed, places.columns, "_q", "_p", ("_bq", "_bp"))
         keys = [*names, "_p", "_q"]
+    # few rows make many pairs: as many partitions as these need, which are not merged for being small
+    parts = min(MOST_TASKS, math.ceil((total or 0) / (SIDE * SIDE)))
+    if parts > 1:
+        probing, filed = probing.repartition(parts, *keys), filed.repartition(parts, *keys).hint("shuffle_hash")
     d = space.distance(*(F.col(c) for c in (*POINT, *PLACE)))
     return probing.join(filed, keys).drop(*keys).withColumn("dist", d).where(F.col("dist") <= reach)
 
