@@ -292,8 +292,11 @@ def nearest_planar(points: DataFrame, places: DataFrame, point_id: str, place_or
 
 def labels_on_routes(midpoints: DataFrame, labels: DataFrame, radius_m: float, route_id: str = "route_id", label_id: str = "label_id") -> DataFrame:
     """Per route: labels near any of its midpoints, each once; their number, mean severity (0 without) and types."""
-    near = within(midpoints, labels, radius_m).dropDuplicates([route_id, label_id])
-    found = near.groupBy(route_id).agg(F.count("*").alias("n"), F.avg("severity").alias("mean_severity"), F.sort_array(F.collect_list("label_type")).alias("types"))
+    near = within(midpoints, labels, radius_m).groupBy(route_id, label_id).agg(F.first("severity").alias("severity"), F.first("label_type").alias("label_type"))
+    # types are counted, so that no route's labels are gathered one by one
+    kinds = near.groupBy(route_id, "label_type").agg(F.count("*").alias("n"), F.sum("severity").alias("total"), F.count("severity").alias("told"))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("label_type").isNotNull(), F.struct("label_type", F.col("n").cast("int").alias("n"))))), lambda x: F.array_repeat(x["label_type"], x["n"])))
+    found = kinds.groupBy(route_id).agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("told")).alias("mean_severity"), listed.alias("types"))
     every = midpoints.select(route_id).distinct()
     return every.join(found, route_id, "left").select(
         route_id, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean_severity", F.lit(0.0)).alias("mean_severity"), F.coalesce("types", F.array().cast("array<string>")).alias("types")
