@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kerbline.catalog.common import EDGES, HAV, LABELS, NODES, PRIORS_SQL, edges, labels, nodes, passability_sql, r6, table
 from kerbline.functions import geo
 from kerbline.operators import scores as SC, spatial as SP
+from kerbline.plans.scratch import Scratch
 
 
 def _places(spark, sf_dir):
@@ -69,8 +70,8 @@ def labels_on_routes(spark, sf_dir):
 
 
 def edge_scoring(spark, sf_dir):
-    e = edges(spark, sf_dir)
-    s = SC.worst_barrier(SC.edge_labels(labels(spark, sf_dir), e, nodes(spark, sf_dir), 200.0), e)
+    e = Scratch(spark, "edge-scoring").write(edges(spark, sf_dir), "edges")
+    s = SC.worst_barrier(SC.label_counts(labels(spark, sf_dir), e, nodes(spark, sf_dir), 200.0), e)
     return s.select("u", "v", "k", "aid", "p_yes", "n_labels", F.array_join("label_types", ",").alias("label_types"), "source")
 
 

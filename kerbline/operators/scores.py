@@ -65,25 +65,44 @@ def edge_labels(labels: DataFrame, edges: DataFrame, nodes: DataFrame, snap_radi
     return by_way.unionByName(node_labels_to_edges(snapped, edges))
 
 
+def label_counts(labels: DataFrame, edges: DataFrame, nodes: DataFrame, snap_radius_m: float = 50.0) -> DataFrame:
+    """(u, v, k, label_type, n): ``edge_labels`` counted by edge and type, from counts by way and by node; no pair of a label and an edge is made."""
+    ways = edges.select("u", "v", "k", F.explode("way_ids").alias("way_id")).distinct()
+    by_way = labels.groupBy("way_id", "label_type").agg(F.count("*").alias("n"))
+    left = labels.join(ways.select("way_id").distinct(), "way_id", "left_anti")
+    places = nodes.select("node", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    snapped = nearest_within(left.select("label_id", "label_type", "lat", "lon"), places, snap_radius_m, "label_id", "node")
+    by_node = snapped.groupBy("node", "label_type").agg(F.count("*").alias("n"))
+    at = lambda end: edges.join(by_node.withColumnRenamed("node", end), end).select("u", "v", "k", "label_type", "n")
+    every = ways.join(by_way, "way_id").select("u", "v", "k", "label_type", "n").unionByName(at("u")).unionByName(at("v"))
+    return every.groupBy("u", "v", "k", "label_type").agg(F.sum("n").alias("n"))
+
+
 def worst_barrier(matched: DataFrame, edges: DataFrame) -> DataFrame:
     """Per edge and aid the least passability of its labels (unknown types as the prior); the prior without labels.
 
+    ``matched``: a row per label and edge, or counts ``n`` by edge and type (``label_counts``).
     Long form: u, v, k, aid, p_yes, n_labels, label_types, source.
     """
     spark = edges.sparkSession
-    per_edge = matched.groupBy("u", "v", "k").agg(F.count("*").cast("int").alias("n_labels"), F.sort_array(F.collect_list("label_type")).alias("label_types"))
-    kinds = matched.select("u", "v", "k", "label_type").distinct()
+    counts = matched if "n" in matched.columns else matched.groupBy("u", "v", "k", "label_type").agg(F.count("*").alias("n"))
+    kinds = matched.select("label_type").distinct()
     aids = F.broadcast(prior_table(spark))  # five rows
     known = F.broadcast(passability_table(spark))  # 45 rows
-    least = (
-        kinds.join(aids, how="cross").join(known, ["label_type", "aid"], "left")
-        .groupBy("u", "v", "k", "aid").agg(F.least(F.lit(1.0), F.min(F.coalesce("p_yes", "prior"))).alias("p_min"))
-    )
-    every = edges.select("u", "v", "k").join(aids, how="cross")
-    joined = every.join(least, ["u", "v", "k", "aid"], "left").join(per_edge, ["u", "v", "k"], "left")
-    return joined.select(
-        "u", "v", "k", "aid", F.coalesce("p_min", "prior").alias("p_yes"), F.coalesce("n_labels", F.lit(0)).alias("n_labels"),
-        F.coalesce("label_types", F.array().cast("array<string>")).alias("label_types"), F.when(F.col("n_labels").isNull(), "prior").otherwise("labels").alias("source"),
+    # a type's passabilities for all aids stay together: no row per edge, type and aid
+    told = kinds.join(aids, how="cross").join(known, ["label_type", "aid"], "left").groupBy("label_type").agg(F.sort_array(F.collect_list(F.struct("aid", F.coalesce("p_yes", "prior").alias("p")))).alias("ps"))
+    typed = counts.join(told.withColumnRenamed("label_type", "_t"), F.col("label_type").eqNullSafe(F.col("_t")))
+    per_edge = typed.groupBy("u", "v", "k").agg(
+        F.sum("n").cast("int").alias("n_labels"),
+        F.sort_array(F.collect_list(F.when(F.col("label_type").isNotNull(), F.struct("label_type", F.col("n").cast("int").alias("n"))))).alias("types"),  # as many as there are types
+        F.flatten(F.collect_list("ps")).alias("ps"),
+    )
+    every = edges.select("u", "v", "k").join(per_edge, ["u", "v", "k"], "left").join(aids, how="cross")
+    least = F.array_min(F.transform(F.filter("ps", lambda x: x["aid"] == F.col("aid")), lambda x: x["p"]))
+    return every.select(
+        "u", "v", "k", "aid", F.when(least.isNotNull(), F.least(F.lit(1.0), least)).otherwise(F.col("prior")).alias("p_yes"), F.coalesce("n_labels", F.lit(0)).alias("n_labels"),
+        F.coalesce(F.flatten(F.transform("types", lambda x: F.array_repeat(x["label_type"], x["n"]))), F.array().cast("array<string>")).alias("label_types"),
+        F.when(F.col("n_labels").isNull(), "prior").otherwise("labels").alias("source"),
     )
 
 
