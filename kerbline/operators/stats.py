@@ -167,6 +167,31 @@ def dimension_scale(items: DataFrame, vec: str = "vec") -> DataFrame:
 
 #: Vectors of a block of items, and of the reference set, that a task compares at once.
 BLOCK_ITEMS, BLOCK_REFERENCE = 4096, 8192
+#: Distances that a task holds at a time (16 MB).
+STRIP = 2_000_000
+
+
+def _units(table: pa.Table) -> np.ndarray:
+    v = table["v"].combine_chunks()
+    x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, np.nan)
+
+
+def _nearest_in_block(left: pa.Table, right: pa.Table, self_pairs: bool = False) -> pa.Table:
+    """(k, dist): each item's least cosine distance in one block of the reference; items are taken by strips, so a block's whole product is never held."""
+    if not len(left) or not len(right):
+        return pa.table({"k": left["k"].slice(0, 0), "dist": pa.array([], pa.float64())})
+    items, others = _units(left), _units(right).T
+    names, other_names = left["k"].to_numpy(), right["k"].to_numpy()
+    most = np.empty(len(items))
+    step = max(1, STRIP // len(right))
+    for at in range(0, len(items), step):
+        cosine = items[at : at + step] @ others
+        if not self_pairs:
+            cosine[names[at : at + step, None] == other_names[None, :]] = np.nan
+        np.fmax.reduce(cosine, axis=1, initial=-np.inf, out=most[at : at + step])  # passes over what is no number
+    return pa.table({"k": left["k"], "dist": pa.array(1 - most, pa.float64(), mask=np.isinf(most))})
 
 
 def nearest_reference(items: DataFrame, reference: DataFrame, key: str = "key", vec: str = "vec", self_pairs: bool = False) -> DataFrame:
@@ -184,20 +209,8 @@ def nearest_reference(items: DataFrame, reference: DataFrame, key: str = "key",
         mine = F.pmod(F.xxhash64(key), F.lit(n[own])).cast("int").alias(own)
         return df.select(F.col(key).alias("k"), F.transform(vec, lambda x: x.cast("double")).alias("v"), mine, F.explode(F.sequence(F.lit(0), F.lit(n[other] - 1))).alias(other))
 
-    def unit(table: pa.Table) -> np.ndarray:
-        v = table["v"].combine_chunks()
-        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(size > 0, size, np.nan)
-
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"k": left["k"].slice(0, 0), "dist": pa.array([], pa.float64())})
-        distance = 1 - unit(left) @ unit(right).T
-        if not self_pairs:
-            distance[left["k"].to_numpy()[:, None] == right["k"].to_numpy()[None, :]] = np.nan
-        least = np.nanmin(np.where(np.isnan(distance), np.inf, distance), axis=1)
-        return pa.table({"k": left["k"], "dist": pa.array(least, pa.float64(), mask=np.isinf(least))})
+        return _nearest_in_block(left, right, self_pairs)
 
     pairs = dealt(items, "i", "r").groupBy("i", "r").cogroup(dealt(reference, "r", "i").groupBy("i", "r")).applyInArrow(meet, f"k {kind}, dist double")
     return pairs.groupBy(F.col("k").alias(key)).agg(F.min("dist").alias("dist"))
