@@ -110,7 +110,7 @@ def cross_validated(spark, sf_dir):
     from kerbline.operators import metrics as M
 
     grid = P.grid(spark, seed=[42, 43], loss=["soft_kl", "hard_ce", "multinomial"], weight_decay=[1e-4]).selectExpr("cast(seed as int) seed", "loss", "weight_decay")
-    rows = training_rows(spark, sf_dir)
+    rows = Scratch(spark, "probes").write(training_rows(spark, sf_dir), "voted")
     raw, tuned = (P.cross_validate(rows, grid, Scratch(spark, "probes"), 5, temperature=t).groupBy("loss", "aid").agg(M.brier_soft("probs", "y").alias(n), F.count("*").alias(f"n_{n}")) for t, n in ((False, "raw"), (True, "tuned")))
     return raw.join(tuned, ["loss", "aid"])
 
@@ -148,7 +148,7 @@ def self_training(spark, sf_dir):
     """Held-out Brier scores and accuracy with and without pseudo-labels of the unvoted vectors."""
     from kerbline.operators import metrics as M
 
-    rows = training_rows(spark, sf_dir)
+    rows = Scratch(spark, "self-training").write(training_rows(spark, sf_dir), "voted")
     pool = vectors(spark, sf_dir).join(rows.select(F.col("item_id").alias("key")).distinct(), "key", "left_anti").select(F.col("key").alias("item_id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), kind_of(F.col("key")).alias("given_label"))
     done = P.self_trained(rows, pool, Scratch(spark, "self-training"), max_entropy=0.9, most=50)
     return done.groupBy("model", "aid").agg(F.count("*").alias("n"), M.brier_soft("probs", "y").alias("brier"), F.avg((D.argmax(F.col("probs")) == F.col("label")).cast("double")).alias("accuracy"))

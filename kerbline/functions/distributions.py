@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -56,11 +57,18 @@ def confidence(h: Column) -> Column:
     return F.when(h < 0.5, "high").when(h < 0.9, "medium").otherwise("low")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
     """Stable softmax of logits / temperature."""
     t = F.lit(temperature) if isinstance(temperature, (int, float)) else temperature
-    e = F.transform(logits, lambda x: F.exp((x - F.array_max(logits)) / t))
-    return F.transform(e, lambda x: x / _sum(e))
+    # a value that a lambda uses for each element is bound by a lambda of its own, or it is computed again for each
+    shares = lambda e: bound(_sum(e), lambda total: F.transform(e, lambda x: x / total))
+    raised = lambda z: bound(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp((x - top) / t)))
+    return bound(bound(logits, raised), shares)
 
 
 def one_hot(index: Column, n: int = 3) -> Column:

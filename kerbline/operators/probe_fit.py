@@ -1,9 +1,9 @@
 """Linear probes fitted across tasks: full-batch Adam whose gradients are sums over blocks of rows.
 
 Rows are packed once into blocks of bounded size, without a shuffle, and written.
-An epoch is one pass over the blocks for all fits at once: a task adds up, for each
-fit, what its blocks give to the gradient, an aggregation adds up the tasks, and the
-driver moves the weights.  The driver holds weights and per-dimension
+An epoch is one pass over the blocks for all fits at once: the weights of all fits of an
+aid meet its rows in one matrix product, with their scales taken into the weights, and the
+slopes in another; the driver adds up one vector a fit and task, and moves the weights.  The driver holds weights and per-dimension
 moments, whose size is that of the settings and not of the table.  A fold is a mask over the
 blocks, so a table is never multiplied by its folds or settings.
 
@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -84,6 +83,16 @@ class Fit:
         p = self.parts(self.theta)
         return (p["W"] @ p["P"] if self.low else p["W"]), p["b"]
 
+    def own_gradient(self, total: np.ndarray) -> np.ndarray:
+        """The gradient on theta, and the loss, from that on the effective W and b (and conc): the chain rule of a coupled head."""
+        if not self.low:
+            return total
+        par, (a, c), d = self.parts(self.theta), self.shapes()["b"], len(self.divisor)
+        effective = total[: a * c * d].reshape(a, c, d)
+        p = par["W"].transpose(0, 2, 1) @ effective
+        p = p if len(par["P"]) > 1 else p.sum(0, keepdims=True)
+        return np.concatenate([p.reshape(-1), (effective @ par["P"].transpose(0, 2, 1)).reshape(-1), total[a * c * d :]])
+
 
 def calibration_rows(item_id: np.ndarray, seed: int, share: float = 0.2) -> np.ndarray:
     """The rows that a fit leaves out to tune its temperature: a share by a hash of item and seed."""
@@ -160,34 +169,76 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def gradient(fit: Fit, block: Block, loss_and_grad: Callable) -> np.ndarray:
-    """What a block adds to the gradient of a fit's loss; the loss itself is the last number."""
-    rows, par = block.of(fit, "train"), fit.parts(fit.theta)
-    out = np.zeros(len(fit.theta) + 1)
-    if not len(rows):
-        return out
-    x, aid = block.scaled(fit, rows)
-    grad = fit.parts(out[:-1])  # views of out
-    z, hidden = np.zeros((len(rows), fit.classes)), {}
-    owns = {a: np.flatnonzero(aid == a) for a in range(len(fit.aids))}
-    for a, own in owns.items():
-        h = x[own]
-        if fit.low:
-            hidden[a] = h = h @ par["P"][a if len(par["P"]) > 1 else 0].T
-        z[own] = h @ par["W"][a].T + par["b"][a]
-    value, dz, dconc = loss_and_grad(fit.loss, z, block.y[rows], block.counts[rows], block.weight[rows], float(par["conc"][0]) if "conc" in par else 0.0, fit.n, fit.unit)
-    for a, own in owns.items():
-        g = dz[own]
-        grad["b"][a] += g.sum(0)
-        if fit.low:
-            k = a if len(par["P"]) > 1 else 0
-            grad["W"][a] += g.T @ hidden[a]
-            grad["P"][k] += (g @ par["W"][a]).T @ x[own]
-        else:
-            grad["W"][a] += g.T @ x[own]
-    if "conc" in par:
-        grad["conc"] += dconc
-    out[-1] = value
+def _row_terms(loss: str, y: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(target, its sum, weight, constant of the value) of the rows; the slope on logits is weight * (p * sum - target) over the fit's rows."""
+    one = np.ones(len(y))
+    if loss == "soft_kl":
+        return y, y.sum(1), weight, np.where(y > 0, y * np.log(np.maximum(y, 1e-300)), 0).sum(1)
+    if loss == "hard_ce":
+        return np.eye(y.shape[1])[y.argmax(1)], one, weight, 0 * one
+    return counts, counts.sum(1), one, 0 * one
+
+
+def _slopes(z: np.ndarray, loss: str, terms: tuple, masks: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Turn logits (fits, classes, rows) into their slopes, in place; the value of each fit's loss is returned."""
+    target, total, weight, constant = terms
+    z -= z.max(axis=1, keepdims=True)
+    told = sum(target[:, c] * z[:, c] for c in range(z.shape[1]))
+    np.exp(z, out=z)
+    norm = z.sum(axis=1)
+    share = masks * weight * scale[:, None]
+    z *= (total / norm)[:, None]
+    z -= target.T
+    z *= share[:, None]
+    return ((constant - told + total * np.log(norm)) * share).sum(1)
+
+
+def gradients(fits: list[Fit], block: Block, loss_and_grad: Callable) -> dict[int, np.ndarray]:
+    """What a block adds to each fit's gradient on its effective W, on b and conc; the loss itself is the last number.
+
+    Fits of a loss go side by side, but those of ``dirichlet`` by ``loss_and_grad``.  Fits without a training row in the block are missing.
+    """
+    out: dict[int, np.ndarray] = {}
+    weights = [f.weights() for f in fits]
+    left_out = {seed: calibration_rows(block.item_id, seed) for seed in {f.seed for f in fits if f.calibrate}}
+    for a in np.unique(block.aid):
+        own, takes = np.flatnonzero(block.aid == a), sorted((i for i, f in enumerate(fits) if a in f.aids), key=lambda i: fits[i].loss)
+        if not takes:
+            continue
+        fold, y, counts, weight = block.fold[own], block.y[own], block.counts[own], block.weight[own]
+        centre, c = fits[takes[0]].shift, fits[takes[0]].classes  # shifts of different folds are nearly one, so what is left of them is small
+        x, places = block.x[own] - centre, [fits[i].aids.index(a) for i in takes]
+        ws = [weights[i][0][at] / fits[i].divisor for i, at in zip(takes, places, strict=True)]
+        bs = [weights[i][1][at] - w @ (fits[i].shift - centre) for i, at, w in zip(takes, places, ws, strict=True)]
+        z = (np.concatenate(ws) @ x.T + np.concatenate(bs)[:, None]).reshape(len(takes), c, len(own))
+        masks = np.stack([(fold != f.held) & ~left_out[f.seed][own] if f.calibrate else fold != f.held for f in (fits[i] for i in takes)])
+        extra = np.zeros((len(takes), 2))  # slope on conc, value
+        for loss in sorted({fits[i].loss for i in takes}):
+            some = [k for k, i in enumerate(takes) if fits[i].loss == loss]
+            if loss != "dirichlet":
+                scale = np.array([1 / fits[takes[k]].n / (fits[takes[k]].unit if loss == "multinomial" else 1.0) for k in some])
+                group = slice(some[0], some[-1] + 1)
+                extra[group, 1] = _slopes(z[group], loss, _row_terms(loss, y, counts, weight), masks[group], scale)
+                continue
+            for k in some:
+                f, rows = fits[takes[k]], np.flatnonzero(masks[k])
+                value, dz, dconc = loss_and_grad(loss, z[k].T[rows], y[rows], counts[rows], weight[rows], float(f.parts(f.theta)["conc"][0]), f.n, f.unit)
+                z[k] = 0
+                z[k].T[rows] = dz
+                extra[k] = dconc, value
+        slopes, sums = (z.reshape(-1, len(own)) @ x).reshape(len(takes), c, -1), z.sum(2)
+        for k, (i, at) in enumerate(zip(takes, places, strict=True)):
+            if not masks[k].any():
+                continue
+            f, d = fits[i], x.shape[1]
+            if i not in out:
+                out[i] = np.zeros(len(f.aids) * c * (d + 1) + (f.loss == "dirichlet") + 1)
+            out[i][at * c * d : (at + 1) * c * d] += ((slopes[k] - np.outer(sums[k], f.shift - centre)) / f.divisor).reshape(-1)
+            bias = len(f.aids) * c * d + at * c
+            out[i][bias : bias + c] += sums[k]
+            out[i][-1] += extra[k, 1]
+            if f.loss == "dirichlet":
+                out[i][-2] += extra[k, 0]
     return out
 
 
@@ -207,35 +258,48 @@ class Adam:
         fit.theta = fit.theta - self.lr * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.999**self.step)) + 1e-8)
 
 
-def _summed(blocks: DataFrame, fits: list[Fit], of: Callable[[Fit, Block], np.ndarray]) -> list[np.ndarray]:
-    """Per fit the sum of ``of`` over all blocks; a task sends one row for each fit with rows in it, and sums are by element."""
+def _sums(blocks: DataFrame, of: Callable[[Block], dict[tuple[int, int], np.ndarray]]) -> dict[tuple[int, int], np.ndarray]:
+    """By key the sum of what ``of`` gives over all blocks; a task sends one row for each key it met, which are added up in the order of the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for block in unpacked(batches):
-            for i, fit in enumerate(fits):
-                own = of(fit, block)
-                if own.any():
-                    total[i] = total[i] + own if i in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tolist() for t in total.values()], pa.list_(pa.float64()))], names=["fit", "part"])
+            for key, own in of(block).items():
+                total[key] = total[key] + own if key in total else own
+        keys = [pa.array([k[i] for k in total], pa.int32()) for i in (0, 1)]
+        ends = np.cumsum([0, *(len(t) for t in total.values())])
+        yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate([*total.values(), np.zeros(0)]))], names=["one", "two", "part"])
+
+    found: dict[tuple[int, int], np.ndarray] = {}
+    for batch in blocks.mapInArrow(run, "one int, two int, part array<double>").toArrow().to_batches():  # weights times tasks
+        part = batch.column("part")
+        for row, key in enumerate(zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True)):
+            own = part[row].values.to_numpy(zero_copy_only=False)
+            found[key] = found[key] + own if key in found else own
+    return found
 
-    parts = blocks.mapInArrow(run, "fit int, part array<double>").select("fit", F.posexplode("part").alias("at", "v")).groupBy("fit", "at").agg(F.sum("v").alias("v"))
-    found: dict[int, dict[int, float]] = {}
-    for r in parts.collect():  # one number for each weight
-        found.setdefault(r["fit"], {})[r["at"]] = r["v"]
-    return [np.array([found[i][k] for k in range(len(found[i]))]) if i in found else np.zeros(0) for i in range(len(fits))]
+
+def _summed(blocks: DataFrame, fits: list[Fit], of: Callable[[list[Fit], Block], dict[int, np.ndarray]]) -> list[np.ndarray]:
+    """Per fit the sum over all blocks of what ``of`` gives by the fit's place; empty where no block gave anything."""
+    found = _sums(blocks, lambda block: {(i, 0): own for i, own in of(fits, block).items()})
+    return [found.get((i, 0), np.zeros(0)) for i in range(len(fits))]
+
+
+def _each(of: Callable[[Fit, Block], np.ndarray]) -> Callable[[list[Fit], Block], dict[int, np.ndarray]]:
+    """``of`` for one fit after the other."""
+    return lambda fits, block: {i: own for i, f in enumerate(fits) if (own := of(f, block)).any()}
 
 
 def _epochs(fits: list[Fit], epochs: int, lr: float, gather: Callable[[], list[np.ndarray]]) -> None:
     steps = [Adam(f, lr) for f in fits]
     for _ in range(epochs):
         for one, total in zip(steps, gather(), strict=True):
-            one.move(total if len(total) else np.zeros(len(one.fit.theta) + 1))
+            one.move(one.fit.own_gradient(total) if len(total) else np.zeros(len(one.fit.theta) + 1))
 
 
 def train(blocks: DataFrame, fits: list[Fit], numbers: int, loss_and_grad: Callable, epochs: int, lr: float) -> None:
     """Run all fits' epochs; each fit's weights are left in it."""
-    of = lambda fit, block: gradient(fit, block, loss_and_grad)
+    of = lambda some, block: gradients(some, block, loss_and_grad)
     for f in fits:
         f.begin()
     if numbers > LOCAL_NUMBERS:
@@ -244,7 +308,12 @@ def train(blocks: DataFrame, fits: list[Fit], numbers: int, loss_and_grad: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(unpacked(batches))
-        _epochs(fits, epochs, lr, lambda: [sum((of(f, b) for b in held), np.zeros(len(f.theta) + 1)) for f in fits])
+
+        def gather() -> list[np.ndarray]:
+            given = [of(fits, b) for b in held]
+            return [sum((g[i] for g in given if i in g), np.zeros(1)) if any(i in g for g in given) else np.zeros(0) for i in range(len(fits))]
+
+        _epochs(fits, epochs, lr, gather)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(fits)), pa.int32()), pa.array([[*f.theta, f.value] for f in fits], pa.list_(pa.float64()))], names=["fit", "theta"])
 
     for r in blocks.coalesce(1).mapInArrow(run, "fit int, theta array<double>").collect():
@@ -256,7 +325,7 @@ def train(blocks: DataFrame, fits: list[Fit], numbers: int, loss_and_grad: Calla
 
 @dataclass
 class Moments:
-    """Rows, vote totals, means and squared deviations by (aid, fold); merging two gives those of their union."""
+    """Rows, vote totals, means and squared deviations by (place of aid, fold); merging two gives those of their union."""
 
     n: float
     total: float
@@ -269,18 +338,17 @@ class Moments:
         return Moments(n, self.total + other.total, self.mean + gap * other.n / n, self.m2 + other.m2 + gap**2 * self.n * other.n / n)
 
 
-def moments(rows: DataFrame) -> dict[tuple[str, int], Moments]:
-    """Moments of ``vec`` by aid and fold: one row for each of them and dimension reaches the driver."""
-    one = rows.select("aid", F.col("fold").cast("int").alias("fold"), F.aggregate("counts", F.lit(0.0), lambda a, c: a + c).alias("votes"), F.posexplode("vec").alias("dim", "v"))
-    found = one.groupBy("aid", "fold", "dim").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
-    by: dict[tuple[str, int], list] = {}
-    for r in found.collect():
-        by.setdefault((r["aid"], r["fold"]), []).append(r)
-    out = {}
-    for key, own in by.items():
-        own.sort(key=lambda r: r["dim"])
-        out[key] = Moments(own[0]["n"], own[0]["votes"], np.array([r["mean"] for r in own]), np.array([r["var"] * r["n"] for r in own]))
-    return out
+def moments(blocks: DataFrame) -> dict[tuple[int, int], Moments]:
+    """Moments of x by place of aid and fold, from two passes over the blocks: sums, and squared deviations from their means."""
+
+    def cells(block: Block) -> dict[tuple[int, int], np.ndarray]:
+        keys = np.unique(np.stack([block.aid, block.fold]), axis=1).T
+        return {(int(a), int(f)): np.flatnonzero((block.aid == a) & (block.fold == f)) for a, f in keys}
+
+    first = _sums(blocks, lambda b: {k: np.r_[float(len(r)), b.counts[r].sum(), b.x[r].sum(0)] for k, r in cells(b).items()})
+    mean = {k: v[2:] / v[0] for k, v in first.items()}
+    second = _sums(blocks, lambda b: {k: ((b.x[r] - mean[k]) ** 2).sum(0) for k, r in cells(b).items()}) if first else {}
+    return {k: Moments(v[0], v[1], mean[k], second[k]) for k, v in first.items()}
 
 
 def prepare(fit: Fit, known: dict[tuple[int, int], Moments], centre: bool = False) -> bool:
@@ -301,7 +369,7 @@ def prepare(fit: Fit, known: dict[tuple[int, int], Moments], centre: bool = Fals
 def count_training(blocks: DataFrame, fits: list[Fit]) -> None:
     """Rows and mean votes of fits that leave calibration rows out."""
     some = [f for f in fits if f.calibrate]
-    totals = _summed(blocks, some, lambda f, b: np.array([float(len(r := b.of(f, "train"))), b.counts[r].sum(), float(len(b.of(f, "calibration")))])) if some else []
+    totals = _summed(blocks, some, _each(lambda f, b: np.array([float(len(r := b.of(f, "train"))), b.counts[r].sum(), float(len(b.of(f, "calibration")))]))) if some else []
     for f, t in zip(some, totals, strict=True):
         if len(t):
             f.n, f.unit = max(t[0], 1.0), t[1] / max(t[0], 1.0)
@@ -310,7 +378,11 @@ def count_training(blocks: DataFrame, fits: list[Fit]) -> None:
 def logits(fit: Fit, block: Block, rows: np.ndarray) -> np.ndarray:
     w, b = fit.weights()
     x, aid = block.scaled(fit, rows)
-    return np.einsum("nd,ncd->nc", x, w[aid]) + b[aid]
+    out = np.zeros((len(rows), fit.classes))
+    for a in np.unique(aid):
+        own = aid == a
+        out[own] = x[own] @ w[a].T + b[a]
+    return out
 
 
 def tune(blocks: DataFrame, fits: list[Fit], low: float = 0.05, high: float = 20.0, tolerance: float = 1e-4) -> None:
@@ -326,11 +398,13 @@ def tune(blocks: DataFrame, fits: list[Fit], low: float = 0.05, high: float = 20
             rows = block.of(fit, "calibration")
             if not len(rows):
                 return np.zeros(GRID)
-            z, label = logits(fit, block, rows), block.label[rows]
-            return np.array([-log_softmax(z / t)[np.arange(len(rows)), label].sum() for t in fit.grid])
+            z = logits(fit, block, rows)
+            z -= z.max(axis=1, keepdims=True)
+            norm = sum(np.exp(z[:, c] / fit.grid[:, None]) for c in range(z.shape[1]))  # temperatures x rows
+            return np.log(norm).sum(1) - z[np.arange(len(rows)), block.label[rows]].sum() / fit.grid
 
         new = []
-        for (a, b), grid, total in zip(ranges, grids, _summed(blocks, some, nll), strict=True):
+        for (a, b), grid, total in zip(ranges, grids, _summed(blocks, some, _each(nll)), strict=True):
             if not len(total):
                 new.append((1.0, 1.0))  # nothing to tune on
                 continue
@@ -345,20 +419,18 @@ def scored(blocks: DataFrame, fits: list[Fit], aids: list[str], keys: dict[str,
     """Held-out rows of every fit: the columns of its key, held, aid, item_id, label, y, probs, temperature."""
     schema = ", ".join(f"{k} {kind}" for k, kind in keys.items()) + ", held int, aid string, item_id long, label int, y array<double>, probs array<double>, temperature double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), m.reshape(-1))
         for block in unpacked(batches):
             for fit in fits:
                 rows = block.of(fit, "test")
                 if len(rows):
                     p = np.exp(log_softmax(logits(fit, block, rows) / fit.temperature))
-                    own = {k: fit.key[k] for k in keys} | {"held": fit.held}
-                    frame = pd.DataFrame({"aid": [aids[a] for a in block.aid[rows]], "item_id": block.item_id[rows], "label": block.label[rows], "y": list(block.y[rows]), "probs": list(p), "temperature": fit.temperature})
-                    yield frame.assign(**own)[[c.split()[0] for c in schema.split(", ")]]
-
-    kinds = to_arrow_schema(T._parse_datatype_string(schema))
-
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in run(batches):
-            yield pa.RecordBatch.from_pandas(frame, kinds, preserve_index=False)
+                    fixed = fit.key | {"held": fit.held, "temperature": fit.temperature}
+                    own = {"aid": pa.array(aids).take(pa.array(block.aid[rows])), "item_id": pa.array(block.item_id[rows]), "label": pa.array(block.label[rows]), "y": lists(block.y[rows]), "probs": lists(p)}
+                    columns = [own[k.name].cast(k.type) if k.name in own else pa.repeat(pa.scalar(fixed[k.name], k.type), len(rows)) for k in kinds]
+                    yield pa.RecordBatch.from_arrays(columns, schema=kinds)
 
-    return blocks.mapInArrow(frames, schema)
+    return blocks.mapInArrow(run, schema)

@@ -206,16 +206,16 @@ def grid(spark, **options: list) -> DataFrame:
 # ---- fitting across tasks -----------------------------------------------------------------------------------------------
 
 
-def _table(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str], dict, int]:
-    """Blocks of the rows, the aids in order, moments by (place of aid, fold), and how many numbers there are."""
-    known = moments(rows)
-    aids = sorted({a for a, _ in known})
-    by = {(aids.index(a), f): m for (a, f), m in known.items()}
-    return pack(rows, aids, scratch), aids, by, int(sum(m.n * len(m.mean) for m in by.values()))
-
-
-def _classes(rows: DataFrame) -> int:
-    return rows.select(F.max(F.size("y"))).first()[0] or 0
+def _table(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[str], dict, int, int]:
+    """Blocks of the rows, the aids in order, moments by (place of aid, fold), how many numbers and classes there are."""
+    held = rows if hasattr(rows, "scratch_path") else scratch.write(rows, "rows")
+    found = held.groupBy("aid").agg(F.max(F.size("y")).alias("classes")).collect()  # a row for each aid
+    aids = sorted(r["aid"] for r in found)
+    blocks = pack(held, aids, scratch)
+    if held is not rows:
+        scratch.drop(held)
+    known = moments(blocks)
+    return blocks, aids, known, int(sum(m.n * len(m.mean) for m in known.values())), max((r["classes"] for r in found), default=0)
 
 
 def cross_validate(rows: DataFrame, settings: DataFrame, scratch: Scratch, k: int = 5, centre: bool = False, temperature: bool = False, lr: float = LR, epochs: int = EPOCHS) -> DataFrame:
@@ -225,9 +225,8 @@ def cross_validate(rows: DataFrame, settings: DataFrame, scratch: Scratch, k: in
     ``settings``: seed, loss, weight_decay (one row per variant).  Output: the
     setting, fold, aid, item_id, label, y, probs, temperature.
     """
-    blocks, aids, known, numbers = _table(rows, scratch)
+    blocks, aids, known, numbers, classes = _table(rows, scratch)
     keys = {"seed": "int", "loss": "string", "weight_decay": "double"}
-    classes = _classes(rows)
     fits = [
         Fit(s.asDict(), [a], held, s["loss"], seed=s["seed"], weight_decay=s["weight_decay"], calibrate=temperature, classes=classes)
         for s in settings.select(*keys).collect() for held in range(k) for a in range(len(aids))
@@ -243,9 +242,9 @@ def fit_heads(rows: DataFrame, settings: DataFrame, scratch: Scratch, k: int = 5
     number of classes and aids; one aid with ``head`` independent is a plain probe.
     Aids that a fold's training rows lack have no head and no predictions.
     """
-    blocks, aids, known, numbers = _table(rows, scratch)
+    blocks, aids, known, numbers, classes = _table(rows, scratch)
     keys = {"seed": "int", "head": "string", "rank": "int", "weight_decay": "double"}
-    classes, fits = _classes(rows), []
+    fits = []
     for s in settings.select(*keys).collect():
         for held in range(k):
             own = sorted({a for a, f in known if f != held})
@@ -264,8 +263,8 @@ def fit_final(rows: DataFrame, scratch: Scratch, loss: str = "soft_kl", centre:
     """Weights per aid on all rows: aid, W (class rows), b, shift, divisor.  This table is the checkpoint."""
     extra = {"counts": F.col("y"), "label": F.lit(0), "fold": F.lit(0)}
     whole = rows.withColumns({c: v for c, v in extra.items() if c not in rows.columns})
-    blocks, aids, known, numbers = _table(whole, scratch)
-    fits = [Fit({}, [a], -1, loss, seed=seed, weight_decay=weight_decay, classes=_classes(rows)) for a in range(len(aids))]
+    blocks, aids, known, numbers, classes = _table(whole, scratch)
+    fits = [Fit({}, [a], -1, loss, seed=seed, weight_decay=weight_decay, classes=classes) for a in range(len(aids))]
     fits = [f for f in fits if prepare(f, known, centre)]
     train(blocks, fits, numbers, loss_and_grad, epochs, lr)
     scratch.drop(blocks)
@@ -275,9 +274,14 @@ def fit_final(rows: DataFrame, scratch: Scratch, loss: str = "soft_kl", centre:
 
 def apply_probes(items: DataFrame, weights: DataFrame, vec: str = "vec") -> DataFrame:
     """Every item with every aid's probabilities; the weights are one row per aid and stay in the JVM."""
+    return _probed(items.join(F.broadcast(weights), how="cross"), vec)
+
+
+def _probed(rows: DataFrame, vec: str = "vec") -> DataFrame:
+    """Rows that have the weights of a probe beside their vector, with its probabilities in their place."""
     scaled = F.zip_with(F.zip_with(F.col(vec), F.col("shift"), lambda x, s: x.cast("double") - s), F.col("divisor"), lambda x, s: x / s)
-    logits = linear(F.col("W"), F.col("b"), scaled)
-    return items.join(F.broadcast(weights), how="cross").withColumn("probs", D.softmax(logits)).drop("W", "b", "shift", "divisor")
+    logits = D.bound(scaled, lambda x: linear(F.col("W"), F.col("b"), x))
+    return rows.withColumn("probs", D.softmax(logits)).drop("W", "b", "shift", "divisor")
 
 
 def summarise_predictions(scored: DataFrame) -> DataFrame:
@@ -307,6 +311,7 @@ def self_trained(rows: DataFrame, pool: DataFrame, scratch: Scratch, held: int =
     ``pool``: item_id, vec, and given_label where labels are checked.  ``rules``
     go to ``pseudo_rows``.  Without surviving pseudo-labels both fits are one.
     """
+    rows = rows if hasattr(rows, "scratch_path") else scratch.write(rows, "voted")
     train, test = rows.where(F.col("fold") != held), rows.where(F.col("fold") == held)
     real = train.select("item_id", "aid", "vec", "y", "sample_weight")
     first = scratch.write(fit_final(real, scratch, **(options or {})), "first")
@@ -314,7 +319,7 @@ def self_trained(rows: DataFrame, pool: DataFrame, scratch: Scratch, held: int =
     again = scratch.write(fit_final(real.unionByName(kept), scratch, **(options or {})), "again")
     out = None
     for name, weights in (("votes", first), ("votes and pseudo-labels", again)):
-        own = test.join(apply_probes(test.select("item_id", "vec").distinct(), weights).drop("vec"), ["item_id", "aid"]).select(F.lit(name).alias("model"), "aid", "item_id", "y", "label", "probs")
+        own = _probed(test.join(F.broadcast(weights), "aid")).select(F.lit(name).alias("model"), "aid", "item_id", "y", "label", "probs")  # a row for each aid
         out = own if out is None else out.unionByName(own)
     return out
 
