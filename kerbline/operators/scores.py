@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from kerbline.functions.constants import AID_KEYS, passability_table, prior_table
+from kerbline.functions.constants import AID_KEYS, PRIORS, passability_table, prior_table
 from kerbline.operators.spatial import nearest_within, within
 
 
@@ -16,16 +16,28 @@ class MatchRateError(ValueError):
 
 def join_scores(edges: DataFrame, scores: DataFrame, value: str = "p_yes", default: float | None = None, try_reverse: bool = True) -> DataFrame:
     """Edges (u, v, k) with the score stored under (u, v, k), else under (v, u, k), else ``default`` or the aid's prior; and ``matched``."""
-    fwd = scores.select("u", "v", "k", "aid", F.lit(0).alias("turn"), F.col(value).alias("_s"))
-    if try_reverse:
-        fwd = fwd.unionByName(scores.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "k", "aid", F.lit(1).alias("turn"), F.col(value).alias("_s")))
-    best = fwd.groupBy("u", "v", "k", "aid").agg(F.min(F.struct("turn", "_s")).alias("_b"))
-    spark = edges.sparkSession
-    aids = F.broadcast(prior_table(spark))  # five rows
-    asked = edges.join(aids, how="cross")
-    joined = asked.join(best, ["u", "v", "k", "aid"], "left")
-    missing = F.col("prior") if default is None else F.lit(default)
-    return joined.withColumn("matched", F.col("_b").isNotNull()).withColumn(value, F.coalesce("_b._s", missing)).drop("_b", "prior")
+    turned = lambda u, v, turn: F.struct(F.col(u).alias("u"), F.col(v).alias("v"), F.lit(turn).alias("turn"))
+    ways = F.array(turned("u", "v", 0), turned("v", "u", 1)) if try_reverse else F.array(turned("u", "v", 0))
+    both = scores.where(F.col("aid").isin(AID_KEYS)).select(F.explode(ways).alias("_w"), "k", "aid", F.col(value).alias("_s"))
+    both = both.where("_w.turn = 0 or _w.u <> _w.v").select("_w.*", "k", "aid", "_s")
+    # one row for an edge, whose scores by aid stay side by side: edges meet them before they are listed by aid
+    found = []
+    for i, aid in enumerate(AID_KEYS):
+        for turn in (0, 1) if try_reverse else (0,):
+            own = (F.col("aid") == aid) & (F.col("turn") == turn)
+            # of equal keys a null goes first, as in a minimum of structs; a key with a null counts as found
+            found += [F.min(F.when(own, F.col("_s"))).alias(f"_s{i}_{turn}"), F.max(F.when(own, F.col("_s").isNull().cast("int"))).alias(f"_n{i}_{turn}")]
+    best = both.groupBy("u", "v", "k").agg(*found)
+    rest = [c for c in edges.columns if c not in ("u", "v", "k")]
+    joined = edges.join(best, ["u", "v", "k"], "left")
+
+    def of_aid(i: int, aid: str) -> Column:
+        turns = [(F.col(f"_n{i}_{t}"), F.col(f"_s{i}_{t}")) for t in ((0, 1) if try_reverse else (0,))]
+        score = F.coalesce(*(F.when(n.isNotNull(), F.struct(F.when(n == 0, s).alias("s"))) for n, s in turns))
+        return F.struct(F.lit(aid).alias("aid"), score.isNotNull().alias("matched"), F.coalesce(score["s"], F.lit(PRIORS[aid] if default is None else default)).alias("s"))
+
+    listed = joined.select("u", "v", "k", *rest, F.explode(F.array(*(of_aid(i, aid) for i, aid in enumerate(AID_KEYS)))).alias("_a"))
+    return listed.select("u", "v", "k", *rest, F.col("_a.aid").alias("aid"), F.col("_a.matched").alias("matched"), F.col("_a.s").alias(value))
 
 
 def match_rate(joined: DataFrame) -> float:
@@ -126,4 +138,4 @@ def cover(edges: DataFrame, from_labels: DataFrame, inferred: DataFrame) -> Data
 
 def to_wide(scores: DataFrame) -> DataFrame:
     """One row per edge, one column per aid."""
-    return scores.groupBy("u", "v", "k").pivot("aid", AID_KEYS).agg(F.first("p_yes"))
+    return scores.groupBy("u", "v", "k").agg(*(F.max(F.when(F.col("aid") == aid, F.col("p_yes"))).alias(aid) for aid in AID_KEYS))
