@@ -139,6 +139,11 @@ def within(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     return _pairs(points, places, radius_m, SPHERE)
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    """Rows to join by sorting.  Files and shuffles of points and cells are far smaller than their rows in memory, so Spark's size check would have the driver broadcast millions of them."""
+    return rows.hint("merge")
+
+
 def _levels(places: DataFrame, space: Space, start: float, k: int, top: float) -> tuple[list[float], int, DataFrame, bool]:
     """Widths of cells, narrowest first; how many are no wider than ``start``; the cells by level that with their neighbours hold ``k`` places; whether the narrowest are still crowded.
 
@@ -156,7 +161,7 @@ def _levels(places: DataFrame, space: Space, start: float, k: int, top: float) -
         crowded = (most or 0) > SIDE
         if step / SPLIT < space.least or not (crowded or (some or 0) * TAIL > total):
             break
-        inside = _filed(inside, space, step, PLACE).join(found[0].where(F.col("_n") > few).select(*names), names, "left_semi").select(*PLACE)
+        inside = _filed(inside, space, step, PLACE).join(_sorted(found[0].where(F.col("_n") > few).select(*names)), names, "left_semi").select(*PLACE)
         step /= SPLIT
         steps, found = [step, *steps], [scratch.write(counted(inside, step), "counts"), *found]
     narrow = len(steps)
@@ -187,8 +192,8 @@ def _k_nearest(points: DataFrame, places: DataFrame, k: int, point_id: str, plac
     def settled(rows: DataFrame, levels: range) -> DataFrame:
         """The points with the narrowest of these levels that has enough places around them; null without one."""
         own = rows.select(point_id, F.explode(F.array(*(cells(i) for i in levels))).alias("_o")).select(point_id, "_o.*")
-        look = own.join(enough, ["_level", *names], "left_semi").groupBy(point_id).agg(F.min("_level").alias("_level"))
-        return scratch.write(rows.join(look, point_id, "left"), "levels")
+        look = own.join(_sorted(enough), ["_level", *names], "left_semi").groupBy(point_id).agg(F.min("_level").alias("_level"))
+        return scratch.write(rows.join(_sorted(look), point_id, "left"), "levels")
 
     parts = [settled(points, range(narrow))]
     if narrow < len(steps):
@@ -216,8 +221,8 @@ def _listed(points: DataFrame, places: DataFrame, k: int, place_order: str, step
     wide = [F.floor(F.col(n) / REACH).cast("long").alias(n) for n in names]
     filed = _filed(places, space, step, PLACE).select(*places.columns, *wide).where(F.col(names[0]).isNotNull())
     lists = space.around(filed.groupBy(*names).agg(F.count("*").alias("_n")), step * REACH).groupBy(*names).agg(F.ceil(F.sum("_n") / SIDE).cast("int").alias("_lists"))
-    asked = own.select(*names).distinct().select(*(F.col(n).alias(f"{n}_own") for n in names), *wide).join(lists, names)
-    met = space.around(filed, step * REACH).join(asked, names)
+    asked = own.select(*names).distinct().select(*(F.col(n).alias(f"{n}_own") for n in names), *wide).join(_sorted(lists), names)
+    met = space.around(filed, step * REACH).join(_sorted(asked), names)
     apart = F.lit(0.0)
     for n, x in zip(names, space.coordinates(*(F.col(c) for c in PLACE)), strict=True):
         low = F.col(f"{n}_own") * step
@@ -230,7 +235,7 @@ def _listed(points: DataFrame, places: DataFrame, k: int, place_order: str, step
     far = lambda p: F.struct(space.distance(*(F.col(c) for c in POINT), *(p[c] for c in PLACE)).alias("dist"), *(p[c].alias(c) for c in (place_order, *rest)))
     every = F.transform("_places", far)
     best = F.array(F.array_min(every)) if k == 1 else F.slice(F.array_sort(every), 1, k)
-    found = own.join(of_cell, names).select(*points.columns, F.explode(best).alias("_b"))
+    found = own.join(_sorted(of_cell), names).select(*points.columns, F.explode(best).alias("_b"))
     found = found.select(*points.columns, *(F.col("_b")[c].alias(c) for c in (*places.columns, "dist")))
     return found if reach is None else found.where(F.col("dist") <= reach)
 
