@@ -71,8 +71,8 @@ def labels_on_routes(spark, sf_dir):
 
 def edge_scoring(spark, sf_dir):
     e = Scratch(spark, "edge-scoring").write(edges(spark, sf_dir), "edges")
-    s = SC.worst_barrier(SC.label_counts(labels(spark, sf_dir), e, nodes(spark, sf_dir), 200.0), e)
-    return s.select("u", "v", "k", "aid", "p_yes", "n_labels", F.array_join("label_types", ",").alias("label_types"), "source")
+    s = SC.worst_barrier(SC.label_counts(labels(spark, sf_dir), e, nodes(spark, sf_dir), 200.0), e, ",")
+    return s.select("u", "v", "k", "aid", "p_yes", "n_labels", "label_types", "source")
 
 
 def _stored(spark, sf_dir):

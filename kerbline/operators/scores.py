@@ -90,32 +90,37 @@ def label_counts(labels: DataFrame, edges: DataFrame, nodes: DataFrame, snap_rad
     return every.groupBy("u", "v", "k", "label_type").agg(F.sum("n").alias("n"))
 
 
-def worst_barrier(matched: DataFrame, edges: DataFrame) -> DataFrame:
+def worst_barrier(matched: DataFrame, edges: DataFrame, sep: str | None = None) -> DataFrame:
     """Per edge and aid the least passability of its labels (unknown types as the prior); the prior without labels.
 
     ``matched``: a row per label and edge, or counts ``n`` by edge and type (``label_counts``).
-    Long form: u, v, k, aid, p_yes, n_labels, label_types, source.
+    Long form: u, v, k, aid, p_yes, n_labels, label_types, source.  With ``sep`` label_types is one string, which
+    is written from the counts, once for all aids of an edge.
     """
     spark = edges.sparkSession
     counts = matched if "n" in matched.columns else matched.groupBy("u", "v", "k", "label_type").agg(F.count("*").alias("n"))
     kinds = matched.select("label_type").distinct()
     aids = F.broadcast(prior_table(spark))  # five rows
     known = F.broadcast(passability_table(spark))  # 45 rows
-    # a type's passabilities for all aids stay together: no row per edge, type and aid
-    told = kinds.join(aids, how="cross").join(known, ["label_type", "aid"], "left").groupBy("label_type").agg(F.sort_array(F.collect_list(F.struct("aid", F.coalesce("p_yes", "prior").alias("p")))).alias("ps"))
+    # a type's passabilities for all aids stay side by side: no row per edge, type and aid
+    own = kinds.join(aids, how="cross").join(known, ["label_type", "aid"], "left")
+    told = own.groupBy("label_type").agg(*(F.max(F.when(F.col("aid") == aid, F.coalesce("p_yes", "prior"))).alias(f"_p{i}") for i, aid in enumerate(AID_KEYS)))
     typed = counts.join(told.withColumnRenamed("label_type", "_t"), F.col("label_type").eqNullSafe(F.col("_t")))
     per_edge = typed.groupBy("u", "v", "k").agg(
         F.sum("n").cast("int").alias("n_labels"),
         F.sort_array(F.collect_list(F.when(F.col("label_type").isNotNull(), F.struct("label_type", F.col("n").cast("int").alias("n"))))).alias("types"),  # as many as there are types
-        F.flatten(F.collect_list("ps")).alias("ps"),
+        *(F.min(f"_p{i}").alias(f"_p{i}") for i in range(len(AID_KEYS))),
     )
-    every = edges.select("u", "v", "k").join(per_edge, ["u", "v", "k"], "left").join(aids, how="cross")
-    least = F.array_min(F.transform(F.filter("ps", lambda x: x["aid"] == F.col("aid")), lambda x: x["p"]))
-    return every.select(
-        "u", "v", "k", "aid", F.when(least.isNotNull(), F.least(F.lit(1.0), least)).otherwise(F.col("prior")).alias("p_yes"), F.coalesce("n_labels", F.lit(0)).alias("n_labels"),
-        F.coalesce(F.flatten(F.transform("types", lambda x: F.array_repeat(x["label_type"], x["n"]))), F.array().cast("array<string>")).alias("label_types"),
-        F.when(F.col("n_labels").isNull(), "prior").otherwise("labels").alias("source"),
-    )
+    if sep is None:
+        listed = F.coalesce(F.flatten(F.transform("types", lambda x: F.array_repeat(x["label_type"], x["n"]))), F.array().cast("array<string>"))
+    else:
+        again = lambda x: F.concat(F.call_function("repeat", F.concat(x["label_type"], F.lit(sep)), x["n"] - 1), x["label_type"])
+        listed = F.coalesce(F.array_join(F.transform("types", again), sep), F.lit(""))
+    every = edges.select("u", "v", "k").join(per_edge.withColumn("label_types", listed).drop("types"), ["u", "v", "k"], "left")
+    of_aid = [F.struct(F.lit(aid).alias("aid"), F.when(F.col(f"_p{i}").isNotNull(), F.least(F.lit(1.0), F.col(f"_p{i}"))).otherwise(F.lit(float(PRIORS[aid]))).alias("p_yes")) for i, aid in enumerate(AID_KEYS)]
+    none = F.array().cast("array<string>") if sep is None else F.lit("")
+    long = every.select("u", "v", "k", F.coalesce("n_labels", F.lit(0)).alias("n_labels"), F.coalesce("label_types", none).alias("label_types"), F.when(F.col("n_labels").isNull(), "prior").otherwise("labels").alias("source"), F.explode(F.array(*of_aid)).alias("_a"))
+    return long.select("u", "v", "k", "_a.aid", "_a.p_yes", "n_labels", "label_types", "source")
 
 
 def mean_of_images(edges_mid: DataFrame, images: DataFrame, radius_m: float = 30.0) -> DataFrame:
